@@ -1,0 +1,7 @@
+"""Streaming.
+
+The corpus this library serves is a finished article archive read in batch; the
+application it re-creates has no stream source, watermark, event-time window or
+stateful operator, so nothing is built here. Every operator is a plain DataFrame
+function, so it also applies unchanged to a micro-batch inside ``foreachBatch``.
+"""
