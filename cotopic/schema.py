@@ -10,7 +10,7 @@ NEWS = T.StructType(
         T.StructField("timestamp", T.IntegerType(), True),  # month as YYYYMM
         T.StructField("source", T.StringType(), True),
         T.StructField("archive", T.StringType(), True),
-        T.StructField("id", T.IntegerType(), True),
+        T.StructField("id", T.LongType(), True),  # article key, widened from int
         T.StructField("probability", T.FloatType(), True),
         T.StructField("keywords", T.MapType(T.StringType(), T.IntegerType(), True), True),
         T.StructField("sentiment", T.FloatType(), True),

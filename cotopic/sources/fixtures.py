@@ -32,8 +32,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _as_news(df: DataFrame) -> DataFrame:
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name not in ("id",)
-                       else F.col(f.name).cast("long").alias(f.name) for f in NEWS.fields])
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in NEWS.fields])
 
 
 def star_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
