@@ -11,7 +11,8 @@ from cotopic.operators.nodes import (  # noqa: F401
     relation_nodes, relation_years, sentiment_quantiles, sentiment_thresholds, top_relations,
 )
 from cotopic.operators.relations import (  # noqa: F401
-    keyword_weights, neighbours, recommend, relation_exists, relation_months, relation_sources,
+    keyword_weights, neighbours, recommend, relation_exists, relation_extremes, relation_months,
+    relation_sources,
     relation_summary, relations, relations_nested,
 )
 from cotopic.operators.topics import (  # noqa: F401

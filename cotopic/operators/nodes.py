@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cotopic.functions.labels import band_color, node_caption, sentiment_band, wrap_label
 from cotopic.functions.urls import capture_month, capture_stamp
-from cotopic.operators.relations import neighbours, relation_months
+from cotopic.operators.relations import neighbours, relation_extremes, relation_months
 from cotopic.schema import TOP_NODES
 
 # Quantile levels, and the weights blending all-neighbour with top-N quantiles.
@@ -49,27 +49,43 @@ def sentiment_thresholds(neigh: DataFrame, top: DataFrame, approx: bool = False)
         *[(F.col(f"a_{c}") * BLEND_ALL[c] + F.col(f"t_{c}") * BLEND_TOP[c]).alias(c) for c in QNAMES])
 
 
-def relation_nodes(rel: DataFrame, n: int = TOP_NODES, sep: str = "<br>", approx: bool = False) -> DataFrame:
+def _with_extremes(top: DataFrame, hits: DataFrame | None) -> DataFrame:
+    if "first_archive" in top.columns:
+        return top
+    if hits is None:
+        raise ValueError("relation set has no archive extremes: pass hits=, or relations(..., extremes=True)")
+    return top.join(relation_extremes(hits, top), ["topic", "keyword"], "left")
+
+
+def relation_nodes(rel: DataFrame, n: int = TOP_NODES, sep: str = "<br>", approx: bool = False,
+                   hits: DataFrame | None = None) -> DataFrame:
     """``topic, keyword, count, sentiment, size, band, color, label, caption, first_seen, last_seen``.
 
-    ``rel`` is the relation set (topic included; it is removed here). Per-topic inputs
-    (thresholds, smallest count) are one-row-per-topic tables joined on ``topic``.
+    ``rel`` is the relation set (topic included; it is removed here). The all-neighbour
+    quantiles are a partial/final aggregate per topic; quantiles and smallest count of the
+    top-N are windows over at most ``n`` rows per topic. Archive extremes come from ``rel``
+    or, for the top-N keys only, from ``hits``.
     """
     neigh = neighbours(rel)
-    top = top_relations(neigh, n)
-    thr = sentiment_thresholds(neigh, top, approx)
-    smallest = top.groupBy("topic").agg(F.min("count").alias("min_count"))
+    qa = sentiment_quantiles(neigh, approx).select("topic", *[F.col(c).alias(f"a_{c}") for c in QNAMES])
+    per_topic = Window.partitionBy("topic")
+    pct = (F.percentile_approx("sentiment", list(LEVELS), 10000) if approx
+           else F.percentile("sentiment", list(LEVELS)))
+    top = (top_relations(neigh, n)
+           .withColumn("_qt", pct.over(per_topic))
+           .withColumn("min_count", F.min("count").over(per_topic)))
+    thr = [(F.col(f"a_{c}") * BLEND_ALL[c] + F.col("_qt")[i] * BLEND_TOP[c]).alias(c) for i, c in enumerate(QNAMES)]
+    nodes = _with_extremes(top.join(qa, "topic", "left").select("*", *thr), hits)
     size = F.pow(F.ln(F.col("count") / F.col("min_count")) * SIZE_SCALE, SIZE_POWER) + SIZE_BASE
     band = sentiment_band("sentiment", "q10", "q30", "q70", "q90")
     last_seen = capture_month("last_archive")
-    return (top.join(smallest, "topic").join(thr, "topic", "left")
-               .select("topic", "keyword", "count", "sentiment",
-                       size.alias("size"), band.alias("band"),
-                       wrap_label("keyword", sep).alias("label"),
-                       node_caption("keyword", "count", last_seen).alias("caption"),
-                       capture_month("first_archive").alias("first_seen"),
-                       last_seen.alias("last_seen"))
-               .withColumn("color", band_color("band")))
+    return (nodes.select("topic", "keyword", "count", "sentiment",
+                         size.alias("size"), band.alias("band"),
+                         wrap_label("keyword", sep).alias("label"),
+                         node_caption("keyword", "count", last_seen).alias("caption"),
+                         capture_month("first_archive").alias("first_seen"),
+                         last_seen.alias("last_seen"))
+                 .withColumn("color", band_color("band")))
 
 
 def relation_years(hits: DataFrame, rel: DataFrame, n: int = TOP_NODES) -> DataFrame:
@@ -78,7 +94,7 @@ def relation_years(hits: DataFrame, rel: DataFrame, n: int = TOP_NODES) -> DataF
     The range runs from the first capture year (or first mention year, if earlier) to the
     last capture year (or last mention year, if later), so no mention falls outside it.
     """
-    top = top_relations(neighbours(rel), n)
+    top = _with_extremes(top_relations(neighbours(rel), n), hits)
     first = capture_stamp("first_archive").substr(1, 4).try_cast("int")
     last = capture_stamp("last_archive").substr(1, 4).try_cast("int")
     keys = top.select("topic", "keyword", first.alias("_c0"), last.alias("_c1"))

@@ -18,61 +18,89 @@ from cotopic.operators.topics import mention_rows
 from cotopic.schema import MIN_COUNT, SUGGESTIONS
 
 
-def relations(hits: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
-    """``topic, keyword, count, sentiment, articles, first_archive, last_archive``.
+def relations(hits: DataFrame, min_count: int = MIN_COUNT, extremes: bool = False) -> DataFrame:
+    """``topic, keyword, count, sentiment, articles`` (+ ``first_archive, last_archive``).
 
     * ``count``: summed mentions; kept when ``>= min_count`` (the cut is in the plan).
     * ``sentiment``: sum(tone * n) / sum(n), both sums over mentions with a known tone;
       null when no mention has one. The topic itself is part of the set.
     * ``articles``: hit articles carrying the keyword.
-    * ``first_archive`` / ``last_archive``: smallest and largest archive URL.
+    * ``extremes=True`` adds the smallest and largest archive URL. String minima are not
+      hash-aggregatable (Spark falls back to a sort-based aggregate over every exploded
+      row), so they are off by default; ``relation_extremes`` computes them for just the
+      keys that need them.
     """
-    rows = mention_rows(hits, "sentiment", "archive")
+    rows = mention_rows(hits, "sentiment", *(["archive"] if extremes else []))
     tone = F.col("sentiment").cast("double")
     rated = F.when(tone.isNotNull(), F.col("n"))
+    aggs = [
+        F.sum("n").alias("count"),
+        F.sum(tone * F.col("n")).alias("_tone_sum"),
+        F.sum(rated).alias("_tone_n"),
+        F.count(F.lit(1)).alias("articles"),
+    ]
+    if extremes:
+        aggs += [F.min("archive").alias("first_archive"), F.max("archive").alias("last_archive")]
+    out = ["topic", "keyword", "count", "sentiment", "articles"] + (["first_archive", "last_archive"] if extremes else [])
     return (
         rows.groupBy("topic", "keyword")
-        .agg(
-            F.sum("n").alias("count"),
-            F.sum(tone * F.col("n")).alias("_tone_sum"),
-            F.sum(rated).alias("_tone_n"),
-            F.count(F.lit(1)).alias("articles"),
-            F.min("archive").alias("first_archive"),
-            F.max("archive").alias("last_archive"),
-        )
+        .agg(*aggs)
         .where(F.col("count") >= min_count)
         .withColumn("sentiment", F.col("_tone_sum") / F.nullif(F.col("_tone_n"), F.lit(0)))
-        .select("topic", "keyword", "count", "sentiment", "articles", "first_archive", "last_archive")
+        .select(*out)
     )
 
 
+def relation_extremes(hits: DataFrame, keys: DataFrame) -> DataFrame:
+    """``topic, keyword, first_archive, last_archive`` for the (topic, keyword) pairs of ``keys``.
+
+    The sort-based string aggregate only sees the rows of the requested keys.
+    """
+    return (mention_rows(hits, "archive")
+            .join(keys.select("topic", "keyword"), ["topic", "keyword"], "left_semi")
+            .groupBy("topic", "keyword")
+            .agg(F.min("archive").alias("first_archive"), F.max("archive").alias("last_archive")))
+
+
 def neighbours(rel: DataFrame) -> DataFrame:
     """The relation set without the topic itself."""
     return rel.where(F.col("keyword") != F.col("topic"))
 
 
 def relation_months(hits: DataFrame, rel: DataFrame | None = None, min_count: int = MIN_COUNT) -> DataFrame:
-    """``topic, keyword, timestamp, mentions`` for keywords of the relation set."""
-    rel = relations(hits, min_count) if rel is None else rel
+    """``topic, keyword, timestamp, mentions`` for keywords of the relation set.
+
+    Without ``rel`` the count cut is taken from this aggregate itself (a keyword's count is
+    the sum of its months), so the hits are scanned once; the two uses of the aggregate
+    are the same exchange, which Spark reuses.
+    """
     per = (mention_rows(hits, "timestamp")
            .groupBy("topic", "keyword", "timestamp").agg(F.sum("n").alias("mentions")))
-    return per.join(rel.select("topic", "keyword"), ["topic", "keyword"], "left_semi")
+    if rel is None:
+        keep = (per.groupBy("topic", "keyword").agg(F.sum("mentions").alias("count"))
+                   .where(F.col("count") >= min_count))
+    else:
+        keep = rel
+    return per.join(keep.select("topic", "keyword"), ["topic", "keyword"], "left_semi")
 
 
 def relation_sources(hits: DataFrame, rel: DataFrame | None = None, min_count: int = MIN_COUNT) -> DataFrame:
     """``topic, keyword, source, articles, pct``: articles per outlet for each relation.
 
-    The share is taken against the keyword's article total carried by ``rel``, so no
-    window over a possibly hot keyword is needed.
+    The share is taken against the keyword's article total (the sum over its outlets), and
+    the count cut uses the summed mentions of the same aggregate: one scan of the hits, no
+    window over a possibly hot keyword.
     """
-    rel = relations(hits, min_count) if rel is None else rel
     per = (mention_rows(hits, "source")
-           .groupBy("topic", "keyword", "source").agg(F.count(F.lit(1)).alias("articles")))
-    totals = rel.select("topic", "keyword", F.col("articles").alias("_total"))
+           .groupBy("topic", "keyword", "source")
+           .agg(F.count(F.lit(1)).alias("articles"), F.sum("n").alias("_n")))
+    totals = per.groupBy("topic", "keyword").agg(F.sum("articles").alias("_total"), F.sum("_n").alias("_count"))
+    totals = totals.where(F.col("_count") >= min_count)
+    if rel is not None:
+        totals = totals.join(rel.select("topic", "keyword"), ["topic", "keyword"], "left_semi")
     return (per.join(totals, ["topic", "keyword"])
-               .where(F.col("articles").isNotNull())
                .withColumn("pct", F.col("articles") * F.lit(100.0) / F.col("_total"))
-               .drop("_total"))
+               .drop("_total", "_count", "_n"))
 
 
 def relations_nested(hits: DataFrame, rel: DataFrame | None = None, min_count: int = MIN_COUNT) -> DataFrame:

@@ -21,7 +21,7 @@ from cotopic.operators import (
     topic_history, topic_hits, topic_sources, topic_summary, top_relations,
 )
 from cotopic.functions import outlet_host, topic_key
-from cotopic.session import scratch_path
+from cotopic.session import scratch_path, shared_dir
 from cotopic.sources.fixtures import star_news, text_news
 from cotopic.sources.news import read_news, write_news
 from cotopic.sources.store import RelationStore
@@ -58,10 +58,23 @@ class Corpus:
     def hits(self, min_mentions: int = 4) -> DataFrame:
         return topic_hits(self.star, STAR_TOPIC, min_mentions)
 
+    def shared_hits(self, min_mentions: int = 4) -> DataFrame:
+        """The topic's hits written once to the checkpoint folder, for reports that read
+        them several times: later stages read the small hit set instead of scanning the
+        corpus maps again. A new checkpoint per call, so no result is served from an
+        earlier query."""
+        return checkpointed(self.hits(min_mentions))
+
     def rel(self) -> DataFrame:
         return relations(self.hits())
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into ``spark.checkpoint.dir`` (survives executor loss)."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def rounded(df: DataFrame) -> DataFrame:
     """Round every double column to ``DIGITS`` decimals (stable comparison across engines)."""
     return df.select(*[F.round(F.col(f.name), DIGITS).alias(f.name) if isinstance(f.dataType, T.DoubleType)
@@ -108,11 +121,11 @@ def q_monthly_top_keywords(c: Corpus) -> DataFrame:
 
 
 def q_topic_history(c: Corpus) -> DataFrame:
-    return topic_history(c.hits(HISTORY_MIN_MENTIONS)).select("month", "articles", "top_label", "month_label")
+    return topic_history(c.shared_hits(HISTORY_MIN_MENTIONS)).select("month", "articles", "top_label", "month_label")
 
 
 def q_history_peak(c: Corpus) -> DataFrame:
-    return rounded(history_peak(topic_history(c.hits()), ["articles"]).select("peak"))
+    return rounded(history_peak(topic_history(c.shared_hits()), ["articles"]).select("peak"))
 
 
 def q_relations(c: Corpus) -> DataFrame:
@@ -128,7 +141,7 @@ def q_relation_sources(c: Corpus) -> DataFrame:
 
 
 def q_relations_nested(c: Corpus) -> DataFrame:
-    return relations_nested(c.hits()).select("keyword", "count", F.to_json("date").alias("months_json"))
+    return relations_nested(c.shared_hits()).select("keyword", "count", F.to_json("date").alias("months_json"))
 
 
 def q_neighbours_top(c: Corpus) -> DataFrame:
@@ -140,17 +153,18 @@ def q_sentiment_quantiles(c: Corpus) -> DataFrame:
 
 
 def q_sentiment_thresholds(c: Corpus) -> DataFrame:
-    neigh = neighbours(c.rel())
+    neigh = neighbours(relations(c.shared_hits()))
     return rounded(sentiment_thresholds(neigh, top_relations(neigh, SMALL_TOP)).drop("topic"))
 
 
 def q_relation_nodes(c: Corpus) -> DataFrame:
-    return rounded(relation_nodes(c.rel()).select(
+    hits = c.shared_hits()
+    return rounded(relation_nodes(relations(hits), hits=hits).select(
         "keyword", "count", "size", "band", "color", "label", "caption", "first_seen", "last_seen"))
 
 
 def q_relation_years(c: Corpus) -> DataFrame:
-    hits = c.hits()
+    hits = c.shared_hits()
     return relation_years(hits, relations(hits)).select("keyword", "year", "mentions")
 
 
@@ -164,12 +178,12 @@ def q_relation_summary(c: Corpus) -> DataFrame:
 
 
 def q_relation_history(c: Corpus) -> DataFrame:
-    hits = c.hits()
+    hits = c.shared_hits()
     return relation_history(hits, neighbours(relations(hits))).select("keyword", "month", "articles", "mentions")
 
 
 def q_relation_articles(c: Corpus) -> DataFrame:
-    hits = c.hits()
+    hits = c.shared_hits()
     return relation_articles(hits, neighbours(relations(hits))).select(
         "keyword", "title", "capture_date", "host", "original_url", "outlet", "archive")
 

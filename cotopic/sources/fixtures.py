@@ -71,9 +71,14 @@ def star_news(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(document, token map) over the whole text of every document."""
+    """(document, token map) over the whole text of every document.
+
+    Documents are shuffled once by ``doc_id`` (raw text is smaller than its distinct
+    (document, token) pairs shipped twice); both aggregations then run in place.
+    """
     tokens = (
         table(spark, sf_dir, "documents").select("doc_id", "text")
+        .repartition("doc_id")
         .select("doc_id", F.explode(F.split(F.lower("text"), TOKEN_SPLIT)).alias("token"))
         .where(F.length("token") >= MIN_TOKEN_LENGTH)
     )

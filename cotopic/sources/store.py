@@ -8,8 +8,10 @@ Layout below ``root``::
 * ``fp`` hashes the corpus content and the two cut-offs, so a changed corpus or changed
   parameters never serve stale results (they land in a new ``fp`` folder).
 * ``key_prefix`` (first two hex digits of the topic key) bounds the folder count at 256
-  whatever the number of topics; rows are range-partitioned and sorted by ``topic_key``
-  so Parquet min/max statistics skip row groups of other topics.
+  whatever the number of topics; rows are sorted by ``topic_key`` within files
+  so Parquet min/max statistics skip row groups of other topics. The write is rebalanced
+  by prefix: AQE coalesces small prefixes into few files and splits a prefix made heavy
+  by one hot topic across several writers.
 * Data of a batch becomes visible only once its index rows are written (a second job
   after the data job commits). A failed or repeated batch leaves unindexed data behind
   that readers ignore, so retries after lost executors never duplicate rows.
@@ -28,13 +30,20 @@ from cotopic.functions.labels import topic_key
 from cotopic.operators.relations import relations
 from cotopic.operators.topics import topic_hits
 from cotopic.schema import MIN_COUNT, MIN_MENTIONS
+from cotopic.session import shared_dir
 
 STORED = ["topic", "keyword", "count", "sentiment", "articles", "first_archive", "last_archive"]
 
 
 def corpus_fingerprint(news: DataFrame, min_mentions: int = MIN_MENTIONS, min_count: int = MIN_COUNT) -> str:
-    """16 hex digits over row count, last month, an order-free content hash and the cut-offs."""
-    entries = F.array_sort(F.map_entries("keywords"))
+    """16 hex digits over row count, last month, an order-free content hash and the cut-offs.
+
+    A row's map contributes the XOR of its entries' hashes (map order does not matter and
+    no per-row sort is needed); rows add up as a wide decimal sum (duplicates count).
+    """
+    entries = F.aggregate(F.coalesce(F.map_entries("keywords"), F.array().cast("array<struct<key:string,value:int>>")),
+                          F.lit(0).cast("long"),
+                          lambda acc, e: acc.bitwiseXOR(F.xxhash64(e["key"], e["value"])))
     row_hash = F.xxhash64("timestamp", "source", "archive", "id", "sentiment", entries)
     r = news.agg(F.count(F.lit(1)).alias("n"), F.max("timestamp").alias("m"),
                  F.sum(row_hash.cast("decimal(38,0)")).alias("h")).first()
@@ -98,10 +107,13 @@ class RelationStore:
             .withColumn("key_prefix", F.substring("topic_key", 1, 2))
             .withColumn("batch", F.lit(batch))
             .withColumn("fp", F.lit(fp))
-            .repartitionByRange("topic_key")
+            .hint("rebalance", "key_prefix")  # AQE merges small and splits skewed prefixes
             .sortWithinPartitions("key_prefix", "topic_key", "keyword")
             .write.mode("append").partitionBy("fp", "key_prefix").parquet(self.data_path))
-        counts = rel.groupBy("topic").agg(F.count(F.lit(1)).alias("relations"))
+        # index counts come from the rows just written, not from a second computation
+        counts = (self.spark.read.parquet(self.data_path)
+                  .where((F.col("fp") == fp) & (F.col("batch") == batch))
+                  .groupBy("topic").agg(F.count(F.lit(1)).alias("relations")))
         (computed.select("topic").distinct()
             .join(counts, "topic", "left")
             .select("topic", topic_key("topic").alias("topic_key"), F.lit(batch).alias("batch"),
@@ -122,8 +134,9 @@ class RelationStore:
         else:
             wanted = self.spark.createDataFrame([(t,) for t in sorted(set(topics))], "topic string")
         missing = wanted.join(self.index(fp).select("topic"), "topic", "left_anti")
-        if not missing.isEmpty():
-            ckpt = missing.checkpoint()  # fixes the batch's topic set before two jobs read it
-            rel = relations(topic_hits(news, ckpt, min_mentions), min_count)
-            self.write(rel, ckpt, fp)
+        shared_dir(self.spark)
+        todo = missing.checkpoint(eager=True)  # fixes the batch's topic set for the jobs below
+        if not todo.isEmpty():
+            rel = relations(topic_hits(news, todo, min_mentions), min_count, extremes=True)
+            self.write(rel, todo, fp)
         return self.read(fp, None if topics is None else topics)
