@@ -9,8 +9,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str = "cotopic",
@@ -57,3 +59,17 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique path below the shared folder for a table written by a job."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+@contextmanager
+def persisted(df: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_DISK):
+    """Keep ``df`` materialized for several actions inside the block, released after it.
+
+    Project the needed columns before persisting: a persisted plan keeps every column it
+    has. Cached blocks lost with an executor are recomputed from lineage.
+    """
+    df.persist(level)
+    try:
+        yield df
+    finally:
+        df.unpersist()

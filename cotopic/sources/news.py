@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cotopic.schema import NEWS
 
@@ -37,3 +38,24 @@ def materialize(news: DataFrame, path: str) -> DataFrame:
     """Write a derived corpus once as Parquet and return the scan of it (cuts lineage)."""
     news.write.mode("overwrite").parquet(path)
     return news.sparkSession.read.parquet(path)
+
+
+# Nested relation record as written by ``write_relations_json`` (one JSON object per line).
+NESTED = T.StructType([
+    T.StructField("topic", T.StringType()),
+    T.StructField("keyword", T.StringType()),
+    T.StructField("count", T.LongType()),
+    T.StructField("sentiment", T.DoubleType()),
+    T.StructField("date", T.MapType(T.StringType(), T.LongType())),
+    T.StructField("source", T.MapType(T.StringType(), T.LongType())),
+])
+
+
+def write_relations_json(nested: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """JSON sink of ``relations_nested`` rows: ``{topic, keyword, count, sentiment, date:{..}, source:{..}}``."""
+    nested.select(*[f.name for f in NESTED.fields]).write.mode(mode).json(path)
+
+
+def read_relations_json(spark: SparkSession, path: str) -> DataFrame:
+    """Read nested relation records back with the fixed schema (no inference)."""
+    return spark.read.schema(NESTED).json(path)

@@ -201,3 +201,15 @@ def test_only_topic_passes_cut(hand):
 def test_corpus_summary(hand):
     s = corpus_summary(hand).first()
     assert (s.articles, s.first_month, s.last_month) == (7, 201501, 201505)
+
+
+def test_nested_json_round_trip(spark, hits):
+    from cotopic.session import persisted, scratch_path
+    from cotopic.sources.news import read_relations_json, write_relations_json
+    path = scratch_path(spark, "nested-json")
+    with persisted(relations_nested(hits)) as nested:
+        write_relations_json(nested, path)
+        want = sorted((r.keyword, r["count"], dict(r.date), dict(r.source)) for r in nested.collect())
+    back = read_relations_json(spark, path)
+    got = sorted((r.keyword, r["count"], dict(r.date), dict(r.source)) for r in back.collect())
+    assert got == want
