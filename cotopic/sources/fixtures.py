@@ -70,36 +70,59 @@ def star_news(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def text_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(document, token map) over the whole text of every document.
+def _let(value, body):
+    """``body(v)`` with ``v`` bound once to ``value`` (a one-element ``transform``).
 
-    Documents are shuffled once by ``doc_id`` (raw text is smaller than its distinct
-    (document, token) pairs shipped twice); both aggregations then run in place.
+    Catalyst may inline a projection into a pushed-down filter; binding intermediate
+    arrays to lambda variables keeps that from re-evaluating them per array element.
     """
-    tokens = (
-        table(spark, sf_dir, "documents").select("doc_id", "text")
-        .repartition("doc_id")
-        .select("doc_id", F.explode(F.split(F.lower("text"), TOKEN_SPLIT)).alias("token"))
-        .where(F.length("token") >= MIN_TOKEN_LENGTH)
-    )
-    counts = tokens.groupBy("doc_id", "token").agg(F.count(F.lit(1)).cast("int").alias("n"))
-    return counts.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("token", "n"))).alias("keywords"))
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def keyword_map(text) -> "F.Column":
+    """Lower-cased letter runs of length >= 3 -> occurrences, computed inside the row.
+
+    A document is one row, so no shuffle is needed: the tokens are sorted, the ends of
+    equal-token runs are found in one pass, and run lengths are zipped with the run
+    values into the map - O(n log n) per document, JVM-side.
+    """
+    toks = F.filter(F.split(F.lower(text), TOKEN_SPLIT), lambda x: F.length(x) >= MIN_TOKEN_LENGTH)
+
+    def runs(s):
+        n = F.size(s)
+        is_end = lambda i: (i <= n) & ((i == n) | (F.get(s, i - 1) != F.get(s, i)))
+        ends = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), is_end)
+        return _let(ends, lambda e: F.map_from_arrays(
+            F.transform(e, lambda end: F.get(s, end - 1)),
+            F.transform(e, lambda end, j: end - F.coalesce(F.get(e, j - 1), F.lit(0)))))
+
+    return _let(F.sort_array(toks), runs)
+
+
+def token_counts(df: DataFrame, text: str, *keep: str) -> DataFrame:
+    """``*keep, keywords`` with ``keywords = keyword_map(text)``."""
+    return df.select(*keep, keyword_map(F.col(text)).alias("keywords"))
+
+
+def text_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(document, token map) over the whole text of every document."""
+    return token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "doc_id")
 
 
 def text_news(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    # keywords are computed inside the documents scan stage (no shuffle, no self join)
+    docs = token_counts(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "text",
+                        "doc_id", "source")
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("l_doc_id"), "quality", "toxic")
     # page_id = doc_id % 50 can only meet pages 0..49: the filter bounds that side.
     pages = (table(spark, sf_dir, "pages").select("page_id", "url")
              .where(F.col("page_id").between(0, TEXT_PAGES - 1)))
-    kw = text_keywords(spark, sf_dir).withColumnRenamed("doc_id", "k_doc_id")
     ts = (F.lit(TEXT_FIRST_YEAR) + F.col("doc_id") % TEXT_YEARS) * 100 + 1 + F.col("doc_id") % 12
     return _as_news(
         docs.withColumn("timestamp", ts.cast("int"))
         .withColumn("page_key", F.col("doc_id") % TEXT_PAGES)
         .join(pages, F.col("page_key") == F.col("page_id"), "left")
         .join(labels, F.col("doc_id") == F.col("l_doc_id"), "left")
-        .join(kw, F.col("doc_id") == F.col("k_doc_id"), "left")
         .select(
             "timestamp", "source",
             F.concat(F.lit(ARCHIVE_PREFIX), F.col("timestamp").cast("string"), F.lit(TEXT_CAPTURE_SUFFIX),
