@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cotopic.operators import (
-    corpus_summary, history_peak, keyword_weights, mentions, monthly_articles, monthly_mentions,
+    OUTLETS, match_outlet, corpus_summary, history_peak, keyword_weights, mentions, monthly_articles, monthly_mentions,
     monthly_top_keywords, neighbours, outlet_of, recommend, relation_articles, relation_exists,
     relation_history, relation_months, relation_nodes, relation_sources, relation_summary,
     relation_years, relations, relations_nested, sentiment_quantiles, sentiment_thresholds,
@@ -28,6 +28,7 @@ from cotopic.sources.store import RelationStore
 
 # Query parameters.
 STAR_TOPIC = "red gear"
+TOPIC_LIST = ["red gear", "hot ring", "blue ring"]
 TEXT_TOPIC = "the"
 HISTORY_MIN_MENTIONS = 40  # so that the star corpus history has gaps at sf 0.01
 SMALL_TOP = 20  # a top-N smaller than the neighbour set, so the cut is exercised
@@ -68,6 +69,9 @@ class Corpus:
     def rel(self) -> DataFrame:
         return relations(self.hits())
 
+    def text_shared_hits(self) -> DataFrame:
+        return checkpointed(topic_hits(self.text, TEXT_TOPIC))
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into ``spark.checkpoint.dir`` (survives executor loss)."""
@@ -221,6 +225,32 @@ def q_text_relations(c: Corpus) -> DataFrame:
     return rounded(relations(topic_hits(c.text, TEXT_TOPIC)).select("keyword", "count", "sentiment"))
 
 
+def q_text_relation_nodes(c: Corpus) -> DataFrame:
+    hits = c.text_shared_hits()
+    return rounded(relation_nodes(relations(hits), hits=hits).select(
+        "keyword", "count", "size", "band", "color", "label", "caption", "first_seen", "last_seen"))
+
+
+def q_text_topic_history(c: Corpus) -> DataFrame:
+    return topic_history(c.text_shared_hits()).select("month", "articles", "top_label", "month_label")
+
+
+def q_text_relation_articles(c: Corpus) -> DataFrame:
+    hits = c.text_shared_hits()
+    return relation_articles(hits, neighbours(relations(hits))).select(
+        "keyword", "title", "capture_date", "host", "original_url", "outlet", "archive")
+
+
+def q_relations_topic_list(c: Corpus) -> DataFrame:
+    return rounded(relations(topic_hits(c.star, TOPIC_LIST)).select("topic", "keyword", "count", "sentiment"))
+
+
+def q_outlet_match_table(c: Corpus) -> DataFrame:
+    outlets = c.spark.createDataFrame(list(enumerate(OUTLETS)), "position int, token string")
+    hosts = c.text.select(outlet_host("archive").alias("host")).distinct()
+    return match_outlet(hosts, "host", outlets).select("host", "outlet")
+
+
 QUERIES: dict[str, Callable[[Corpus], DataFrame]] = {
     name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)
 }

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from cotopic.functions.labels import MONTH_NAMES
 from cotopic.operators.articles import OUTLETS
-from cotopic.plans.catalogue import HISTORY_MIN_MENTIONS, SEED, SMALL_TOP, STAR_TOPIC, TEXT_TOPIC
+from cotopic.plans.catalogue import HISTORY_MIN_MENTIONS, SEED, SMALL_TOP, STAR_TOPIC, TEXT_TOPIC, TOPIC_LIST
 
 R = 9  # rounding digits, as in the catalogue
 
@@ -225,7 +225,8 @@ SELECT round(a_q10 * 0.4 + t_q10 * 0.6, 9) AS q10, round(a_q30 * 0.3 + t_q30 * 0
        round(a_q70 * 0.3 + t_q70 * 0.7, 9) AS q70, round(a_q90 * 0.4 + t_q90 * 0.6, 9) AS q90
 FROM qa, qt"""
 
-ORACLE["relation_nodes"] = STAR_BASE + "," + top_n("top", "neigh", 125) + """,
+def nodes_sql(base: str) -> str:
+    return base + "," + top_n("top", "neigh", 125) + """,
 qa AS (SELECT """ + quantiles("neigh", "a_") + """ FROM neigh),
 qt AS (SELECT """ + quantiles("top", "t_") + """ FROM top),
 thr AS (
@@ -260,6 +261,9 @@ SELECT keyword, count,
   """ + cap_month("last_archive") + """ AS last_seen
 FROM n"""
 
+
+ORACLE["relation_nodes"] = nodes_sql(STAR_BASE)
+
 ORACLE["relation_years"] = STAR_BASE + "," + top_n("top", "neigh", 125) + """,
 per AS (
   SELECT x.keyword, h.timestamp // 100 AS year, sum(x.n) AS mentions
@@ -301,10 +305,11 @@ FROM neigh n CROSS JOIN months m
 LEFT JOIN arts a ON a.month = m.month
 LEFT JOIN km ON km.keyword = n.keyword AND km.month = m.month"""
 
-ORACLE["relation_articles"] = STAR_BASE + r""",
+def articles_sql(base: str, m: str) -> str:
+    return base + r""",
 rows AS (
   SELECT x.keyword, h.archive, string_split(h.archive, '/') AS parts
-  FROM hits h JOIN star_m x ON x.id = h.id
+  FROM hits h JOIN """ + m + r""" x ON x.id = h.id
   WHERE x.n IS NOT NULL AND x.keyword IN (SELECT keyword FROM neigh)
 ),
 s AS (SELECT *, CASE WHEN parts[-1] <> '' THEN parts[-1] ELSE parts[-2] END AS slug FROM rows),
@@ -324,6 +329,9 @@ f AS (
 )
 SELECT keyword, title, capture_date, host, original_url, """ + outlet_case("host") + """ AS outlet, archive FROM f"""
 
+
+ORACLE["relation_articles"] = articles_sql(STAR_BASE, "star_m")
+
 ORACLE["outlet_match"] = "WITH " + STAR + "," + TEXT + """,
 hosts AS (
   SELECT DISTINCT replace(string_split(archive, '/')[9], 'www.', '') AS host
@@ -359,3 +367,30 @@ ORACLE["relation_store_roundtrip"] = ALL_TOPICS + "SELECT topic, keyword, count
 ORACLE["text_relations"] = ("WITH " + TEXT + "," + hits("thits", "text_m", "text_a", TEXT_TOPIC) + ","
                             + rel("trel", "thits", "text_m")
                             + f"\nSELECT keyword, count, round(sentiment, {R}) AS sentiment FROM trel")
+
+TEXT_BASE = ("WITH " + TEXT + "," + hits("hits", "text_m", "text_a", TEXT_TOPIC) + "," + rel("rel", "hits", "text_m")
+             + f""",
+neigh AS (SELECT * FROM rel WHERE keyword <> {q(TEXT_TOPIC)})
+""")
+
+ORACLE["text_relation_nodes"] = nodes_sql(TEXT_BASE)
+
+ORACLE["text_topic_history"] = TEXT_BASE + history("hits", "text_m", TEXT_TOPIC) + """
+SELECT month, CAST(articles AS BIGINT) AS articles, top_label, month_label FROM hist"""
+
+ORACLE["text_relation_articles"] = articles_sql(TEXT_BASE, "text_m")
+
+ORACLE["relations_topic_list"] = "WITH " + STAR + """,
+hits_l AS (
+  SELECT a.*, t.keyword AS topic FROM star_a a JOIN star_m t ON t.id = a.id
+  WHERE t.n > 4 AND t.keyword IN (""" + ", ".join(q(t) for t in TOPIC_LIST) + f""")
+)
+SELECT h.topic, x.keyword, CAST(sum(x.n) AS BIGINT) AS count,
+       round(sum(h.sentiment * x.n) / nullif(sum(CASE WHEN h.sentiment IS NOT NULL THEN x.n END), 0), {R}) AS sentiment
+FROM hits_l h JOIN star_m x ON x.id = h.id
+WHERE x.n IS NOT NULL
+GROUP BY h.topic, x.keyword HAVING sum(x.n) >= 5"""
+
+ORACLE["outlet_match_table"] = "WITH " + TEXT + """,
+hosts AS (SELECT DISTINCT replace(string_split(archive, '/')[9], 'www.', '') AS host FROM text_a)
+SELECT host, """ + outlet_case("host") + " AS outlet FROM hosts"
