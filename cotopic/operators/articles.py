@@ -11,6 +11,7 @@ from cotopic.functions.urls import (
     article_title, capture_date, capture_order, original_url, outlet_host,
 )
 from cotopic.operators.topics import mention_rows
+from cotopic.schema import MIN_COUNT
 
 # Outlet tokens, tried in this order; the first one contained in the host wins.
 OUTLETS = [
@@ -55,22 +56,33 @@ def match_outlet(df: DataFrame, host: str = "host", outlets: Sequence[str] | Dat
               .withColumn("outlet", F.coalesce("outlet", F.lit(NO_OUTLET))))
 
 
-def relation_articles(hits: DataFrame, rel: DataFrame, dedup: bool = True) -> DataFrame:
+def relation_articles(hits: DataFrame, rel: DataFrame | None = None, dedup: bool = True,
+                      min_count: int = MIN_COUNT, include_topic: bool = False) -> DataFrame:
     """``topic, keyword, title, capture_date, host, original_url, outlet, archive``.
 
     One row per (article, keyword) of the relation set; with ``dedup`` one row per
-    (topic, keyword, title), keeping the latest capture (then the smallest URL). The
-    de-duplication is a hash aggregation on ``min(struct)``, so a title repeated by many
-    articles is combined per task before the shuffle.
+    (topic, keyword, title), keeping the latest capture (then the smallest URL).
+
+    Without ``rel`` the relation set is taken from this aggregate itself (a keyword's count
+    is the sum over its titles), so the hits are read once; the topic's own articles are
+    left out unless ``include_topic``. With ``rel`` only its (topic, keyword) pairs are kept.
     """
-    rows = (mention_rows(hits, "archive")
-            .join(rel.select("topic", "keyword"), ["topic", "keyword"], "left_semi")
-            .select("topic", "keyword", "archive", article_title("archive").alias("title")))
+    rows = mention_rows(hits, "archive").select(
+        "topic", "keyword", "n", "archive", article_title("archive").alias("title"))
     if dedup:
         order = F.coalesce(-capture_order("archive"), F.lit(2**63 - 1))
         rows = (rows.groupBy("topic", "keyword", "title")
-                    .agg(F.min(F.struct(order.alias("o"), F.col("archive").alias("a"))).alias("_w"))
-                    .select("topic", "keyword", "title", F.col("_w")["a"].alias("archive")))
+                    .agg(F.min(F.struct(order.alias("o"), F.col("archive").alias("a"))).alias("_w"),
+                         F.sum("n").alias("n"))
+                    .select("topic", "keyword", "title", F.col("_w")["a"].alias("archive"), "n"))
+    if rel is None:
+        keep = (rows.groupBy("topic", "keyword").agg(F.sum("n").alias("_count"))
+                    .where(F.col("_count") >= min_count))
+        if not include_topic:
+            keep = keep.where(F.col("keyword") != F.col("topic"))
+    else:
+        keep = rel
+    rows = rows.join(keep.select("topic", "keyword"), ["topic", "keyword"], "left_semi")
     out = rows.select(
         "topic", "keyword", "title",
         capture_date("archive").alias("capture_date"),

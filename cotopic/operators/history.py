@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cotopic.functions.labels import month_label, month_start, month_tick, numbered_list
 from cotopic.operators.topics import mention_rows
-from cotopic.schema import TOP_PER_MONTH
+from cotopic.schema import MIN_COUNT, TOP_PER_MONTH
 
 
 def _one_month():
@@ -67,47 +67,84 @@ def topic_history(hits: DataFrame, k: int = TOP_PER_MONTH, sep: str = "<br>",
     Default (reference-exact): months whose hits mention no keyword besides the topic have
     no top list and are dropped before gap filling, so inside the range they come back with
     0 articles and at the edges they shorten it. ``keep_topic_only_months=True`` keeps them.
+
+    One pipeline, no self join: a single aggregate per (topic, month, keyword) carries both
+    the mentions and ``count(archive)``; every hit holds its topic, so the topic's own row
+    counts the month's articles. Ranking puts that row first and keeps ``k + 1`` rows per
+    month (a ``WindowGroupLimit`` before the shuffle). Months are then collected per topic
+    - at most one entry per calendar month - and the spine is generated from their range
+    and filled by map lookup.
     """
-    arts = monthly_articles(hits).where(F.col("timestamp").isNotNull())
-    tops = (monthly_top_keywords(hits, k)
-            .groupBy("topic", "timestamp")
-            .agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "keyword"))),
-                             lambda x: x["keyword"]).alias("top")))
-    joined = (arts.join(tops, ["topic", "timestamp"], "left" if keep_topic_only_months else "inner")
-                  .withColumn("month", month_start("timestamp"))
-                  .drop("timestamp"))
-    filled = fill_months(joined, ["topic"], {"articles": 0})
+    rows = mention_rows(hits, "timestamp", "archive").where(F.col("timestamp").isNotNull())
+    per = rows.groupBy("topic", "timestamp", "keyword").agg(
+        F.sum("n").alias("mentions"), F.count("archive").alias("_arts"))
+    own = F.col("keyword") == F.col("topic")
+    w = Window.partitionBy("topic", "timestamp").orderBy(own.desc(), F.desc("mentions"), F.asc("keyword"))
+    ranked = per.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k + 1)
+    listed = F.when(~own, F.struct(F.col("rank"), F.col("keyword")))
+    months = (ranked.groupBy("topic", "timestamp")
+              .agg(F.max(F.when(own, F.col("_arts"))).alias("articles"),
+                   F.transform(F.array_sort(F.collect_list(listed)), lambda x: x["keyword"]).alias("top")))
+    if not keep_topic_only_months:
+        months = months.where(F.size("top") > 0)
+    months = months.where(F.col("articles").isNotNull()).withColumn("month", month_start("timestamp"))
+    entry = F.struct(F.col("articles"), F.col("top"))
+    per_topic = months.where(F.col("month").isNotNull()).groupBy("topic").agg(
+        F.map_from_entries(F.collect_list(F.struct("month", entry))).alias("_m"),
+        F.min("month").alias("_lo"), F.max("month").alias("_hi"))
+    filled = per_topic.select("topic", "_m", F.explode(F.sequence("_lo", "_hi", _one_month())).alias("month"))
+    hit = F.col("_m")[F.col("month")]
     return filled.select(
         "topic",
         month_tick("month").alias("month"),
-        "articles",
-        numbered_list("top", sep).alias("top_label"),
+        F.coalesce(hit["articles"], F.lit(0)).alias("articles"),
+        numbered_list(F.when(F.size(hit["top"]) > 0, hit["top"]), sep).alias("top_label"),
         month_label("month").alias("month_label"),
     )
 
 
-def relation_history(hits: DataFrame, rel: DataFrame, months: DataFrame | None = None) -> DataFrame:
-    """``topic, keyword, month, articles, mentions`` for every keyword of ``rel``.
+def relation_history(hits: DataFrame, rel: DataFrame | None = None, min_count: int = MIN_COUNT,
+                     include_topic: bool = False) -> DataFrame:
+    """``topic, keyword, month, articles, mentions`` for every keyword of the relation set.
 
     ``articles`` are the topic's hit articles of the month, ``mentions`` those of the
-    keyword; the range is the topic's first to last hit month. The spine is generated per
-    (topic, keyword) from the topic's month range (a one-row-per-topic lookup join).
+    keyword; the range is the topic's first to last hit month.
+
+    One pipeline, no self join: a single aggregate per (topic, keyword, month) carries the
+    mentions and ``count(archive)`` (the topic's own row counts the month's articles, since
+    every hit holds its topic); per keyword the months are collected into maps (one entry
+    per calendar month); a window over the topic's per-keyword rows hands the topic's
+    article map and month range to every keyword; the spine is generated and filled by
+    map lookup. Without ``rel`` the count cut comes from the same aggregate.
     """
-    from cotopic.operators.relations import relation_months
-
-    months = relation_months(hits, rel) if months is None else months
-    arts = (monthly_articles(hits).where(F.col("timestamp").isNotNull())
-            .withColumn("month", month_start("timestamp")).drop("timestamp"))
-    bounds = arts.groupBy("topic").agg(F.min("month").alias("_lo"), F.max("month").alias("_hi"))
-    spine = (rel.select("topic", "keyword").join(bounds, "topic")
-             .select("topic", "keyword", F.explode(F.sequence("_lo", "_hi", _one_month())).alias("month")))
-    kw = (months.where(F.col("timestamp").isNotNull())
-          .withColumn("month", month_start("timestamp")).drop("timestamp"))
-    return (spine.join(arts, ["topic", "month"], "left")
-                 .join(kw, ["topic", "keyword", "month"], "left")
-                 .select("topic", "keyword", month_tick("month").alias("month"),
-                         F.coalesce("articles", F.lit(0)).alias("articles"),
-                         F.coalesce("mentions", F.lit(0)).alias("mentions")))
+    rows = mention_rows(hits, "timestamp", "archive")
+    per = (rows.groupBy("topic", "keyword", "timestamp")
+               .agg(F.sum("n").alias("mentions"), F.count("archive").alias("_arts"))
+               .withColumn("month", month_start("timestamp")))
+    own = F.col("keyword") == F.col("topic")
+    dated = F.col("month").isNotNull()
+    kw = per.groupBy("topic", "keyword").agg(
+        F.sum("mentions").alias("_count"),
+        F.map_from_entries(F.collect_list(F.when(dated, F.struct("month", "mentions")))).alias("_km"),
+        F.map_from_entries(F.collect_list(F.when(dated & own, F.struct("month", "_arts")))).alias("_am"),
+        F.min(F.when(own, F.col("month"))).alias("_lo"),
+        F.max(F.when(own, F.col("month"))).alias("_hi"))
+    w = Window.partitionBy("topic")
+    kw = (kw.withColumn("_am", F.first(F.when(own, F.col("_am")), ignorenulls=True).over(w))
+            .withColumn("_lo", F.min("_lo").over(w))
+            .withColumn("_hi", F.max("_hi").over(w)))
+    if rel is None:
+        kw = kw.where(F.col("_count") >= min_count)
+        if not include_topic:
+            kw = kw.where(~own)
+    else:
+        kw = kw.join(rel.select("topic", "keyword"), ["topic", "keyword"], "left_semi")
+    spine = kw.select("topic", "keyword", "_km", "_am",
+                      F.explode(F.sequence("_lo", "_hi", _one_month())).alias("month"))
+    return spine.select(
+        "topic", "keyword", month_tick("month").alias("month"),
+        F.coalesce(F.col("_am")[F.col("month")], F.lit(0)).alias("articles"),
+        F.coalesce(F.col("_km")[F.col("month")], F.lit(0)).alias("mentions"))
 
 
 def history_peak(history: DataFrame, cols: list[str], keys: list[str] = ("topic",), headroom: float = 1.1) -> DataFrame:

@@ -23,7 +23,7 @@ from cotopic.operators import (
 from cotopic.functions import outlet_host, topic_key
 from cotopic.session import scratch_path, shared_dir
 from cotopic.sources.fixtures import star_news, text_news
-from cotopic.sources.news import read_news, write_news
+from cotopic.sources.news import materialize, read_news, write_news
 from cotopic.sources.store import RelationStore
 
 # Query parameters.
@@ -74,9 +74,13 @@ class Corpus:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into ``spark.checkpoint.dir`` (survives executor loss)."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once as a Parquet table below ``spark.checkpoint.dir`` and read it back.
+
+    One job (a reliable ``checkpoint()`` of an unpersisted plan computes it twice: once for
+    the action, once more to write the files); the read-back is columnar, so later stages
+    prune columns and get real size statistics. Survives executor loss.
+    """
+    return materialize(df, scratch_path(df.sparkSession, "shared"))
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -125,11 +129,11 @@ def q_monthly_top_keywords(c: Corpus) -> DataFrame:
 
 
 def q_topic_history(c: Corpus) -> DataFrame:
-    return topic_history(c.shared_hits(HISTORY_MIN_MENTIONS)).select("month", "articles", "top_label", "month_label")
+    return topic_history(c.hits(HISTORY_MIN_MENTIONS)).select("month", "articles", "top_label", "month_label")
 
 
 def q_history_peak(c: Corpus) -> DataFrame:
-    return rounded(history_peak(topic_history(c.shared_hits()), ["articles"]).select("peak"))
+    return rounded(history_peak(topic_history(c.hits()), ["articles"]).select("peak"))
 
 
 def q_relations(c: Corpus) -> DataFrame:
@@ -182,13 +186,11 @@ def q_relation_summary(c: Corpus) -> DataFrame:
 
 
 def q_relation_history(c: Corpus) -> DataFrame:
-    hits = c.shared_hits()
-    return relation_history(hits, neighbours(relations(hits))).select("keyword", "month", "articles", "mentions")
+    return relation_history(c.hits()).select("keyword", "month", "articles", "mentions")
 
 
 def q_relation_articles(c: Corpus) -> DataFrame:
-    hits = c.shared_hits()
-    return relation_articles(hits, neighbours(relations(hits))).select(
+    return relation_articles(c.hits()).select(
         "keyword", "title", "capture_date", "host", "original_url", "outlet", "archive")
 
 
@@ -232,12 +234,11 @@ def q_text_relation_nodes(c: Corpus) -> DataFrame:
 
 
 def q_text_topic_history(c: Corpus) -> DataFrame:
-    return topic_history(c.text_shared_hits()).select("month", "articles", "top_label", "month_label")
+    return topic_history(topic_hits(c.text, TEXT_TOPIC)).select("month", "articles", "top_label", "month_label")
 
 
 def q_text_relation_articles(c: Corpus) -> DataFrame:
-    hits = c.text_shared_hits()
-    return relation_articles(hits, neighbours(relations(hits))).select(
+    return relation_articles(topic_hits(c.text, TEXT_TOPIC)).select(
         "keyword", "title", "capture_date", "host", "original_url", "outlet", "archive")
 
 

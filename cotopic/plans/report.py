@@ -1,8 +1,9 @@
 """A whole topic search as one set of lazy reports over one materialized hit set.
 
 This is the page a user gets for a topic: summary, outlets, monthly history, relation
-set, graph nodes, keyword weights. The hits are checkpointed once (the corpus maps are
-scanned once); every report below is a lazy DataFrame over them, so the caller runs only
+set, graph nodes, keyword weights. The hits are written once as a Parquet table in the
+shared checkpoint folder (the corpus maps are scanned once); every report below is a lazy
+DataFrame over them, so the caller runs only
 the reports it needs, as one job each. ``relation_detail`` is the follow-up for one
 related keyword.
 """
@@ -18,15 +19,16 @@ from cotopic.operators import (
     topic_sources, topic_summary,
 )
 from cotopic.schema import MIN_COUNT, MIN_MENTIONS, TOP_NODES
-from cotopic.session import shared_dir
+from cotopic.session import scratch_path
+from cotopic.sources.news import materialize
 
 
 def topic_search(news: DataFrame, topic, min_mentions: int = MIN_MENTIONS, min_count: int = MIN_COUNT,
                  n: int = TOP_NODES) -> dict[str, DataFrame]:
     """All reports of a search for ``topic`` (a string, a list, or a ``topic`` table)."""
-    shared_dir(news.sparkSession)
-    hits = topic_hits(news, topic, min_mentions).checkpoint(eager=True)
-    rel = relations(hits, min_count, extremes=True).checkpoint(eager=True)
+    spark = news.sparkSession
+    hits = materialize(topic_hits(news, topic, min_mentions), scratch_path(spark, "search-hits"))
+    rel = materialize(relations(hits, min_count, extremes=True), scratch_path(spark, "search-relations"))
     return {
         "hits": hits,
         "summary": topic_summary(hits),

@@ -30,7 +30,8 @@ from cotopic.functions.labels import topic_key
 from cotopic.operators.relations import relations
 from cotopic.operators.topics import topic_hits
 from cotopic.schema import MIN_COUNT, MIN_MENTIONS
-from cotopic.session import shared_dir
+from cotopic.session import scratch_path
+from cotopic.sources.news import materialize
 
 STORED = ["topic", "keyword", "count", "sentiment", "articles", "first_archive", "last_archive"]
 
@@ -134,8 +135,8 @@ class RelationStore:
         else:
             wanted = self.spark.createDataFrame([(t,) for t in sorted(set(topics))], "topic string")
         missing = wanted.join(self.index(fp).select("topic"), "topic", "left_anti")
-        shared_dir(self.spark)
-        todo = missing.checkpoint(eager=True)  # fixes the batch's topic set for the jobs below
+        # the batch's topic set is written once, so the jobs below agree on it
+        todo = materialize(missing, scratch_path(self.spark, "store-todo"))
         if not todo.isEmpty():
             rel = relations(topic_hits(news, todo, min_mentions), min_count, extremes=True)
             self.write(rel, todo, fp)
