@@ -20,6 +20,7 @@ Layout below ``root``::
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 from collections.abc import Iterable
 
@@ -52,6 +53,14 @@ def corpus_fingerprint(news: DataFrame, min_mentions: int = MIN_MENTIONS, min_co
     return hashlib.sha256(raw.encode()).hexdigest()[:16]
 
 
+def plan_fingerprint(news: DataFrame, min_mentions: int = MIN_MENTIONS, min_count: int = MIN_COUNT) -> str:
+    """Metadata-only fingerprint (no scan): the sorted input files and the semantic hash of
+    the plan that derives the corpus, plus the cut-offs. Rewritten or appended data files
+    get new names, so they change it; an in-place edit keeping file names does not."""
+    raw = json.dumps([sorted(news.inputFiles()), news.semanticHash(), min_mentions, min_count])
+    return hashlib.sha256(raw.encode()).hexdigest()[:16]
+
+
 class RelationStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -124,10 +133,21 @@ class RelationStore:
         return batch
 
     def get_or_compute(self, news: DataFrame, topics: Iterable[str] | DataFrame | None = None,
-                       min_mentions: int = MIN_MENTIONS, min_count: int = MIN_COUNT) -> DataFrame:
+                       min_mentions: int = MIN_MENTIONS, min_count: int = MIN_COUNT,
+                       fingerprint: str = "content") -> DataFrame:
         """Relation sets of ``topics`` (all topics with hits when None), computing only the
-        topics not yet stored for this corpus and these cut-offs."""
-        fp = corpus_fingerprint(news, min_mentions, min_count)
+        topics not yet stored for this corpus and these cut-offs.
+
+        ``fingerprint``: ``"content"`` hashes every row (exact, one scan); ``"plan"`` uses
+        file names and plan only (no scan, for serving lookups on large corpora); any other
+        string is taken as the fingerprint itself (e.g. a table version).
+        """
+        if fingerprint == "content":
+            fp = corpus_fingerprint(news, min_mentions, min_count)
+        elif fingerprint == "plan":
+            fp = plan_fingerprint(news, min_mentions, min_count)
+        else:
+            fp = hashlib.sha256(f"{fingerprint}|{min_mentions}|{min_count}".encode()).hexdigest()[:16]
         if topics is None:
             wanted = (topic_hits(news, None, min_mentions).select("topic").distinct())
         elif isinstance(topics, DataFrame):

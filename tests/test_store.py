@@ -48,3 +48,17 @@ def test_unindexed_batches_are_invisible(spark, hand):
        .withColumn("batch", F.lit("crashed")).withColumn("fp", F.lit(fp)) \
        .write.partitionBy("fp", "key_prefix").parquet(store.data_path)  # data without index rows
     assert store.read(fp).count() == 0
+
+
+def test_plan_fingerprint_needs_no_scan_and_tracks_files(spark, hand):
+    from cotopic.sources.news import materialize
+    from cotopic.sources.store import plan_fingerprint
+    path = scratch_path(spark, "fp-a")
+    a = materialize(hand, path)
+    b = materialize(hand, scratch_path(spark, "fp-b"))
+    assert plan_fingerprint(a) == plan_fingerprint(spark.read.parquet(path))  # same files, same plan
+    assert plan_fingerprint(a) != plan_fingerprint(b)  # other files
+    store = RelationStore(spark, scratch_path(spark, "store"))
+    got = store.get_or_compute(a, ["q"], fingerprint="plan")
+    assert rows(got) == rows(relations(topic_hits(hand, "q")))
+    assert rows(store.get_or_compute(a, ["q"], fingerprint="v1")) == rows(got)
