@@ -56,6 +56,9 @@ def match_outlet(df: DataFrame, host: str = "host", outlets: Sequence[str] | Dat
               .withColumn("outlet", F.coalesce("outlet", F.lit(NO_OUTLET))))
 
 
+ARTICLE_FIELDS = ["title", "capture_date", "host", "original_url", "outlet", "archive"]
+
+
 def relation_articles(hits: DataFrame, rel: DataFrame | None = None, dedup: bool = True,
                       min_count: int = MIN_COUNT, include_topic: bool = False) -> DataFrame:
     """``topic, keyword, title, capture_date, host, original_url, outlet, archive``.
@@ -63,18 +66,27 @@ def relation_articles(hits: DataFrame, rel: DataFrame | None = None, dedup: bool
     One row per (article, keyword) of the relation set; with ``dedup`` one row per
     (topic, keyword, title), keeping the latest capture (then the smallest URL).
 
+    Every field is a function of the article's URL, so it is computed once per hit article,
+    before the keyword explode, and carried through the de-duplication.
     Without ``rel`` the relation set is taken from this aggregate itself (a keyword's count
     is the sum over its titles), so the hits are read once; the topic's own articles are
     left out unless ``include_topic``. With ``rel`` only its (topic, keyword) pairs are kept.
     """
-    rows = mention_rows(hits, "archive").select(
-        "topic", "keyword", "n", "archive", article_title("archive").alias("title"))
+    order = F.coalesce(-capture_order("archive"), F.lit(2**63 - 1))
+    per_article = hits.select(
+        "topic", "keywords", "archive",
+        article_title("archive").alias("title"),
+        capture_date("archive").alias("capture_date"),
+        order.alias("_o"),
+    ).withColumn("host", outlet_host("archive")).withColumn("original_url", original_url("archive"))
+    per_article = match_outlet(per_article, "host")
+    rows = (per_article.select("topic", "_o", *ARTICLE_FIELDS, F.explode("keywords").alias("keyword", "n"))
+                       .where(F.col("n").isNotNull()))
     if dedup:
-        order = F.coalesce(-capture_order("archive"), F.lit(2**63 - 1))
+        best = F.min(F.struct(F.col("_o"), F.col("archive").alias("_a"), *[F.col(c) for c in ARTICLE_FIELDS]))
         rows = (rows.groupBy("topic", "keyword", "title")
-                    .agg(F.min(F.struct(order.alias("o"), F.col("archive").alias("a"))).alias("_w"),
-                         F.sum("n").alias("n"))
-                    .select("topic", "keyword", "title", F.col("_w")["a"].alias("archive"), "n"))
+                    .agg(best.alias("_w"), F.sum("n").alias("n"))
+                    .select("topic", "keyword", "n", *[F.col("_w")[c].alias(c) for c in ARTICLE_FIELDS]))
     if rel is None:
         keep = (rows.groupBy("topic", "keyword").agg(F.sum("n").alias("_count"))
                     .where(F.col("_count") >= min_count))
@@ -82,15 +94,8 @@ def relation_articles(hits: DataFrame, rel: DataFrame | None = None, dedup: bool
             keep = keep.where(F.col("keyword") != F.col("topic"))
     else:
         keep = rel
-    rows = rows.join(keep.select("topic", "keyword"), ["topic", "keyword"], "left_semi")
-    out = rows.select(
-        "topic", "keyword", "title",
-        capture_date("archive").alias("capture_date"),
-        outlet_host("archive").alias("host"),
-        original_url("archive").alias("original_url"),
-        "archive",
-    )
-    return match_outlet(out, "host")
+    return (rows.join(keep.select("topic", "keyword"), ["topic", "keyword"], "left_semi")
+                .select("topic", "keyword", *ARTICLE_FIELDS))
 
 
 def ordered_articles(articles: DataFrame) -> DataFrame:
