@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from cotopic.functions.urls import (
     article_title, capture_date, capture_order, original_url, outlet_host,
 )
-from cotopic.operators.topics import mention_rows
 from cotopic.schema import MIN_COUNT
 
 # Outlet tokens, tried in this order; the first one contained in the host wins.

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from cotopic.functions.labels import band_color, node_caption, sentiment_band, wrap_label
 from cotopic.functions.urls import capture_month, capture_stamp
-from cotopic.operators.relations import neighbours, relation_extremes, relation_months
-from cotopic.schema import TOP_NODES
+from cotopic.operators.relations import neighbours, relations
+from cotopic.operators.topics import mention_rows
+from cotopic.schema import MIN_COUNT, TOP_NODES
 
 # Quantile levels, and the weights blending all-neighbour with top-N quantiles.
 LEVELS = (0.1, 0.3, 0.7, 0.9)
@@ -49,33 +50,34 @@ def sentiment_thresholds(neigh: DataFrame, top: DataFrame, approx: bool = False)
         *[(F.col(f"a_{c}") * BLEND_ALL[c] + F.col(f"t_{c}") * BLEND_TOP[c]).alias(c) for c in QNAMES])
 
 
-def _with_extremes(top: DataFrame, hits: DataFrame | None) -> DataFrame:
-    if "first_archive" in top.columns:
-        return top
-    if hits is None:
-        raise ValueError("relation set has no archive extremes: pass hits=, or relations(..., extremes=True)")
-    return top.join(relation_extremes(hits, top), ["topic", "keyword"], "left")
-
-
 def relation_nodes(rel: DataFrame, n: int = TOP_NODES, sep: str = "<br>", approx: bool = False,
                    hits: DataFrame | None = None) -> DataFrame:
     """``topic, keyword, count, sentiment, size, band, color, label, caption, first_seen, last_seen``.
 
-    ``rel`` is the relation set (topic included; it is removed here). The all-neighbour
-    quantiles are a partial/final aggregate per topic; quantiles and smallest count of the
-    top-N are windows over at most ``n`` rows per topic. Archive extremes come from ``rel``
-    or, for the top-N keys only, from ``hits``.
+    ``rel`` is the relation set (topic included; it is removed here) and must carry the
+    archive extremes (``relations(..., extremes=True)``, or a stored relation set); without
+    them pass ``hits=`` and they are computed in the same single aggregate.
+
+    One pipeline over the relation set, no join back: per-topic windows give the
+    all-neighbour quantiles and the rank; after the top-N cut, windows over at most ``n``
+    rows per topic give the top-N quantiles and the smallest count.
     """
-    neigh = neighbours(rel)
-    qa = sentiment_quantiles(neigh, approx).select("topic", *[F.col(c).alias(f"a_{c}") for c in QNAMES])
-    per_topic = Window.partitionBy("topic")
+    if "first_archive" not in rel.columns:
+        if hits is None:
+            raise ValueError("relation set has no archive extremes: pass hits=, or relations(..., extremes=True)")
+        rel = relations(hits, extremes=True).join(rel.select("topic", "keyword"), ["topic", "keyword"], "left_semi")
     pct = (F.percentile_approx("sentiment", list(LEVELS), 10000) if approx
            else F.percentile("sentiment", list(LEVELS)))
-    top = (top_relations(neigh, n)
+    per_topic = Window.partitionBy("topic")
+    ranked = Window.partitionBy("topic").orderBy(F.desc("count"), F.asc("keyword"))
+    top = (neighbours(rel)
+           .withColumn("_qa", pct.over(per_topic))
+           .withColumn("rank", F.row_number().over(ranked))
+           .where(F.col("rank") <= n)
            .withColumn("_qt", pct.over(per_topic))
            .withColumn("min_count", F.min("count").over(per_topic)))
-    thr = [(F.col(f"a_{c}") * BLEND_ALL[c] + F.col("_qt")[i] * BLEND_TOP[c]).alias(c) for i, c in enumerate(QNAMES)]
-    nodes = _with_extremes(top.join(qa, "topic", "left").select("*", *thr), hits)
+    thr = [(F.col("_qa")[i] * BLEND_ALL[c] + F.col("_qt")[i] * BLEND_TOP[c]).alias(c) for i, c in enumerate(QNAMES)]
+    nodes = top.select("*", *thr)
     size = F.pow(F.ln(F.col("count") / F.col("min_count")) * SIZE_SCALE, SIZE_POWER) + SIZE_BASE
     band = sentiment_band("sentiment", "q10", "q30", "q70", "q90")
     last_seen = capture_month("last_archive")
@@ -88,24 +90,37 @@ def relation_nodes(rel: DataFrame, n: int = TOP_NODES, sep: str = "<br>", approx
                  .withColumn("color", band_color("band")))
 
 
-def relation_years(hits: DataFrame, rel: DataFrame, n: int = TOP_NODES) -> DataFrame:
-    """``topic, keyword, year, mentions`` for the graph nodes, every year filled.
+def relation_years(hits: DataFrame, rel: DataFrame | None = None, n: int = TOP_NODES,
+                   min_count: int = MIN_COUNT) -> DataFrame:
+    """``topic, keyword, year, mentions`` for the graph nodes (top ``n`` neighbours), every
+    year filled.
 
     The range runs from the first capture year (or first mention year, if earlier) to the
     last capture year (or last mention year, if later), so no mention falls outside it.
+
+    One pipeline over one read of the hits: an aggregate per (topic, keyword, year) holds the
+    mentions and the archive extremes; per keyword they roll up into a year map (one entry
+    per calendar year) and the count; the top-N cut is a window; the spine is generated from
+    the range and filled by map lookup. ``rel`` optionally restricts the keywords.
     """
-    top = _with_extremes(top_relations(neighbours(rel), n), hits)
+    rows = mention_rows(hits, "timestamp", "archive")
+    per = rows.groupBy("topic", "keyword", (F.col("timestamp") / 100).cast("int").alias("year")).agg(
+        F.sum("n").alias("mentions"), F.min("archive").alias("_a0"), F.max("archive").alias("_a1"))
+    dated = F.col("year").isNotNull()
+    kw = per.groupBy("topic", "keyword").agg(
+        F.sum("mentions").alias("count"),
+        F.map_from_entries(F.collect_list(F.when(dated, F.struct("year", "mentions")))).alias("_ym"),
+        F.min(F.when(dated, F.col("year"))).alias("_m0"), F.max(F.when(dated, F.col("year"))).alias("_m1"),
+        F.min("_a0").alias("first_archive"), F.max("_a1").alias("last_archive"))
+    kw = kw.where((F.col("count") >= min_count) & (F.col("keyword") != F.col("topic")))
+    if rel is not None:
+        kw = kw.join(rel.select("topic", "keyword"), ["topic", "keyword"], "left_semi")
+    top = top_relations(kw, n)
     first = capture_stamp("first_archive").substr(1, 4).try_cast("int")
     last = capture_stamp("last_archive").substr(1, 4).try_cast("int")
-    keys = top.select("topic", "keyword", first.alias("_c0"), last.alias("_c1"))
-    per = (relation_months(hits, top).where(F.col("timestamp").isNotNull())
-           .groupBy("topic", "keyword", (F.col("timestamp") / 100).cast("int").alias("year"))
-           .agg(F.sum("mentions").alias("mentions")))
-    span = per.groupBy("topic", "keyword").agg(F.min("year").alias("_m0"), F.max("year").alias("_m1"))
-    bounds = keys.join(span, ["topic", "keyword"], "left").select(
-        "topic", "keyword",
-        F.least("_c0", "_m0").alias("_y0"), F.greatest("_c1", "_m1").alias("_y1"))
+    bounds = top.select("topic", "keyword", "_ym",
+                        F.least(first, F.col("_m0")).alias("_y0"), F.greatest(last, F.col("_m1")).alias("_y1"))
     spine = (bounds.where(F.col("_y0").isNotNull() & F.col("_y1").isNotNull())
-             .select("topic", "keyword", F.explode(F.sequence("_y0", "_y1")).alias("year")))
-    return (spine.join(per, ["topic", "keyword", "year"], "left")
-                 .withColumn("mentions", F.coalesce("mentions", F.lit(0))))
+             .select("topic", "keyword", "_ym", F.explode(F.sequence("_y0", "_y1")).alias("year")))
+    return spine.select("topic", "keyword", "year",
+                        F.coalesce(F.col("_ym")[F.col("year")], F.lit(0)).cast("long").alias("mentions"))

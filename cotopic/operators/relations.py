@@ -109,20 +109,37 @@ def relations_nested(hits: DataFrame, rel: DataFrame | None = None, min_count: i
     ``date`` (month -> mentions) and ``source`` (outlet -> articles) are maps with string
     keys, a null key written as ``"null"``; both are bounded by months and outlets.
     Article URLs stay in the long ``relation_articles`` table instead of a list here.
-    """
-    rel = relations(hits, min_count) if rel is None else rel
 
-    def as_map(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    One read of the hits: a single ``GROUPING SETS`` aggregate produces the per-month and
+    the per-outlet rows; a second aggregate per keyword builds both maps and takes the count
+    and tone sums from the month rows.
+    """
+    rows = mention_rows(hits, "timestamp", "source", "sentiment")
+    tone = F.col("sentiment").cast("double")
+    g = (rows.groupingSets([["topic", "keyword", "timestamp"], ["topic", "keyword", "source"]],
+                           "topic", "keyword", "timestamp", "source")
+             .agg(F.sum("n").alias("mentions"), F.count(F.lit(1)).alias("articles"),
+                  F.sum(tone * F.col("n")).alias("_ts"), F.sum(F.when(tone.isNotNull(), F.col("n"))).alias("_tn"),
+                  F.grouping_id().alias("_g")))
+    by_month = F.col("_g") == 1  # source grouped out
+    by_source = F.col("_g") == 2  # month grouped out
+
+    def entries(cond, key, value):
         k = F.coalesce(F.col(key).cast("string"), F.lit("null"))
-        return (df.groupBy("topic", "keyword")
-                  .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(k.alias("k"), F.col(value).alias("v")))))
-                       .alias(name)))
-
-    months = as_map(relation_months(hits, rel), "timestamp", "mentions", "date")
-    sources = as_map(relation_sources(hits, rel), "source", "articles", "source")
-    return (rel.select("topic", "keyword", "count", "sentiment")
-               .join(months, ["topic", "keyword"], "left")
-               .join(sources, ["topic", "keyword"], "left"))
+        return F.map_from_entries(F.array_sort(F.collect_list(F.when(cond, F.struct(k.alias("k"), F.col(value).alias("v"))))))
+
+    out = (g.groupBy("topic", "keyword")
+            .agg(F.sum(F.when(by_month, F.col("mentions"))).alias("count"),
+                 F.sum(F.when(by_month, F.col("_ts"))).alias("_ts"),
+                 F.sum(F.when(by_month, F.col("_tn"))).alias("_tn"),
+                 entries(by_month, "timestamp", "mentions").alias("date"),
+                 entries(by_source, "source", "articles").alias("source"))
+            .where(F.col("count") >= min_count)
+            .withColumn("sentiment", F.col("_ts") / F.nullif(F.col("_tn"), F.lit(0)))
+            .select("topic", "keyword", "count", "sentiment", "date", "source"))
+    if rel is not None:
+        out = out.join(rel.select("topic", "keyword"), ["topic", "keyword"], "left_semi")
+    return out
 
 
 def _candidates(candidates, rel: DataFrame) -> DataFrame:

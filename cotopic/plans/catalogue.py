@@ -21,9 +21,9 @@ from cotopic.operators import (
     topic_history, topic_hits, topic_sources, topic_summary, top_relations,
 )
 from cotopic.functions import outlet_host, topic_key
-from cotopic.session import scratch_path, shared_dir
+from cotopic.session import scratch_path
 from cotopic.sources.fixtures import star_news, text_news
-from cotopic.sources.news import materialize, read_news, write_news
+from cotopic.sources.news import read_news, write_news
 from cotopic.sources.store import RelationStore
 
 # Query parameters.
@@ -59,29 +59,9 @@ class Corpus:
     def hits(self, min_mentions: int = 4) -> DataFrame:
         return topic_hits(self.star, STAR_TOPIC, min_mentions)
 
-    def shared_hits(self, min_mentions: int = 4) -> DataFrame:
-        """The topic's hits written once to the checkpoint folder, for reports that read
-        them several times: later stages read the small hit set instead of scanning the
-        corpus maps again. A new checkpoint per call, so no result is served from an
-        earlier query."""
-        return checkpointed(self.hits(min_mentions))
-
     def rel(self) -> DataFrame:
         return relations(self.hits())
 
-    def text_shared_hits(self) -> DataFrame:
-        return checkpointed(topic_hits(self.text, TEXT_TOPIC))
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` once as a Parquet table below ``spark.checkpoint.dir`` and read it back.
-
-    One job (a reliable ``checkpoint()`` of an unpersisted plan computes it twice: once for
-    the action, once more to write the files); the read-back is columnar, so later stages
-    prune columns and get real size statistics. Survives executor loss.
-    """
-    return materialize(df, scratch_path(df.sparkSession, "shared"))
-
 
 def rounded(df: DataFrame) -> DataFrame:
     """Round every double column to ``DIGITS`` decimals (stable comparison across engines)."""
@@ -149,7 +129,7 @@ def q_relation_sources(c: Corpus) -> DataFrame:
 
 
 def q_relations_nested(c: Corpus) -> DataFrame:
-    return relations_nested(c.shared_hits()).select("keyword", "count", F.to_json("date").alias("months_json"))
+    return relations_nested(c.hits()).select("keyword", "count", F.to_json("date").alias("months_json"))
 
 
 def q_neighbours_top(c: Corpus) -> DataFrame:
@@ -161,19 +141,17 @@ def q_sentiment_quantiles(c: Corpus) -> DataFrame:
 
 
 def q_sentiment_thresholds(c: Corpus) -> DataFrame:
-    neigh = neighbours(relations(c.shared_hits()))
+    neigh = neighbours(c.rel())
     return rounded(sentiment_thresholds(neigh, top_relations(neigh, SMALL_TOP)).drop("topic"))
 
 
 def q_relation_nodes(c: Corpus) -> DataFrame:
-    hits = c.shared_hits()
-    return rounded(relation_nodes(relations(hits), hits=hits).select(
+    return rounded(relation_nodes(relations(c.hits(), extremes=True)).select(
         "keyword", "count", "size", "band", "color", "label", "caption", "first_seen", "last_seen"))
 
 
 def q_relation_years(c: Corpus) -> DataFrame:
-    hits = c.shared_hits()
-    return relation_years(hits, relations(hits)).select("keyword", "year", "mentions")
+    return relation_years(c.hits()).select("keyword", "year", "mentions")
 
 
 def q_relation_exists(c: Corpus) -> DataFrame:
@@ -228,8 +206,7 @@ def q_text_relations(c: Corpus) -> DataFrame:
 
 
 def q_text_relation_nodes(c: Corpus) -> DataFrame:
-    hits = c.text_shared_hits()
-    return rounded(relation_nodes(relations(hits), hits=hits).select(
+    return rounded(relation_nodes(relations(topic_hits(c.text, TEXT_TOPIC), extremes=True)).select(
         "keyword", "count", "size", "band", "color", "label", "caption", "first_seen", "last_seen"))
 
 

@@ -36,7 +36,7 @@ def topic_search(news: DataFrame, topic, min_mentions: int = MIN_MENTIONS, min_c
         "history": topic_history(hits),
         "relations": rel,
         "nodes": relation_nodes(rel, n),
-        "years": relation_years(hits, rel, n),
+        "years": relation_years(hits, rel, n, min_count),
         "weights": keyword_weights(rel),
     }
 
