@@ -41,13 +41,28 @@ def top_relations(neigh: DataFrame, n: int = TOP_NODES) -> DataFrame:
     return neigh.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def sentiment_thresholds(neigh: DataFrame, top: DataFrame, approx: bool = False) -> DataFrame:
-    """Band thresholds: quantiles of all neighbours blended with those of the top-N."""
-    qa = sentiment_quantiles(neigh, approx).select("topic", *[F.col(c).alias(f"a_{c}") for c in QNAMES])
-    qt = sentiment_quantiles(top, approx).select("topic", *[F.col(c).alias(f"t_{c}") for c in QNAMES])
-    return qa.join(qt, "topic").select(
-        "topic",
-        *[(F.col(f"a_{c}") * BLEND_ALL[c] + F.col(f"t_{c}") * BLEND_TOP[c]).alias(c) for c in QNAMES])
+def sentiment_thresholds(neigh: DataFrame, n: int = TOP_NODES, approx: bool = False) -> DataFrame:
+    """``topic, q10, q30, q70, q90``: quantiles of all neighbours blended with those of the
+    top ``n`` by count, from one pass over the neighbour set (per-topic windows)."""
+    return (_ranked_with_quantiles(neigh, n, approx)
+            .groupBy("topic")
+            .agg(*[F.first(c).alias(c) for c in QNAMES]))
+
+
+def _ranked_with_quantiles(neigh: DataFrame, n: int, approx: bool) -> DataFrame:
+    """Top ``n`` neighbours per topic with blended thresholds and the smallest count."""
+    pct = (F.percentile_approx("sentiment", list(LEVELS), 10000) if approx
+           else F.percentile("sentiment", list(LEVELS)))
+    per_topic = Window.partitionBy("topic")
+    ranked = Window.partitionBy("topic").orderBy(F.desc("count"), F.asc("keyword"))
+    top = (neigh
+           .withColumn("_qa", pct.over(per_topic))
+           .withColumn("rank", F.row_number().over(ranked))
+           .where(F.col("rank") <= n)
+           .withColumn("_qt", pct.over(per_topic))
+           .withColumn("min_count", F.min("count").over(per_topic)))
+    thr = [(F.col("_qa")[i] * BLEND_ALL[c] + F.col("_qt")[i] * BLEND_TOP[c]).alias(c) for i, c in enumerate(QNAMES)]
+    return top.select("*", *thr).drop("_qa", "_qt")
 
 
 def relation_nodes(rel: DataFrame, n: int = TOP_NODES, sep: str = "<br>", approx: bool = False,
@@ -66,18 +81,7 @@ def relation_nodes(rel: DataFrame, n: int = TOP_NODES, sep: str = "<br>", approx
         if hits is None:
             raise ValueError("relation set has no archive extremes: pass hits=, or relations(..., extremes=True)")
         rel = relations(hits, extremes=True).join(rel.select("topic", "keyword"), ["topic", "keyword"], "left_semi")
-    pct = (F.percentile_approx("sentiment", list(LEVELS), 10000) if approx
-           else F.percentile("sentiment", list(LEVELS)))
-    per_topic = Window.partitionBy("topic")
-    ranked = Window.partitionBy("topic").orderBy(F.desc("count"), F.asc("keyword"))
-    top = (neighbours(rel)
-           .withColumn("_qa", pct.over(per_topic))
-           .withColumn("rank", F.row_number().over(ranked))
-           .where(F.col("rank") <= n)
-           .withColumn("_qt", pct.over(per_topic))
-           .withColumn("min_count", F.min("count").over(per_topic)))
-    thr = [(F.col("_qa")[i] * BLEND_ALL[c] + F.col("_qt")[i] * BLEND_TOP[c]).alias(c) for i, c in enumerate(QNAMES)]
-    nodes = top.select("*", *thr)
+    nodes = _ranked_with_quantiles(neighbours(rel), n, approx)
     size = F.pow(F.ln(F.col("count") / F.col("min_count")) * SIZE_SCALE, SIZE_POWER) + SIZE_BASE
     band = sentiment_band("sentiment", "q10", "q30", "q70", "q90")
     last_seen = capture_month("last_archive")

@@ -70,36 +70,35 @@ def neighbours(rel: DataFrame) -> DataFrame:
 def relation_months(hits: DataFrame, rel: DataFrame | None = None, min_count: int = MIN_COUNT) -> DataFrame:
     """``topic, keyword, timestamp, mentions`` for keywords of the relation set.
 
-    Without ``rel`` the count cut is taken from this aggregate itself (a keyword's count is
-    the sum of its months), so the hits are scanned once; the two uses of the aggregate
-    are the same exchange, which Spark reuses.
+    Without ``rel`` the count cut is taken from this aggregate itself: a keyword's count is
+    the sum over its months, a window over at most one row per calendar month (and one for
+    unknown months) - one read of the hits, no self join.
     """
     per = (mention_rows(hits, "timestamp")
            .groupBy("topic", "keyword", "timestamp").agg(F.sum("n").alias("mentions")))
-    if rel is None:
-        keep = (per.groupBy("topic", "keyword").agg(F.sum("mentions").alias("count"))
-                   .where(F.col("count") >= min_count))
-    else:
-        keep = rel
-    return per.join(keep.select("topic", "keyword"), ["topic", "keyword"], "left_semi")
+    if rel is not None:
+        return per.join(rel.select("topic", "keyword"), ["topic", "keyword"], "left_semi")
+    total = F.sum("mentions").over(Window.partitionBy("topic", "keyword"))
+    return per.withColumn("_count", total).where(F.col("_count") >= min_count).drop("_count")
 
 
 def relation_sources(hits: DataFrame, rel: DataFrame | None = None, min_count: int = MIN_COUNT) -> DataFrame:
     """``topic, keyword, source, articles, pct``: articles per outlet for each relation.
 
-    The share is taken against the keyword's article total (the sum over its outlets), and
-    the count cut uses the summed mentions of the same aggregate: one scan of the hits, no
-    window over a possibly hot keyword.
+    The share is taken against the keyword's article total and the count cut against its
+    summed mentions, both windows over the keyword's outlet rows (one per outlet): one read
+    of the hits, no self join.
     """
     per = (mention_rows(hits, "source")
            .groupBy("topic", "keyword", "source")
            .agg(F.count(F.lit(1)).alias("articles"), F.sum("n").alias("_n")))
-    totals = per.groupBy("topic", "keyword").agg(F.sum("articles").alias("_total"), F.sum("_n").alias("_count"))
-    totals = totals.where(F.col("_count") >= min_count)
+    w = Window.partitionBy("topic", "keyword")
+    out = (per.withColumn("_total", F.sum("articles").over(w))
+              .withColumn("_count", F.sum("_n").over(w))
+              .where(F.col("_count") >= min_count))
     if rel is not None:
-        totals = totals.join(rel.select("topic", "keyword"), ["topic", "keyword"], "left_semi")
-    return (per.join(totals, ["topic", "keyword"])
-               .withColumn("pct", F.col("articles") * F.lit(100.0) / F.col("_total"))
+        out = out.join(rel.select("topic", "keyword"), ["topic", "keyword"], "left_semi")
+    return (out.withColumn("pct", F.col("articles") * F.lit(100.0) / F.col("_total"))
                .drop("_total", "_count", "_n"))
 
 

@@ -141,8 +141,7 @@ def q_sentiment_quantiles(c: Corpus) -> DataFrame:
 
 
 def q_sentiment_thresholds(c: Corpus) -> DataFrame:
-    neigh = neighbours(c.rel())
-    return rounded(sentiment_thresholds(neigh, top_relations(neigh, SMALL_TOP)).drop("topic"))
+    return rounded(sentiment_thresholds(neighbours(c.rel()), SMALL_TOP).drop("topic"))
 
 
 def q_relation_nodes(c: Corpus) -> DataFrame:

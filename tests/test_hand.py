@@ -107,7 +107,7 @@ def test_thresholds_and_sizes_with_small_top(rel):
     neigh = neighbours(rel)
     top = top_relations(neigh, 2)
     assert sorted(r.keyword for r in top.collect()) == ["a", "c"]
-    t = sentiment_thresholds(neigh, top).first()
+    t = sentiment_thresholds(neigh, 2).first()
     assert (t.q10, t.q30, t.q70, t.q90) == pytest.approx((-0.514, -0.349, 0.008333333, 0.216666667), abs=1e-6)
     sizes = as_dict(relation_nodes(rel, n=2), "keyword", "size")
     assert sizes == {"a": pytest.approx(50.0), "c": pytest.approx(50.801772, abs=1e-6)}
