@@ -22,9 +22,14 @@ def read_news(spark: SparkSession, path: str, fmt: str = "json", status: str | N
     if fmt == "json":
         reader = reader.schema(NEWS).option("mode", mode)
     df = reader.load(path)
-    if status is not None and "status" in df.columns:
-        df = df.where(F.col("status") == F.lit(status)).drop("status")
-    return df.select(*[F.col(f.name).cast(f.dataType) if fmt != "json" else F.col(f.name) for f in NEWS.fields])
+    extra = []
+    if "status" in df.columns:
+        if status is not None:
+            df = df.where(F.col("status") == F.lit(status))
+        else:
+            extra = ["status"]
+    return df.select(*[F.col(f.name).cast(f.dataType) if fmt != "json" else F.col(f.name) for f in NEWS.fields],
+                     *extra)
 
 
 def write_news(news: DataFrame, path: str, status: str = "success", fmt: str = "json",
