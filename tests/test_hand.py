@@ -213,3 +213,36 @@ def test_nested_json_round_trip(spark, hits):
     back = read_relations_json(spark, path)
     got = sorted((r.keyword, r["count"], dict(r.date), dict(r.source)) for r in back.collect())
     assert got == want
+
+
+def test_fill_months_and_spine(spark):
+    from datetime import date
+
+    from cotopic.operators import fill_months
+    df = spark.createDataFrame([("t", date(2020, 11, 1), 3), ("t", date(2021, 2, 1), 1), ("u", date(2020, 1, 1), 2)],
+                               "topic string, month date, n int")
+    got = sorted((r.topic, r.month.isoformat(), r.n) for r in fill_months(df, ["topic"], {"n": 0}).collect())
+    assert got == [("t", "2020-11-01", 3), ("t", "2020-12-01", 0), ("t", "2021-01-01", 0), ("t", "2021-02-01", 1),
+                   ("u", "2020-01-01", 2)]
+
+
+def test_relation_extremes_match_the_extremes_of_relations(hits, rel):
+    from cotopic.operators import relation_extremes
+    got = {(r.keyword, r.first_archive, r.last_archive) for r in relation_extremes(hits, rel).collect()}
+    assert got == {(r.keyword, r.first_archive, r.last_archive) for r in rel.collect()}
+
+
+def test_ordered_articles_newest_first(hits, rel):
+    from cotopic.operators import ordered_articles
+    rows = ordered_articles(relation_articles(hits, rel.where("keyword = 'q'"))).collect()
+    dates = [r.capture_date for r in rows if r.capture_date]
+    assert dates == sorted(dates, reverse=True)
+    assert rows[-1].capture_date is None
+
+
+def test_history_peak_of_two_series(hits, rel):
+    from cotopic.operators import history_peak
+    rh = relation_history(hits, rel.where("keyword = 'a'"))
+    peak = history_peak(rh, ["articles", "mentions"], keys=["topic", "keyword"]).first().peak
+    assert peak == pytest.approx(6 * 1.1)
+    assert history_peak(topic_history(hits), ["articles"]).first().peak == pytest.approx(2 * 1.1)
