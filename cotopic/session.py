@@ -41,8 +41,9 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-wide folder named by ``spark.checkpoint.dir``.
 
-    A session without one (local tests) gets a fresh temporary folder; on a cluster the
-    setting must point at shared storage and is only read here, never replaced.
+    The setting is read from the session and never replaced. Only a local-mode session
+    without one (tests) gets a fresh temporary folder; a cluster session without one is an
+    error, because a machine-local folder is not shared by the executors.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -51,8 +52,10 @@ def shared_dir(spark: SparkSession) -> str:
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
+    elif sc.master.startswith("local"):
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="cotopic-ckpt-"))  # one machine: a local folder is shared
     else:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="cotopic-ckpt-"))
+        raise RuntimeError("spark.checkpoint.dir must name a folder shared by the cluster (e.g. on HDFS or S3)")
     return sc.getCheckpointDir()
 
 
