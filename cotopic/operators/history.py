@@ -110,37 +110,31 @@ def relation_history(hits: DataFrame, rel: DataFrame | None = None, min_count: i
     ``articles`` are the topic's hit articles of the month, ``mentions`` those of the
     keyword; the range is the topic's first to last hit month.
 
-    One pipeline, no self join: a single aggregate per (topic, keyword, month) carries the
-    mentions and ``count(archive)`` (the topic's own row counts the month's articles, since
-    every hit holds its topic); per keyword the months are collected into maps (one entry
-    per calendar month); a window over the topic's per-keyword rows hands the topic's
-    article map and month range to every keyword; the spine is generated and filled by
-    map lookup. Without ``rel`` the count cut comes from the same aggregate.
+    Per keyword, the month mentions are collected into a map (one entry per calendar month)
+    together with the count used for the cut; per topic, the month article counts form a
+    one-row lookup (a map and its range, also calendar-bounded), joined on ``topic``. The
+    spine is generated per keyword and filled by map lookup - no window over a topic's whole
+    keyword set, no pairwise join.
     """
-    rows = mention_rows(hits, "timestamp", "archive")
-    per = (rows.groupBy("topic", "keyword", "timestamp")
-               .agg(F.sum("n").alias("mentions"), F.count("archive").alias("_arts"))
-               .withColumn("month", month_start("timestamp")))
-    own = F.col("keyword") == F.col("topic")
+    per = (mention_rows(hits, "timestamp")
+           .groupBy("topic", "keyword", "timestamp").agg(F.sum("n").alias("mentions"))
+           .withColumn("month", month_start("timestamp")))
     dated = F.col("month").isNotNull()
     kw = per.groupBy("topic", "keyword").agg(
         F.sum("mentions").alias("_count"),
-        F.map_from_entries(F.collect_list(F.when(dated, F.struct("month", "mentions")))).alias("_km"),
-        F.map_from_entries(F.collect_list(F.when(dated & own, F.struct("month", "_arts")))).alias("_am"),
-        F.min(F.when(own, F.col("month"))).alias("_lo"),
-        F.max(F.when(own, F.col("month"))).alias("_hi"))
-    w = Window.partitionBy("topic")
-    kw = (kw.withColumn("_am", F.first(F.when(own, F.col("_am")), ignorenulls=True).over(w))
-            .withColumn("_lo", F.min("_lo").over(w))
-            .withColumn("_hi", F.max("_hi").over(w)))
+        F.map_from_entries(F.collect_list(F.when(dated, F.struct("month", "mentions")))).alias("_km"))
     if rel is None:
         kw = kw.where(F.col("_count") >= min_count)
         if not include_topic:
-            kw = kw.where(~own)
+            kw = kw.where(F.col("keyword") != F.col("topic"))
     else:
         kw = kw.join(rel.select("topic", "keyword"), ["topic", "keyword"], "left_semi")
-    spine = kw.select("topic", "keyword", "_km", "_am",
-                      F.explode(F.sequence("_lo", "_hi", _one_month())).alias("month"))
+    arts = (monthly_articles(hits).withColumn("month", month_start("timestamp")).where(F.col("month").isNotNull())
+            .groupBy("topic")
+            .agg(F.map_from_entries(F.collect_list(F.struct("month", "articles"))).alias("_am"),
+                 F.min("month").alias("_lo"), F.max("month").alias("_hi")))
+    spine = kw.join(arts, "topic").select(
+        "topic", "keyword", "_km", "_am", F.explode(F.sequence("_lo", "_hi", _one_month())).alias("month"))
     return spine.select(
         "topic", "keyword", month_tick("month").alias("month"),
         F.coalesce(F.col("_am")[F.col("month")], F.lit(0)).alias("articles"),

@@ -43,24 +43,29 @@ def top_relations(neigh: DataFrame, n: int = TOP_NODES) -> DataFrame:
 
 def sentiment_thresholds(neigh: DataFrame, n: int = TOP_NODES, approx: bool = False) -> DataFrame:
     """``topic, q10, q30, q70, q90``: quantiles of all neighbours blended with those of the
-    top ``n`` by count, from one pass over the neighbour set (per-topic windows)."""
+    top ``n`` by count."""
     return (_ranked_with_quantiles(neigh, n, approx)
             .groupBy("topic")
             .agg(*[F.first(c).alias(c) for c in QNAMES]))
 
 
 def _ranked_with_quantiles(neigh: DataFrame, n: int, approx: bool) -> DataFrame:
-    """Top ``n`` neighbours per topic with blended thresholds and the smallest count."""
+    """Top ``n`` neighbours per topic with blended thresholds and the smallest count.
+
+    All-neighbour quantiles are a partial/final aggregate per topic (tasks ship value->count
+    summaries, never the rows); the top-N cut is a per-task limit before the shuffle; top-N
+    quantiles and the smallest count are windows over at most ``n`` rows per topic. The
+    relation set is read by both sides (Spark plans the two pruned uses separately); a caller
+    serving many reports reads it from written hits or the relation store.
+    """
     pct = (F.percentile_approx("sentiment", list(LEVELS), 10000) if approx
            else F.percentile("sentiment", list(LEVELS)))
+    qa = neigh.groupBy("topic").agg(pct.alias("_qa"))
     per_topic = Window.partitionBy("topic")
-    ranked = Window.partitionBy("topic").orderBy(F.desc("count"), F.asc("keyword"))
-    top = (neigh
-           .withColumn("_qa", pct.over(per_topic))
-           .withColumn("rank", F.row_number().over(ranked))
-           .where(F.col("rank") <= n)
+    top = (top_relations(neigh, n)
            .withColumn("_qt", pct.over(per_topic))
-           .withColumn("min_count", F.min("count").over(per_topic)))
+           .withColumn("min_count", F.min("count").over(per_topic))
+           .join(qa, "topic", "left"))
     thr = [(F.col("_qa")[i] * BLEND_ALL[c] + F.col("_qt")[i] * BLEND_TOP[c]).alias(c) for i, c in enumerate(QNAMES)]
     return top.select("*", *thr).drop("_qa", "_qt")
 
@@ -73,9 +78,9 @@ def relation_nodes(rel: DataFrame, n: int = TOP_NODES, sep: str = "<br>", approx
     archive extremes (``relations(..., extremes=True)``, or a stored relation set); without
     them pass ``hits=`` and they are computed in the same single aggregate.
 
-    One pipeline over the relation set, no join back: per-topic windows give the
-    all-neighbour quantiles and the rank; after the top-N cut, windows over at most ``n``
-    rows per topic give the top-N quantiles and the smallest count.
+    All-neighbour quantiles are a partial/final aggregate per topic; the top-N cut is a
+    per-task limit before the shuffle; top-N quantiles and the smallest count are windows
+    over at most ``n`` rows per topic; per-topic values are one-row-per-topic lookups.
     """
     if "first_archive" not in rel.columns:
         if hits is None:
