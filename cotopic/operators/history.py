@@ -1,7 +1,8 @@
 """Monthly histories of a topic and of one relation, with gap filling.
 
-Gaps are filled by a generated month spine per topic (``sequence`` + ``explode``) that is
-left-joined to the monthly rows - never by pairing rows with each other.
+Gaps are filled by a generated month spine (``sequence`` + ``explode``): ``fill_months``
+left-joins it to the monthly rows; the histories look months up in a per-key map of at most
+one entry per calendar month - never by pairing rows with each other.
 """
 
 from __future__ import annotations

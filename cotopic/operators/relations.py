@@ -1,9 +1,9 @@
 """The relation set of a topic and its child tables.
 
 ``relations`` is the heart of a search: for every keyword co-occurring with the topic in
-its hit articles, summed mentions, mention-weighted tone, and the extremes of the archive
-URLs. It is one hash aggregation with map-side partial combine; hot keywords therefore
-shuffle one partial row per task, never their raw rows.
+its hit articles, summed mentions and mention-weighted tone (optionally the extremes of the
+archive URLs). It is one hash aggregation with map-side partial combine; hot keywords
+therefore shuffle one partial row per task, never their raw rows.
 """
 
 from __future__ import annotations
