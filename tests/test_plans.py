@@ -53,3 +53,10 @@ def test_relation_aggregate_is_partial_then_final(corpus):
 def test_no_python_in_any_plan(corpus, name):
     p = plan(QUERIES[name](corpus))
     assert not re.search(r"BatchEvalPython|ArrowEvalPython|FlatMapGroupsInPandas|MapInPandas|PythonUDF", p)
+
+
+def test_topic_history_limits_each_month_before_the_shuffle(corpus):
+    from cotopic.operators import topic_history
+    p = plan(topic_history(corpus.hits()))
+    assert "WindowGroupLimit" in p and "Partial" in p
+    assert "Join" not in p  # gap filling by map lookup: no join at all
