@@ -157,8 +157,10 @@ def relation_exists(rel: DataFrame, candidates: DataFrame | Iterable[str]) -> Da
     """
     cand = _candidates(candidates, rel).withColumn("keyword", F.trim("keyword"))
     keys = ["topic", "keyword"] if "topic" in cand.columns else ["keyword"]
-    found = (rel.where(F.col("keyword") != F.col("topic"))
-                .select(*keys).distinct().withColumn("present", F.lit(True)))
+    found = (rel.where(F.col("keyword") != F.col("topic"))  # one row per (topic, keyword) already
+                .select(*keys).withColumn("present", F.lit(True)))
+    if keys == ["keyword"]:
+        found = found.distinct()  # several topics may share a keyword
     return (cand.join(found, keys, "left")
                 .withColumn("present", F.coalesce(F.col("present"), F.lit(False))))
 
