@@ -67,9 +67,9 @@ def relation_articles(hits: DataFrame, rel: DataFrame | None = None, dedup: bool
 
     Every field is a function of the article's URL, so it is computed once per hit article,
     before the keyword explode, and carried through the de-duplication.
-    Without ``rel`` the relation set is taken from this aggregate itself (a keyword's count
-    is the sum over its titles), so the hits are read once; the topic's own articles are
-    left out unless ``include_topic``. With ``rel`` only its (topic, keyword) pairs are kept.
+    Without ``rel`` the relation set (count cut) is a hash aggregate over the same exploded
+    rows, applied before the de-duplication; the topic's own articles are left out unless
+    ``include_topic``. With ``rel`` only its (topic, keyword) pairs are kept.
     """
     order = F.coalesce(-capture_order("archive"), F.lit(2**63 - 1))
     per_article = hits.select(
@@ -81,20 +81,22 @@ def relation_articles(hits: DataFrame, rel: DataFrame | None = None, dedup: bool
     per_article = match_outlet(per_article, "host")
     rows = (per_article.select("topic", "_o", *ARTICLE_FIELDS, F.explode("keywords").alias("keyword", "n"))
                        .where(F.col("n").isNotNull()))
-    if dedup:
-        best = F.min(F.struct(F.col("_o"), F.col("archive").alias("_a"), *[F.col(c) for c in ARTICLE_FIELDS]))
-        rows = (rows.groupBy("topic", "keyword", "title")
-                    .agg(best.alias("_w"), F.sum("n").alias("n"))
-                    .select("topic", "keyword", "n", *[F.col("_w")[c].alias(c) for c in ARTICLE_FIELDS]))
     if rel is None:
+        # the relation set (count cut) from a hash aggregate over the same rows; applied
+        # before the sort-based de-duplication so rows of cut keywords never reach it
         keep = (rows.groupBy("topic", "keyword").agg(F.sum("n").alias("_count"))
                     .where(F.col("_count") >= min_count))
         if not include_topic:
             keep = keep.where(F.col("keyword") != F.col("topic"))
     else:
         keep = rel
-    return (rows.join(keep.select("topic", "keyword"), ["topic", "keyword"], "left_semi")
-                .select("topic", "keyword", *ARTICLE_FIELDS))
+    rows = rows.join(keep.select("topic", "keyword"), ["topic", "keyword"], "left_semi")
+    if dedup:
+        best = F.min(F.struct(F.col("_o"), F.col("archive").alias("_a"), *[F.col(c) for c in ARTICLE_FIELDS]))
+        rows = (rows.groupBy("topic", "keyword", "title")
+                    .agg(best.alias("_w"))
+                    .select("topic", "keyword", *[F.col("_w")[c].alias(c) for c in ARTICLE_FIELDS]))
+    return rows.select("topic", "keyword", *ARTICLE_FIELDS)
 
 
 def ordered_articles(articles: DataFrame) -> DataFrame:
