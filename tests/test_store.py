@@ -62,3 +62,14 @@ def test_plan_fingerprint_needs_no_scan_and_tracks_files(spark, hand):
     got = store.get_or_compute(a, ["q"], fingerprint="plan")
     assert rows(got) == rows(relations(topic_hits(hand, "q")))
     assert rows(store.get_or_compute(a, ["q"], fingerprint="v1")) == rows(got)
+
+
+def test_listed_topics_are_read_with_partition_pruning(spark, hand):
+    store = RelationStore(spark, scratch_path(spark, "store"))
+    store.get_or_compute(hand, None)
+    fp = corpus_fingerprint(hand)
+    df = store.read(fp, ["q"])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "key_prefix" in plan and "fp" in plan
+    assert "PushedFilters: [" in plan and "topic_key" in plan
+    assert rows(df) == rows(relations(topic_hits(hand, "q")))
