@@ -22,34 +22,86 @@ SIZE_POWER = 1.5
 SIZE_BASE = 50.0
 
 
-def sentiment_quantiles(rel: DataFrame, approx: bool = False, accuracy: int = 10000) -> DataFrame:
+def sentiment_quantiles(rel: DataFrame, approx: bool = False, accuracy: int = 10000,
+                        method: str = "aggregate") -> DataFrame:
     """``topic, q10, q30, q70, q90`` of the keywords' tone, linear interpolation.
 
-    Exact ``percentile`` aggregates partially on every task (value -> count maps) and
-    merges per topic; ``approx=True`` uses ``percentile_approx`` with bounded memory.
+    * ``"aggregate"`` (default): exact ``percentile``; tasks ship value->count summaries and
+      the final merge holds one map per topic (distinct tone values of its neighbours).
+    * ``"distributed"``: exact, with no per-topic merge at all (``distributed_quantiles``).
+    * ``approx=True``: ``percentile_approx`` with bounded memory.
     Null tones are skipped.
     """
+    if method == "distributed" and not approx:
+        return distributed_quantiles(rel, "topic", "sentiment")
     agg = (F.percentile_approx("sentiment", list(LEVELS), accuracy) if approx
            else F.percentile("sentiment", list(LEVELS)))
     q = rel.groupBy("topic").agg(agg.alias("_q"))
     return q.select("topic", *[F.col("_q")[i].alias(name) for i, name in enumerate(QNAMES)])
 
 
+def distributed_quantiles(df: DataFrame, key: str, value: str) -> DataFrame:
+    """Exact quantiles (``LEVELS``, linear interpolation as ``percentile``) per ``key`` without
+    gathering any key's values in one task.
+
+    Distinct (key, value) counts are range-partitioned on (key, value), so a key with very
+    many values spans several partitions. Per partition and key the counts are summed; a
+    window over those partial sums (at most one row per partition) gives each partition's
+    rank offset; a running count inside each (partition, key) gives every value its rank
+    range. The ranks the levels need are located by joining on (key, partition) - every
+    join side is keyed finer than the key itself - and interpolated.
+    """
+    vals = (df.where(F.col(value).isNotNull())
+              .groupBy(key, value).agg(F.count(F.lit(1)).alias("_c"))
+              .repartitionByRange(key, value)
+              .withColumn("_p", F.spark_partition_id()))
+    per_part = vals.groupBy(key, "_p").agg(F.sum("_c").alias("_pc"))
+    by_part = Window.partitionBy(key).orderBy("_p")
+    offsets = (per_part.withColumn("_off", F.sum("_pc").over(by_part) - F.col("_pc"))
+                       .withColumn("_n", F.sum("_pc").over(Window.partitionBy(key))))
+    running = Window.partitionBy("_p", key).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = vals.withColumn("_cum", F.sum("_c").over(running))
+    # wanted 0-based positions per key: pos = q * (n - 1), its floor and ceiling
+    levels = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(q).alias("q")) for i, q in enumerate(LEVELS)])
+    wanted = (offsets.select(key, "_n").distinct()
+              .select(key, "_n", F.explode(levels).alias("_l"))
+              .select(key, F.col("_l")["i"].alias("_i"), (F.col("_l")["q"] * (F.col("_n") - 1)).alias("_pos")))
+    ends = wanted.select(key, "_i", "_pos", F.explode(F.array(F.floor("_pos"), F.ceil("_pos"))).alias("_r"))
+    # which partition holds rank _r (1-based rank _r + 1): offset < _r + 1 <= offset + count
+    located = ends.join(offsets, key).where((F.col("_off") < F.col("_r") + 1) & (F.col("_r") + 1 <= F.col("_off") + F.col("_pc")))
+    hit = (located.select(key, "_i", "_pos", "_r", "_p", "_off")
+                  .join(ranked, [key, "_p"])
+                  .where((F.col("_off") + F.col("_cum") - F.col("_c") < F.col("_r") + 1)
+                         & (F.col("_r") + 1 <= F.col("_off") + F.col("_cum")))
+                  .select(key, "_i", "_pos", "_r", F.col(value).cast("double").alias("_v")))
+    lo, hi = F.floor("_pos"), F.ceil("_pos")
+    per_level = (hit.groupBy(key, "_i", "_pos")
+                    .agg(F.max(F.when(F.col("_r") == F.floor("_pos"), F.col("_v"))).alias("_lo_v"),
+                         F.max(F.when(F.col("_r") == F.ceil("_pos"), F.col("_v"))).alias("_hi_v"))
+                    .withColumn("_q", F.when(lo == hi, F.col("_lo_v"))
+                                       .otherwise((hi - F.col("_pos")) * F.col("_lo_v")
+                                                  + (F.col("_pos") - lo) * F.col("_hi_v"))))
+    result = per_level.groupBy(key).agg(
+        *[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(name) for i, name in enumerate(QNAMES)])
+    return df.select(key).distinct().join(result, key, "left")  # keys with no known value: nulls
+
+
 def top_relations(neigh: DataFrame, n: int = TOP_NODES) -> DataFrame:
     """The ``n`` keywords with most mentions per topic (ties: keyword ascending)."""
     w = Window.partitionBy("topic").orderBy(F.desc("count"), F.asc("keyword"))
     return neigh.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def sentiment_thresholds(neigh: DataFrame, n: int = TOP_NODES, approx: bool = False) -> DataFrame:
+def sentiment_thresholds(neigh: DataFrame, n: int = TOP_NODES, approx: bool = False,
+                         method: str = "aggregate") -> DataFrame:
     """``topic, q10, q30, q70, q90``: quantiles of all neighbours blended with those of the
-    top ``n`` by count."""
-    return (_ranked_with_quantiles(neigh, n, approx)
+    top ``n`` by count (``method`` as in ``sentiment_quantiles``)."""
+    return (_ranked_with_quantiles(neigh, n, approx, method)
             .groupBy("topic")
             .agg(*[F.first(c).alias(c) for c in QNAMES]))
 
 
-def _ranked_with_quantiles(neigh: DataFrame, n: int, approx: bool) -> DataFrame:
+def _ranked_with_quantiles(neigh: DataFrame, n: int, approx: bool, method: str = "aggregate") -> DataFrame:
     """Top ``n`` neighbours per topic with blended thresholds and the smallest count.
 
     All-neighbour quantiles are a partial/final aggregate per topic (tasks ship value->count
@@ -60,7 +112,10 @@ def _ranked_with_quantiles(neigh: DataFrame, n: int, approx: bool) -> DataFrame:
     """
     pct = (F.percentile_approx("sentiment", list(LEVELS), 10000) if approx
            else F.percentile("sentiment", list(LEVELS)))
-    qa = neigh.groupBy("topic").agg(pct.alias("_qa"))
+    if method == "distributed" and not approx:
+        qa = distributed_quantiles(neigh, "topic", "sentiment").select("topic", F.array(*QNAMES).alias("_qa"))
+    else:
+        qa = neigh.groupBy("topic").agg(pct.alias("_qa"))
     per_topic = Window.partitionBy("topic")
     top = (top_relations(neigh, n)
            .withColumn("_qt", pct.over(per_topic))
@@ -71,7 +126,7 @@ def _ranked_with_quantiles(neigh: DataFrame, n: int, approx: bool) -> DataFrame:
 
 
 def relation_nodes(rel: DataFrame, n: int = TOP_NODES, sep: str = "<br>", approx: bool = False,
-                   hits: DataFrame | None = None) -> DataFrame:
+                   hits: DataFrame | None = None, quantiles: str = "aggregate") -> DataFrame:
     """``topic, keyword, count, sentiment, size, band, color, label, caption, first_seen, last_seen``.
 
     ``rel`` is the relation set (topic included; it is removed here) and must carry the
@@ -81,12 +136,14 @@ def relation_nodes(rel: DataFrame, n: int = TOP_NODES, sep: str = "<br>", approx
     All-neighbour quantiles are a partial/final aggregate per topic; the top-N cut is a
     per-task limit before the shuffle; top-N quantiles and the smallest count are windows
     over at most ``n`` rows per topic; per-topic values are one-row-per-topic lookups.
+    ``quantiles="distributed"`` computes the all-neighbour quantiles without any per-topic
+    merge (``distributed_quantiles``), for topics with very large neighbour sets.
     """
     if "first_archive" not in rel.columns:
         if hits is None:
             raise ValueError("relation set has no archive extremes: pass hits=, or relations(..., extremes=True)")
         rel = relations(hits, extremes=True).join(rel.select("topic", "keyword"), ["topic", "keyword"], "left_semi")
-    nodes = _ranked_with_quantiles(neighbours(rel), n, approx)
+    nodes = _ranked_with_quantiles(neighbours(rel), n, approx, quantiles)
     size = F.pow(F.ln(F.col("count") / F.col("min_count")) * SIZE_SCALE, SIZE_POWER) + SIZE_BASE
     band = sentiment_band("sentiment", "q10", "q30", "q70", "q90")
     last_seen = capture_month("last_archive")

@@ -246,3 +246,15 @@ def test_history_peak_of_two_series(hits, rel):
     peak = history_peak(rh, ["articles", "mentions"], keys=["topic", "keyword"]).first().peak
     assert peak == pytest.approx(6 * 1.1)
     assert history_peak(topic_history(hits), ["articles"]).first().peak == pytest.approx(2 * 1.1)
+
+
+def test_distributed_quantiles_give_the_same_nodes(spark, rel):
+    from cotopic.plans.catalogue import Corpus
+    default = sorted(tuple(r) for r in relation_nodes(rel).collect())
+    distributed = sorted(tuple(r) for r in relation_nodes(rel, quantiles="distributed").collect())
+    assert default == distributed
+    star = Corpus(spark, "/root/testdata/sf0.001")
+    srel = relations(topic_hits(star.star, "red gear"), extremes=True)
+    a = sorted(tuple(r) for r in relation_nodes(srel, n=20).collect())
+    b = sorted(tuple(r) for r in relation_nodes(srel, n=20, quantiles="distributed").collect())
+    assert a == b

@@ -80,3 +80,16 @@ def test_partitioning_and_topic_form_do_not_change_results(spark, rows):
     many = sorted(tuple(r) for r in relations(topic_hits(news.repartition(7), "t")).collect())
     every = sorted(tuple(r) for r in relations(topic_hits(news, None)).where("topic = 't'").collect())
     assert one == many == every
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@given(groups=st.dictionaries(st.sampled_from(["t", "u", "hot", "v"]),
+                              st.lists(st.one_of(st.none(), st.integers(-8, 8).map(lambda k: k / 8)),
+                                       min_size=1, max_size=60), min_size=1))
+def test_distributed_quantiles_equal_percentile(spark, groups):
+    from cotopic.operators.nodes import sentiment_quantiles
+    rows = [(k, v) for k, vs in groups.items() for v in vs]
+    df = spark.createDataFrame(rows, "topic string, sentiment double").repartition(3)
+    a = {r.topic: tuple(r)[1:] for r in sentiment_quantiles(df).collect()}
+    b = {r.topic: tuple(r)[1:] for r in sentiment_quantiles(df, method="distributed").collect()}
+    assert a == b
