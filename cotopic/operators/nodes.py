@@ -10,6 +10,8 @@ from cotopic.functions.urls import capture_month, capture_stamp
 from cotopic.operators.relations import neighbours, relations
 from cotopic.operators.topics import mention_rows
 from cotopic.schema import MIN_COUNT, TOP_NODES
+from cotopic.session import scratch_path
+from cotopic.sources.news import materialize
 
 # Quantile levels, and the weights blending all-neighbour with top-N quantiles.
 LEVELS = (0.1, 0.3, 0.7, 0.9)
@@ -42,7 +44,8 @@ def sentiment_quantiles(rel: DataFrame, approx: bool = False, accuracy: int = 10
 
 def distributed_quantiles(df: DataFrame, key: str, value: str) -> DataFrame:
     """Exact quantiles (``LEVELS``, linear interpolation as ``percentile``) per ``key`` without
-    gathering any key's values in one task.
+    gathering any key's values in one task. Eager: the input is read once and its per-value
+    counts are written to the ``spark.checkpoint.dir`` folder.
 
     Distinct (key, value) counts are range-partitioned on (key, value), so a key with very
     many values spans several partitions. Per partition and key the counts are summed; a
@@ -51,10 +54,14 @@ def distributed_quantiles(df: DataFrame, key: str, value: str) -> DataFrame:
     range. The ranks the levels need are located by joining on (key, partition) - every
     join side is keyed finer than the key itself - and interpolated.
     """
-    vals = (df.where(F.col(value).isNotNull())
-              .groupBy(key, value).agg(F.count(F.lit(1)).alias("_c"))
-              .repartitionByRange(key, value)
-              .withColumn("_p", F.spark_partition_id()))
+    # one read of the input: counts per (key, value) with their range partition, written once
+    # to the shared folder so every step below reads the same small table (and the same ids)
+    counted = materialize(
+        df.groupBy(key, value).agg(F.count(F.lit(1)).alias("_c"))
+          .repartitionByRange(key, value)
+          .withColumn("_p", F.spark_partition_id()),
+        scratch_path(df.sparkSession, "quantile-ranks"))
+    vals = counted.where(F.col(value).isNotNull())
     per_part = vals.groupBy(key, "_p").agg(F.sum("_c").alias("_pc"))
     by_part = Window.partitionBy(key).orderBy("_p")
     offsets = (per_part.withColumn("_off", F.sum("_pc").over(by_part) - F.col("_pc"))
@@ -83,7 +90,7 @@ def distributed_quantiles(df: DataFrame, key: str, value: str) -> DataFrame:
                                                   + (F.col("_pos") - lo) * F.col("_hi_v"))))
     result = per_level.groupBy(key).agg(
         *[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(name) for i, name in enumerate(QNAMES)])
-    return df.select(key).distinct().join(result, key, "left")  # keys with no known value: nulls
+    return counted.select(key).distinct().join(result, key, "left")  # keys with no known value: nulls
 
 
 def top_relations(neigh: DataFrame, n: int = TOP_NODES) -> DataFrame:

@@ -218,6 +218,12 @@ def q_text_relation_articles(c: Corpus) -> DataFrame:
         "keyword", "title", "capture_date", "host", "original_url", "outlet", "archive")
 
 
+def q_text_sentiment_quantiles(c: Corpus) -> DataFrame:
+    """All-neighbour quantiles of the text topic, by the distributed exact method."""
+    neigh = neighbours(relations(topic_hits(c.text, TEXT_TOPIC)))
+    return rounded(sentiment_quantiles(neigh, method="distributed").drop("topic"))
+
+
 def q_relations_topic_list(c: Corpus) -> DataFrame:
     return rounded(relations(topic_hits(c.star, TOPIC_LIST)).select("topic", "keyword", "count", "sentiment"))
 

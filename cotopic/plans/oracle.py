@@ -394,3 +394,7 @@ GROUP BY h.topic, x.keyword HAVING sum(x.n) >= 5"""
 ORACLE["outlet_match_table"] = "WITH " + TEXT + """,
 hosts AS (SELECT DISTINCT replace(string_split(archive, '/')[9], 'www.', '') AS host FROM text_a)
 SELECT host, """ + outlet_case("host") + " AS outlet FROM hosts"
+
+ORACLE["text_sentiment_quantiles"] = TEXT_BASE + """,
+qa AS (SELECT """ + quantiles("neigh") + """ FROM neigh)
+SELECT """ + ", ".join(f"round(q{p}, {R}) AS q{p}" for p in (10, 30, 70, 90)) + " FROM qa"
