@@ -29,7 +29,9 @@ def topic_hits(news: DataFrame, topics: Topics, min_mentions: int = MIN_MENTIONS
     One row per (article, topic) with all article columns plus ``topic``.
 
     * ``str``: a single map lookup per article, a narrow filter.
-    * list of strings: the article map is filtered to the listed topics and exploded.
+    * list of strings: the article map is filtered to the listed topics and exploded (the
+      list becomes literals in the plan: meant for a handful of topics; pass a DataFrame
+      for large topic sets).
     * ``None``: every keyword of an article with enough mentions is a topic (all topics).
     * DataFrame with a ``topic`` column: like ``None`` then a semi join on ``topic``
       (Spark broadcasts the topic table only when its measured size allows).
