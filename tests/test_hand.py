@@ -258,3 +258,21 @@ def test_distributed_quantiles_give_the_same_nodes(spark, rel):
     a = sorted(tuple(r) for r in relation_nodes(srel, n=20).collect())
     b = sorted(tuple(r) for r in relation_nodes(srel, n=20, quantiles="distributed").collect())
     assert a == b
+
+
+def test_approximate_quantiles_stay_within_the_tone_range(rel):
+    q = sentiment_quantiles(neighbours(rel), approx=True).first()
+    tones = [r.sentiment for r in neighbours(rel).collect()]
+    assert all(min(tones) <= v <= max(tones) for v in (q.q10, q.q30, q.q70, q.q90))
+    assert relation_nodes(rel, approx=True).count() == 3
+
+
+def test_outlet_table_is_broadcast_only_after_its_size_is_checked(spark):
+    import pytest as _pytest
+
+    from cotopic.operators import match_outlet
+    hosts = spark.createDataFrame([("expresso.pt",)], "host string")
+    table = spark.createDataFrame([(i, f"t{i}") for i in range(5)], "position int, token string")
+    with _pytest.raises(ValueError):
+        match_outlet(hosts, "host", table, max_outlets=3)
+    assert match_outlet(hosts, "host", table).first().outlet == "404"
