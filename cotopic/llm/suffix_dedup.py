@@ -127,9 +127,10 @@ def _sort_out(batches):
     Rows with neither are left out. A partition is of bounded size, as ranges split anchors and a
     context comes in two rows per scanning task at most.
     """
-    table = pa.Table.from_batches(list(batches))
-    if not table.num_rows:
+    batches = list(batches)
+    if not sum(b.num_rows for b in batches):
         return
+    table = pa.Table.from_batches(batches)
     g, c = table.column("g").to_numpy(), table.column("c").to_numpy()
     same_g, same_c = _same_as_before(g), _same_as_before(g, c)
     run = np.cumsum(~same_g) - 1
