@@ -36,7 +36,7 @@ _ODD = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x165667B1)
 SPAN = 6
 DECAY = 0.75
 WINDOW = 12
-LANDMARKS = 192
+LANDMARKS = 384
 MAX_TOXIC, MAX_CLEAN = 1500, 3000  # labelled rows learned from, at most
 ROUNDS = 4
 GAPS = [(a, b, c) for a in range(3, SPAN) for b in range(2, a) for c in range(1, b)]  # distances of a sequence's symbols from its last
@@ -126,19 +126,19 @@ def highest(texts: list[str], weights: np.ndarray):
     return best, pad[at[:, None] + np.arange(1, WINDOW + SPAN + 1)[None, :]]
 
 
-def window_features(windows: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """Kernel of each window (rows of letter kinds) with each basis row (weights over sequences)."""
+def window_features(windows: np.ndarray, column: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """Kernel of each window (rows of symbols) with each basis row; ``column`` has a slot's column there, 0: none."""
     out = np.zeros((len(windows), len(basis)))
     p = products(windows)
     n = windows.shape[1]
     for a, b, c in GAPS:
-        t = slot(p[0][:, :n - a], p[1][:, a - b:n - b], p[2][:, a - c:n - c], p[3][:, a:])
+        t = column[slot(p[0][:, :n - a], p[1][:, a - b:n - b], p[2][:, a - c:n - c], p[3][:, a:])]
         for m in range(len(basis)):
             out[:, m] += DECAY ** (a + 1) * basis[m][t].sum(axis=1)
     return out
 
 
-def train_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 10.0, steps: int = 30):
+def train_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 1.0, steps: int = 30):
     """Squared-hinge support vector machine in the primal, by Newton steps; the last column of ``x`` is 1."""
     w = np.zeros(x.shape[1])
     ridge = np.eye(x.shape[1])
@@ -215,18 +215,21 @@ def fit(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS, rounds:
     common = [w for w, _ in sorted(in_clean.items(), key=lambda x: (-x[1], x[0])) if len(w) >= 3]
     step = max(1, len(common[:4000]) // (landmarks - len(marked)))
     marks = list(dict.fromkeys(marked + common[:4000:step]))[:landmarks]
-    basis = np.array([phi(w) for w in marks], np.float32)
-    norm = np.sqrt((basis ** 2).sum(axis=1))
-    marks, basis = [w for w, n in zip(marks, norm) if n > 0], basis[norm > 0] / norm[norm > 0, None]
-    value, vector = np.linalg.eigh(basis @ basis.T.astype(np.float64))
+    basis = [phi(w) for w in marks]  # never zero: a word has three letters and blanks around it
+    slots = np.unique(np.concatenate([np.flatnonzero(x) for x in basis]))  # what the landmarks have
+    column = np.zeros(SLOTS, np.int32)
+    column[slots] = np.arange(1, len(slots) + 1)
+    basis = np.array([np.concatenate(([0], x[slots])) for x in basis])
+    basis /= np.sqrt((basis ** 2).sum(axis=1, keepdims=True))
+    value, vector = np.linalg.eigh(basis @ basis.T)
     keep = value > 1e-4 * value.max()
     root = vector[:, keep] / np.sqrt(value[keep])
 
+    def spread(x):  # columns back to slots
+        return x[column].astype(np.float32)
+
     # the first windows: around the likeliest word of a toxic document; in clean ones anywhere
-    weights = np.zeros(SLOTS, np.float32)
-    for w, row in zip(marks, basis):
-        if w in in_toxic:
-            weights += max(0.0, odds(w)) * row
+    weights = spread(sum(max(0.0, odds(w)) * row for w, row in zip(marks, basis) if w in in_toxic))
     negative, shown = None, set()
     for _ in range(rounds):
         _, pos = highest_blocks(toxic, weights)
@@ -235,10 +238,10 @@ def fit(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS, rounds:
         both = np.concatenate((pos, gapped(pos)))
         x = np.concatenate((both, negative))
         y = np.concatenate((np.ones(len(both)), -np.ones(len(negative))))
-        f = window_features(x, basis) @ root
+        f = window_features(x, column, basis) @ root
         f = np.column_stack((f, np.ones(len(f))))
         v = train_svm(f, y, np.where(y > 0, 1 / len(both), 1 / len(negative)) * 100)
-        weights = ((root @ v[:-1]) @ basis).astype(np.float32)
+        weights = spread((root @ v[:-1]) @ basis)
         key = pos.tobytes()
         if key in shown:
             break
