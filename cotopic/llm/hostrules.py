@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cotopic.llm.common import table
+from cotopic.llm.common import table, written
 
 # The rules of the base measure.
 SEPARATORS = " \t\n\x0b\f\r"
@@ -100,22 +100,23 @@ def host_rates(docs: DataFrame, host_col: str = "source", max_rate: float = MAX_
     by_chance = drawn * F.col("_hosts") / F.col("_n")
     between = F.least(spread - by_chance, drawn)
     weight = F.when(between > 0, F.greatest(drawn / between - 1, F.lit(0.0))).otherwise(F.col("_n").cast("double"))
-    prior = corpus.select(mean.alias("_mean"), weight.alias("_weight"))
-    rated = hosts.join(F.broadcast(prior))  # one row
-    rate = (F.col("failed") + F.col("_mean") * F.col("_weight")) / (F.col("documents") + F.col("_weight"))
-    return rated.select("host", "documents", "failed", rate.alias("rate"), (rate >= max_rate).alias("rejected"))
+    prior = corpus.select(mean.alias("mean"), weight.alias("weight")).first()  # two numbers
+    a, both = (prior["mean"] or 0.0) * (prior["weight"] or 0.0), prior["weight"] or 0.0
+    rate = (F.col("failed") + F.lit(a)) / (F.col("documents") + F.lit(both))
+    return hosts.select("host", "documents", "failed", rate.alias("rate"), (rate >= max_rate).alias("rejected"))
 
 
 def apply_host_rules(docs: DataFrame, host_col: str = "source", text_col: str = "text", max_rate: float = MAX_RATE) -> DataFrame:
-    """Measured documents with ``host_rate`` and ``kept``: the base rules passed and the host not rejected.
+    """The columns of ``docs`` but the text, the measures, ``base_failed``, ``host_rate`` and ``kept``: the base rules passed and
+    the host not rejected.
 
-    Rows are measured one by one, so ties and repeated rows are all kept; an empty table gives no rows.
+    The measures, without texts, are written once and used twice. Rows are measured one by one, so ties and repeated rows are all
+    kept; an empty table gives no rows. Columns of ``docs`` with the new names are replaced.
     """
-    docs = measured(docs.drop("host_rate", "kept"), text_col)
-    slim = measured(docs.select(F.col(f"`{host_col}`").alias("_host"), F.col(f"`{text_col}`").alias("text")), "text")
-    hosts = host_rates(slim.select("_host", "base_failed"), "_host", max_rate).select("host", F.col("rate").alias("host_rate"), "rejected")
-    out = docs.join(hosts, F.col(f"`{host_col}`").eqNullSafe(F.col("host")), "left")
-    return out.withColumn("kept", ~F.col("base_failed") & ~F.col("rejected")).drop("host", "rejected")
+    docs = written(measured(docs.drop("host_rate", "kept"), text_col).drop(text_col), "host-measures")
+    hosts = host_rates(docs, host_col, max_rate).select(F.col("host").alias("_host"), F.col("rate").alias("host_rate"), "rejected")
+    out = docs.join(hosts, F.col(f"`{host_col}`").eqNullSafe(F.col("_host")), "left")
+    return out.withColumn("kept", ~F.col("base_failed") & ~F.col("rejected")).drop("_host", "rejected")
 
 
 def op4_host_rules(spark, sf_dir) -> DataFrame:

@@ -176,3 +176,21 @@ def op7_line_dedup(spark, sf_dir) -> DataFrame:
     """Contract query: lines dropped from every document, and the hash of what stays."""
     out = drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+OP7_SQL = r"""
+WITH l AS (
+  SELECT doc_id, line, i, lower_ascii AS key, length(lower_ascii) >= 10 AS long_enough
+  FROM (SELECT doc_id, line, i,
+               translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_ascii
+        FROM (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS i
+              FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents))),
+),
+owner AS (SELECT key, min(doc_id) AS first_doc FROM l WHERE long_enough GROUP BY key),
+k AS (SELECT l.doc_id, l.line, l.i, long_enough AND first_doc <> l.doc_id AS gone
+      FROM l LEFT JOIN owner ON l.long_enough AND l.key = owner.key)
+SELECT doc_id, count(*)::BIGINT AS n_lines, sum(coalesce(gone, FALSE)::INT)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT coalesce(gone, FALSE)), '')) AS kept_sha256
+FROM k GROUP BY doc_id
+"""
