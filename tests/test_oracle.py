@@ -6,8 +6,10 @@ import __spark_entry__ as entry_mod
 from tests.compare import compare, duck
 from tests.conftest import SF01
 
-QUERIES = entry_mod.queries()
-ORACLE = entry_mod.oracle_sql()
+from cotopic.plans import catalogue
+
+QUERIES = {k: f for k, f in entry_mod.queries().items() if k in catalogue.QUERIES}
+ORACLE = {k: s for k, s in entry_mod.oracle_sql().items() if k in catalogue.QUERIES}
 
 
 @pytest.fixture(scope="module")
