@@ -185,8 +185,7 @@ WITH l AS (
                translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
                          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_ascii
         FROM (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS i
-              FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents))),
-),
+              FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)))),
 owner AS (SELECT key, min(doc_id) AS first_doc FROM l WHERE long_enough GROUP BY key),
 k AS (SELECT l.doc_id, l.line, l.i, long_enough AND first_doc <> l.doc_id AS gone
       FROM l LEFT JOIN owner ON l.long_enough AND l.key = owner.key)
