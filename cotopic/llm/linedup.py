@@ -149,7 +149,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     slim = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("row"), text.alias("text"))
     lost = (repeated_lines(slim, min_chars, batches).groupBy(F.col("row").alias("_row"))
             .agg(F.collect_set(F.struct("h1", "h2")).alias("_lost")))
-    joined = docs.join(lost, F.col(id_col).cast("long") == F.col("_row"), "left")
+    joined = docs.join(lost.hint("merge"), F.col(id_col).cast("long") == F.col("_row"), "left")
 
     def keep(text: pd.Series, lost: pd.Series) -> pd.DataFrame:
         kept, n_lines, n_dropped = [], [], []

@@ -97,24 +97,26 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     plan += [(r["_s"], 0, 0.0, 0) for r in per_source if not r["t"]]
     plan = [(s, t, w, b // t if t else 1, b % t if t else 0) for s, t, w, b in plan]  # whole passes, tokens of the last one
     spark = docs.sparkSession
-    schema = f"_s {docs.schema[source_col].dataType.simpleString()}, _t long, weight double, _passes long, _rest long"
-    plan_df = spark.createDataFrame(plan, schema)
-    out = docs.join(F.broadcast(plan_df), F.col(source_col).eqNullSafe(F.col("_s")))  # at most MAX_SOURCES rows
-    whole = (out.where("_passes > 0").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_passes") - 1))))
+    kind = docs.schema[source_col].dataType.simpleString()
+    plan_df = spark.createDataFrame(plan, f"_s {kind}, _t long, weight double, _passes long, _rest long")
+    out = docs.join(F.broadcast(plan_df), F.col(f"`{source_col}`").eqNullSafe(F.col("_s")))  # at most MAX_SOURCES rows
+    hashed = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_passes").cast("string"), F.col(f"`{id_col}`").cast("string")))
+    out = out.withColumn("_h", hashed).withColumn("_block", F.substring("_h", 1, BLOCK_DIGITS))
+    # the block each source's last pass ends in, and the tokens before it: one row a source
+    sums = out.where("_rest > 0").groupBy("_s", "_rest", "_block").agg(F.sum("n_tokens").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy("_s").orderBy("_block"))
+    cuts = (sums.withColumn("_to", upto).where("_to > _rest").groupBy("_s")
+                .agg(F.min(F.struct("_block", (F.col("_to") - F.col("_n")).alias("before"))).alias("c")).collect())
+    cut_df = spark.createDataFrame([(r["_s"], r["c"]["_block"], r["c"]["before"]) for r in cuts], f"_cs {kind}, _cut string, _before long")
+    out = out.join(F.broadcast(cut_df), F.col("_s").eqNullSafe(F.col("_cs")) & (F.col("_rest") > 0), "left")
     cols = [*[f"`{c}`" for c in docs.columns if c != "n_tokens"], "n_tokens", "copy", "weight"]
-    rest = out.where("_rest > 0").withColumn("copy", F.col("_passes"))
-    rest = rest.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("copy").cast("string"), F.col(id_col).cast("string"))))
-    rest = rest.withColumn("_block", F.substring("_h", 1, BLOCK_DIGITS))
-    blocks = rest.groupBy("_s", "_block", "_rest").agg(F.sum("n_tokens").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("_s").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
-    blocks = blocks.withColumn("_before", F.coalesce(before, F.lit(0))).where("_before < _rest")
-    blocks = blocks.select(F.col("_s").alias("_bs"), F.col("_block").alias("_bb"), "_before", (F.col("_before") + F.col("_n") <= F.col("_rest")).alias("_whole"))
-    met = rest.join(blocks, F.col("_s").eqNullSafe(F.col("_bs")) & (F.col("_block") == F.col("_bb")))
-    last = met.where(~F.col("_whole"))
-    run = F.sum("n_tokens").over(Window.partitionBy("_s").orderBy("_h", id_col, F.xxhash64(text_col)).rowsBetween(Window.unboundedPreceding, -1))
-    last = last.withColumn("_run", F.col("_before") + F.coalesce(run, F.lit(0))).where("_run < _rest")
-    return (whole.selectExpr(*cols).unionByName(met.where("_whole").selectExpr(*cols))
-            .unionByName(last.selectExpr(*cols)))
+    passes = F.col("_passes") + F.when(F.col("_block") < F.col("_cut"), 1).otherwise(0)
+    whole = out.where(passes > 0).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), passes - 1)))
+    # the documents of the cut blocks in order, until the budget is reached
+    order = Window.partitionBy("_s").orderBy("_h", F.col(f"`{id_col}`"), F.xxhash64(F.col(f"`{text_col}`")))
+    run = F.coalesce(F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = out.where("_block = _cut").withColumn("_run", F.col("_before") + run).where("_run < _rest")
+    return whole.selectExpr(*cols).unionByName(last.withColumn("copy", F.col("_passes")).selectExpr(*cols))
 
 
 def op8_mixing(spark, sf_dir) -> DataFrame:

@@ -233,7 +233,7 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, max_bytes: int = MAX_BY
     kept = step.where("several")
     want = kept.groupBy("doc_id", F.shiftrightunsigned("place", 49).alias("tag")).agg(
         F.collect_list(F.struct("place", "g", "c")).alias("want"))
-    d, w = docs.alias("d"), want.alias("w")
+    d, w = docs.alias("d"), want.hint("merge").alias("w")  # the lists grow with the corpus: one plan at every size
     contexts = (d.join(w, F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.tag") == F.col("w.tag")))
                 .select("d.doc_id", "text", "want").mapInArrow(_cut_contexts(window), _CONTEXT))
     span = F.shiftright("place", 9).bitwiseAND(F.lit(511).cast("long")) + window + 1
@@ -285,7 +285,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     runs = repeated_runs(slim, window, max_bytes, bucket_bytes)
     per_doc = (runs.groupBy(F.col("doc_id").alias("r_id"), F.col("tag").alias("r_tag"))
                    .agg(F.collect_set(F.struct("first", "last")).alias("runs")))
-    joined = (slim.join(per_doc, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("tag") == F.col("r_tag")), "left")
+    joined = (slim.join(per_doc.hint("merge"), F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("tag") == F.col("r_tag")), "left")
                   .select("doc_id", "text", "runs"))
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()),
                         ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
