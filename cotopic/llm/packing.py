@@ -31,35 +31,61 @@ REMEMBERED = 400_000  # words whose ids a task keeps
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+# The same cut by the standard library, for texts without the characters in which the two differ: number signs that are no
+# digits, the separators \x1c-\x1f, and whatever is beyond the Latin letters.
+PLAIN_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+"
+NOT_PLAIN = r"[\x1c-\x1f\u00b2\u00b3\u00b9\u00bc-\u00be\u0250-\U0010ffff]"
+
+
 class Ids:
-    """Token ids of texts as little-endian 32-bit bytes; the library encodes each distinct word once."""
+    """Token ids of texts as little-endian 32-bit bytes; the library encodes each distinct word once.
+
+    New words that are a blank and letters are encoded as one text: it is cut at just those blanks, and only a word's first
+    token starts with the blank's letter, so the ids fall apart into words again.
+    """
 
     def __init__(self, path: str):
+        import re
+
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words = regex.compile(WORDS).findall
+        self.plain_words, self.not_plain = re.compile(PLAIN_WORDS).findall, re.compile(NOT_PLAIN).search
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.opens[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
         self.known: dict[str, bytes] = {}
 
+    def cut(self, text: str) -> list[str]:
+        return self.words(text) if self.not_plain(text) else self.plain_words(text)
+
+    def learn(self, words: list[str]) -> None:
+        encode = self.tokenizer.encode_batch_fast
+        apart = [w for w in words if not (w[0] == " " and w[1:].isalpha())]
+        for w, e in zip(apart, encode(apart, add_special_tokens=False)):
+            self.known[w] = np.array(e.ids, "<u4").tobytes()
+        joint = [w for w in words if w[0] == " " and w[1:].isalpha()]
+        texts = [joint[a:a + 256] for a in range(0, len(joint), 256)]
+        for ws, e in zip(texts, encode(["".join(ws) for ws in texts], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            at = (4 * np.flatnonzero(self.opens[ids])).tolist()
+            data = ids.tobytes()
+            self.known.update(zip(ws, map(data.__getitem__, map(slice, at, [*at[1:], len(data)]))))
+
     def of(self, texts: list[str]) -> list[bytes]:
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
-        out = []
-        for a in range(0, len(texts), 64):
-            part = texts[a:a + 64]
-            cut = [None if any(s in t for s in self.special) else self.words(t) for t in part]
-            new = list({w for ws in cut if ws for w in ws if w not in known})
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-            for t, ws in zip(part, cut):
-                if ws is None:  # special strings are the tokenizer's to find
-                    out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
-                else:
-                    out.append(b"".join(map(known.__getitem__, ws)))
-        return out
+        cut = [None if any(s in t for s in self.special) else self.cut(t) for t in texts]
+        new = set().union(*[ws for ws in cut if ws]).difference(known)
+        self.learn(list(new))
+        get = known.__getitem__
+        # special strings are the tokenizer's to find
+        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if ws is None
+                else b"".join(map(get, ws)) for t, ws in zip(texts, cut)]
 
 
 _PIECES = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()),

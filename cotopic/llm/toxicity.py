@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cotopic.llm.common import crc32_mod, table, text_blocks
@@ -267,9 +267,9 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from=None, id_col: str = "do
     known = known.where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull())
     if learn_from is not None:
         known = known.where(learn_from)
-    order = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
-    known = (known.withColumn("k", F.row_number().over(order))
-                  .where(F.col("k") <= F.when(F.col("y") == 1, max_toxic).otherwise(max_clean)).drop("k"))
+    h = F.xxhash64("doc_id")
+    some = [known.where(F.col("y") == y).orderBy(h, "doc_id").limit(n) for y, n in ((1, max_toxic), (0, max_clean))]
+    known = some[0].unionByName(some[1])
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = (texts.join(F.broadcast(known), "doc_id")  # at most max_toxic + max_clean rows
                  .select("y", F.coalesce("text", F.lit("")).alias("text")).toArrow())
