@@ -31,8 +31,9 @@ def _col(c) -> Column:
 
 
 def month_start(yyyymm) -> Column:
-    """``YYYYMM`` integer -> first day of that month (null when not a valid month)."""
-    ts = F.try_to_timestamp(F.lpad(_col(yyyymm).cast("string"), 6, "0"), F.lit("yyyyMM"))
+    """``YYYYMM`` integer -> first day of that month (null when it has not six digits or no such month)."""
+    c = _col(yyyymm)
+    ts = F.try_to_timestamp(F.when(c.between(100000, 999999), c.cast("string")), F.lit("yyyyMM"))
     return ts.cast("date")
 
 
@@ -41,20 +42,20 @@ def month_tick(date) -> Column:
     return F.date_format(_col(date), "yyyy-MM")
 
 
-def _names() -> Column:
-    return F.array(*[F.lit(n) for n in MONTH_NAMES])
+def _names(names=MONTH_NAMES) -> Column:
+    return F.array(*[F.lit(n) for n in names])
 
 
-def month_label(date) -> Column:
-    """``<month name> de YYYY`` of a date."""
+def month_label(date, names=MONTH_NAMES) -> Column:
+    """``<month name> de YYYY`` of a date; ``names`` are the twelve month names."""
     d = _col(date)
-    return F.concat(F.element_at(_names(), F.month(d)), F.lit(" de "), F.year(d).cast("string"))
+    return F.concat(F.element_at(_names(names), F.month(d)), F.lit(" de "), F.year(d).cast("string"))
 
 
-def yyyymm_label(yyyymm) -> Column:
-    """Same label straight from a ``YYYYMM`` integer."""
+def yyyymm_label(yyyymm, names=MONTH_NAMES) -> Column:
+    """Same label straight from a ``YYYYMM`` integer; null when it has no such month."""
     c = _col(yyyymm)
-    return F.concat(F.try_element_at(_names(), (c % 100).cast("int")), F.lit(" de "), (c / 100).cast("int").cast("string"))
+    return F.concat(F.get(_names(names), (c % 100).cast("int") - 1), F.lit(" de "), (c / 100).cast("int").cast("string"))
 
 
 def numbered_list(arr, sep: str = "<br>") -> Column:

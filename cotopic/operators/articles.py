@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cotopic.functions.urls import (
     article_title, capture_date, capture_order, original_url, outlet_host,
 )
+from cotopic.operators.topics import mention_rows
 from cotopic.schema import MIN_COUNT
 
 # Outlet tokens, tried in this order; the first one contained in the host wins.
@@ -35,23 +36,22 @@ def outlet_of(host, outlets: Sequence[str] = OUTLETS) -> Column:
     return expr.otherwise(F.lit(NO_OUTLET)) if expr is not None else F.lit(NO_OUTLET)
 
 
-def match_outlet(df: DataFrame, host: str = "host", outlets: Sequence[str] | DataFrame = OUTLETS,
-                 max_outlets: int = 10000) -> DataFrame:
+def match_outlet(df: DataFrame, host: str = "host", outlets: Sequence[str] | DataFrame = OUTLETS) -> DataFrame:
     """Add ``outlet`` to ``df``.
 
-    ``outlets`` may also be a table ``(position, token)``: then distinct hosts meet it in a
-    broadcast nested-loop join on ``contains`` and ``min_by(token, position)`` keeps the
-    first match. The table is broadcast only after its row count is checked.
+    ``outlets`` may also be a table ``(position, token)`` of any size: every distinct host is exploded to its
+    substrings (a host is short), which meet the tokens in an equality join, and ``min_by(token, position)``
+    keeps the first match.
     """
     if not isinstance(outlets, DataFrame):
         return df.withColumn("outlet", outlet_of(host, outlets))
-    n = outlets.count()
-    if n > max_outlets:
-        raise ValueError(f"outlet table has {n} rows; more than {max_outlets} cannot be broadcast")
-    hosts = df.select(F.col(host).alias("_h")).distinct()
-    first = (hosts.join(F.broadcast(outlets), F.col("_h").contains(F.col("token")), "left")
-                  .groupBy("_h").agg(F.min_by("token", "position").alias("outlet")))
-    return (df.join(first, F.col(host).eqNullSafe(F.col("_h")), "left").drop("_h")
+    hosts = df.select(F.col(host).alias("_h")).where(F.col("_h").isNotNull()).distinct()
+    n = F.length("_h")
+    cuts = F.flatten(F.transform(F.sequence(F.lit(0), n), lambda i: F.transform(
+        F.sequence(i, n), lambda j: F.substring(F.col("_h"), i + 1, j - i))))
+    parts = hosts.select("_h", F.explode(F.array_distinct(cuts)).alias("token"))
+    first = parts.join(outlets, "token").groupBy("_h").agg(F.min_by("token", "position").alias("outlet"))
+    return (df.join(first, F.col(host) == F.col("_h"), "left").drop("_h")
               .withColumn("outlet", F.coalesce("outlet", F.lit(NO_OUTLET))))
 
 
@@ -65,26 +65,21 @@ def relation_articles(hits: DataFrame, rel: DataFrame | None = None, dedup: bool
     One row per (article, keyword) of the relation set; with ``dedup`` one row per
     (topic, keyword, title), keeping the latest capture (then the smallest URL).
 
-    Every field is a function of the article's URL, so it is computed once per hit article,
-    before the keyword explode, and carried through the de-duplication.
+    Every field is a function of the article's URL: only the URL, its title and its capture order pass the
+    aggregate, and the other fields are derived from the winning URL afterwards. An article without a title is
+    no copy of anything and is kept.
     Without ``rel`` the relation set (count cut) is a hash aggregate over the same exploded
     rows, applied before the de-duplication; the topic's own articles are left out unless
     ``include_topic``. With ``rel`` only its (topic, keyword) pairs are kept.
     """
     order = F.coalesce(-capture_order("archive"), F.lit(2**63 - 1))
-    per_article = hits.select(
-        "topic", "keywords", "archive",
-        article_title("archive").alias("title"),
-        capture_date("archive").alias("capture_date"),
-        order.alias("_o"),
-    ).withColumn("host", outlet_host("archive")).withColumn("original_url", original_url("archive"))
-    per_article = match_outlet(per_article, "host")
-    rows = (per_article.select("topic", "_o", *ARTICLE_FIELDS, F.explode("keywords").alias("keyword", "n"))
+    per_article = hits.select("topic", "keywords", "id", "archive", article_title("archive").alias("title"), order.alias("_o"))
+    rows = (per_article.select("topic", "_o", "id", "title", "archive", F.explode("keywords").alias("keyword", "n"))
                        .where(F.col("n").isNotNull()))
     if rel is None:
-        # the relation set (count cut) from a hash aggregate over the same rows; applied
+        # the relation set (count cut) from a hash aggregate; applied
         # before the sort-based de-duplication so rows of cut keywords never reach it
-        keep = (rows.groupBy("topic", "keyword").agg(F.sum("n").alias("_count"))
+        keep = (mention_rows(hits).groupBy("topic", "keyword").agg(F.sum("n").alias("_count"))
                     .where(F.col("_count") >= min_count))
         if not include_topic:
             keep = keep.where(F.col("keyword") != F.col("topic"))
@@ -92,13 +87,15 @@ def relation_articles(hits: DataFrame, rel: DataFrame | None = None, dedup: bool
         keep = rel
     rows = rows.join(keep.select("topic", "keyword"), ["topic", "keyword"], "left_semi")
     if dedup:
-        best = F.min(F.struct(F.col("_o"), F.col("archive").alias("_a"), *[F.col(c) for c in ARTICLE_FIELDS]))
-        rows = (rows.groupBy("topic", "keyword", "title")
-                    .agg(best.alias("_w"))
-                    .select("topic", "keyword", *[F.col("_w")[c].alias(c) for c in ARTICLE_FIELDS]))
-    return rows.select("topic", "keyword", *ARTICLE_FIELDS)
+        single = F.when(F.col("title").isNull(), F.struct("id", "archive"))  # null for articles that have a title
+        rows = (rows.groupBy("topic", "keyword", "title", single.alias("_single"))
+                    .agg(F.min(F.struct("_o", "archive")).alias("_w"))
+                    .select("topic", "keyword", "title", "_w.archive"))
+    rows = (rows.withColumn("capture_date", capture_date("archive")).withColumn("host", outlet_host("archive"))
+                .withColumn("original_url", original_url("archive")))
+    return match_outlet(rows, "host").select("topic", "keyword", *ARTICLE_FIELDS)
 
 
 def ordered_articles(articles: DataFrame) -> DataFrame:
-    """Presentation order: newest capture day first, then URL (a global sort; use at output)."""
-    return articles.orderBy("topic", "keyword", F.desc_nulls_last("capture_date"), "archive")
+    """Presentation order: newest capture day first, then URL descending (a global sort; use at output)."""
+    return articles.orderBy("topic", "keyword", F.desc_nulls_last("capture_date"), F.desc_nulls_last("archive"))

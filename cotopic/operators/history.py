@@ -111,35 +111,36 @@ def relation_history(hits: DataFrame, rel: DataFrame | None = None, min_count: i
     ``articles`` are the topic's hit articles of the month, ``mentions`` those of the
     keyword; the range is the topic's first to last hit month.
 
-    Per keyword, the month mentions are collected into a map (one entry per calendar month)
-    together with the count used for the cut; per topic, the month article counts form a
-    one-row lookup (a map and its range, also calendar-bounded), joined on ``topic``. The
-    spine is generated per keyword and filled by map lookup - no window over a topic's whole
-    keyword set, no pairwise join.
+    Dated mentions per (topic, keyword, month) and a spine of zeros - every month of the topic for every
+    kept keyword - are summed together, so a month without mentions is there with 0; the topic's articles of a month, one row per
+    calendar month, are joined on (topic, month). No maps in the rows, no window over a topic's whole keyword set.
     """
     per = (mention_rows(hits, "timestamp")
            .groupBy("topic", "keyword", "timestamp").agg(F.sum("n").alias("mentions"))
            .withColumn("month", month_start("timestamp")))
-    dated = F.col("month").isNotNull()
-    kw = per.groupBy("topic", "keyword").agg(
-        F.sum("mentions").alias("_count"),
-        F.map_from_entries(F.collect_list(F.when(dated, F.struct("month", "mentions")))).alias("_km"))
     if rel is None:
-        kw = kw.where(F.col("_count") >= min_count)
+        kw = per.groupBy("topic", "keyword").agg(F.sum("mentions").alias("_count")).where(F.col("_count") >= min_count)
         if not include_topic:
             kw = kw.where(F.col("keyword") != F.col("topic"))
     else:
-        kw = kw.join(rel.select("topic", "keyword"), ["topic", "keyword"], "left_semi")
-    arts = (monthly_articles(hits).withColumn("month", month_start("timestamp")).where(F.col("month").isNotNull())
-            .groupBy("topic")
-            .agg(F.map_from_entries(F.collect_list(F.struct("month", "articles"))).alias("_am"),
-                 F.min("month").alias("_lo"), F.max("month").alias("_hi")))
-    spine = kw.join(arts, "topic").select(
-        "topic", "keyword", "_km", "_am", F.explode(F.sequence("_lo", "_hi", _one_month())).alias("month"))
-    return spine.select(
-        "topic", "keyword", month_tick("month").alias("month"),
-        F.coalesce(F.col("_am")[F.col("month")], F.lit(0)).alias("articles"),
-        F.coalesce(F.col("_km")[F.col("month")], F.lit(0)).alias("mentions"))
+        kw = rel
+    kw = kw.select("topic", "keyword")
+    arts = monthly_articles(hits).withColumn("month", month_start("timestamp")).where(F.col("month").isNotNull())
+    ends = arts.groupBy("topic").agg(F.min("month").alias("_lo"), F.max("month").alias("_hi"))
+    spine = (kw.distinct().join(ends, "topic")
+             .select("topic", "keyword", F.explode(F.sequence("_lo", "_hi", _one_month())).alias("month"),
+                     F.lit(0).cast("long").alias("mentions")))
+    dated = (per.where(F.col("month").isNotNull()).join(kw, ["topic", "keyword"], "left_semi")
+                .select("topic", "keyword", "month", "mentions"))
+    filled = spine.unionByName(dated).groupBy("topic", "keyword", "month").agg(F.sum("mentions").alias("mentions"))
+    return (filled.join(arts.select("topic", "month", "articles"), ["topic", "month"], "left")
+                  .select("topic", "keyword", month_tick("month").alias("month"),
+                          F.coalesce("articles", F.lit(0)).alias("articles"), "mentions"))
+
+
+def ordered_history(history: DataFrame) -> DataFrame:
+    """Presentation order of a history: by month within topic (and keyword), a global sort for output."""
+    return history.orderBy(*[c for c in ("topic", "keyword", "month") if c in history.columns])
 
 
 def history_peak(history: DataFrame, cols: list[str], keys: list[str] = ("topic",), headroom: float = 1.1) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cotopic.functions.labels import band_color, node_caption, sentiment_band, wrap_label
 from cotopic.functions.urls import capture_month, capture_stamp
-from cotopic.operators.relations import neighbours, relations
+from cotopic.operators.relations import neighbours, relation_extremes
 from cotopic.operators.topics import mention_rows
 from cotopic.schema import MIN_COUNT, TOP_NODES
 from cotopic.session import scratch_path
@@ -25,12 +25,12 @@ SIZE_BASE = 50.0
 
 
 def sentiment_quantiles(rel: DataFrame, approx: bool = False, accuracy: int = 10000,
-                        method: str = "aggregate") -> DataFrame:
+                        method: str = "distributed") -> DataFrame:
     """``topic, q10, q30, q70, q90`` of the keywords' tone, linear interpolation.
 
-    * ``"aggregate"`` (default): exact ``percentile``; tasks ship value->count summaries and
+    * ``"aggregate"``: exact ``percentile``; tasks ship value->count summaries and
       the final merge holds one map per topic (distinct tone values of its neighbours).
-    * ``"distributed"``: exact, with no per-topic merge at all (``distributed_quantiles``).
+    * ``"distributed"`` (default): exact, with no per-topic merge at all (``distributed_quantiles``).
     * ``approx=True``: ``percentile_approx`` with bounded memory.
     Null tones are skipped.
     """
@@ -100,7 +100,7 @@ def top_relations(neigh: DataFrame, n: int = TOP_NODES) -> DataFrame:
 
 
 def sentiment_thresholds(neigh: DataFrame, n: int = TOP_NODES, approx: bool = False,
-                         method: str = "aggregate") -> DataFrame:
+                         method: str = "distributed") -> DataFrame:
     """``topic, q10, q30, q70, q90``: quantiles of all neighbours blended with those of the
     top ``n`` by count (``method`` as in ``sentiment_quantiles``)."""
     return (_ranked_with_quantiles(neigh, n, approx, method)
@@ -133,12 +133,12 @@ def _ranked_with_quantiles(neigh: DataFrame, n: int, approx: bool, method: str =
 
 
 def relation_nodes(rel: DataFrame, n: int = TOP_NODES, sep: str = "<br>", approx: bool = False,
-                   hits: DataFrame | None = None, quantiles: str = "aggregate") -> DataFrame:
+                   hits: DataFrame | None = None, quantiles: str = "distributed") -> DataFrame:
     """``topic, keyword, count, sentiment, size, band, color, label, caption, first_seen, last_seen``.
 
     ``rel`` is the relation set (topic included; it is removed here) and must carry the
     archive extremes (``relations(..., extremes=True)``, or a stored relation set); without
-    them pass ``hits=`` and they are computed in the same single aggregate.
+    them pass ``hits=`` and they are computed for the shown keywords only.
 
     All-neighbour quantiles are a partial/final aggregate per topic; the top-N cut is a
     per-task limit before the shuffle; top-N quantiles and the smallest count are windows
@@ -146,11 +146,13 @@ def relation_nodes(rel: DataFrame, n: int = TOP_NODES, sep: str = "<br>", approx
     ``quantiles="distributed"`` computes the all-neighbour quantiles without any per-topic
     merge (``distributed_quantiles``), for topics with very large neighbour sets.
     """
-    if "first_archive" not in rel.columns:
-        if hits is None:
-            raise ValueError("relation set has no archive extremes: pass hits=, or relations(..., extremes=True)")
-        rel = relations(hits, extremes=True).join(rel.select("topic", "keyword"), ["topic", "keyword"], "left_semi")
+    if "first_archive" not in rel.columns and hits is None:
+        raise ValueError("relation set has no archive extremes: pass hits=, or relations(..., extremes=True)")
     nodes = _ranked_with_quantiles(neighbours(rel), n, approx, quantiles)
+    if "first_archive" not in rel.columns:
+        # string extremes of the at most n shown keywords, not of the whole relation set
+        shown = top_relations(neighbours(rel), n).select("topic", "keyword")
+        nodes = nodes.join(relation_extremes(hits, shown), ["topic", "keyword"], "left")
     size = F.pow(F.ln(F.col("count") / F.col("min_count")) * SIZE_SCALE, SIZE_POWER) + SIZE_BASE
     band = sentiment_band("sentiment", "q10", "q30", "q70", "q90")
     last_seen = capture_month("last_archive")
@@ -171,24 +173,26 @@ def relation_years(hits: DataFrame, rel: DataFrame | None = None, n: int = TOP_N
     The range runs from the first capture year (or first mention year, if earlier) to the
     last capture year (or last mention year, if later), so no mention falls outside it.
 
-    One pipeline over one read of the hits: an aggregate per (topic, keyword, year) holds the
-    mentions and the archive extremes; per keyword they roll up into a year map (one entry
-    per calendar year) and the count; the top-N cut is a window; the spine is generated from
-    the range and filled by map lookup. ``rel`` optionally restricts the keywords.
+    A hash aggregate per (topic, keyword, year) holds the mentions; per keyword they roll up into a year
+    map (one entry per calendar year) and the count; the top-N cut is a window; the archive extremes are
+    read for the kept keywords only; the spine is generated from
+    the range and filled by map lookup. With ``rel`` its keywords alone count, whatever their mentions.
     """
-    rows = mention_rows(hits, "timestamp", "archive")
-    per = rows.groupBy("topic", "keyword", (F.col("timestamp") / 100).cast("int").alias("year")).agg(
-        F.sum("n").alias("mentions"), F.min("archive").alias("_a0"), F.max("archive").alias("_a1"))
+    rows = mention_rows(hits, "timestamp")
+    per = (rows.groupBy("topic", "keyword", (F.col("timestamp") / 100).cast("int").alias("year"))
+               .agg(F.sum("n").alias("mentions")))
     dated = F.col("year").isNotNull()
     kw = per.groupBy("topic", "keyword").agg(
         F.sum("mentions").alias("count"),
         F.map_from_entries(F.collect_list(F.when(dated, F.struct("year", "mentions")))).alias("_ym"),
-        F.min(F.when(dated, F.col("year"))).alias("_m0"), F.max(F.when(dated, F.col("year"))).alias("_m1"),
-        F.min("_a0").alias("first_archive"), F.max("_a1").alias("last_archive"))
-    kw = kw.where((F.col("count") >= min_count) & (F.col("keyword") != F.col("topic")))
-    if rel is not None:
+        F.min(F.when(dated, F.col("year"))).alias("_m0"), F.max(F.when(dated, F.col("year"))).alias("_m1"))
+    kw = kw.where(F.col("keyword") != F.col("topic"))
+    if rel is None:
+        kw = kw.where(F.col("count") >= min_count)
+    else:  # the given set decides
         kw = kw.join(rel.select("topic", "keyword"), ["topic", "keyword"], "left_semi")
     top = top_relations(kw, n)
+    top = top.join(relation_extremes(hits, top.select("topic", "keyword")), ["topic", "keyword"], "left")
     first = capture_stamp("first_archive").substr(1, 4).try_cast("int")
     last = capture_stamp("last_archive").substr(1, 4).try_cast("int")
     bounds = top.select("topic", "keyword", "_ym",

@@ -94,19 +94,21 @@ def relation_sources(hits: DataFrame, rel: DataFrame | None = None, min_count: i
            .agg(F.count(F.lit(1)).alias("articles"), F.sum("n").alias("_n")))
     w = Window.partitionBy("topic", "keyword")
     out = (per.withColumn("_total", F.sum("articles").over(w))
-              .withColumn("_count", F.sum("_n").over(w))
-              .where(F.col("_count") >= min_count))
-    if rel is not None:
+              .withColumn("_count", F.sum("_n").over(w)))
+    if rel is None:
+        out = out.where(F.col("_count") >= min_count)
+    else:  # the given set decides
         out = out.join(rel.select("topic", "keyword"), ["topic", "keyword"], "left_semi")
     return (out.withColumn("pct", F.col("articles") * F.lit(100.0) / F.col("_total"))
                .drop("_total", "_count", "_n"))
 
 
 def relations_nested(hits: DataFrame, rel: DataFrame | None = None, min_count: int = MIN_COUNT) -> DataFrame:
-    """The stored record shape: ``topic, keyword, count, sentiment, date, source``.
+    """The stored record shape: ``topic, keyword, count, sentiment, date, source, date_unknown, source_unknown``.
 
     ``date`` (month -> mentions) and ``source`` (outlet -> articles) are maps with string
-    keys, a null key written as ``"null"``; both are bounded by months and outlets.
+    keys, bounded by months and outlets; mentions without a month and articles without an outlet
+    are the two ``unknown`` numbers. With ``rel`` its keywords alone are kept, whatever their count.
     Article URLs stay in the long ``relation_articles`` table instead of a list here.
 
     One read of the hits: a single ``GROUPING SETS`` aggregate produces the per-month and
@@ -124,18 +126,25 @@ def relations_nested(hits: DataFrame, rel: DataFrame | None = None, min_count: i
     by_source = F.col("_g") == 2  # month grouped out
 
     def entries(cond, key, value):
-        k = F.coalesce(F.col(key).cast("string"), F.lit("null"))
-        return F.map_from_entries(F.array_sort(F.collect_list(F.when(cond, F.struct(k.alias("k"), F.col(value).alias("v"))))))
+        k = F.col(key).cast("string")
+        known = cond & k.isNotNull()
+        return F.map_from_entries(F.array_sort(F.collect_list(F.when(known, F.struct(k.alias("k"), F.col(value).alias("v"))))))
+
+    def unknown(cond, key, value):
+        return F.coalesce(F.sum(F.when(cond & F.col(key).isNull(), F.col(value))), F.lit(0))
 
     out = (g.groupBy("topic", "keyword")
             .agg(F.sum(F.when(by_month, F.col("mentions"))).alias("count"),
                  F.sum(F.when(by_month, F.col("_ts"))).alias("_ts"),
                  F.sum(F.when(by_month, F.col("_tn"))).alias("_tn"),
                  entries(by_month, "timestamp", "mentions").alias("date"),
-                 entries(by_source, "source", "articles").alias("source"))
-            .where(F.col("count") >= min_count)
+                 entries(by_source, "source", "articles").alias("_source"),
+                 unknown(by_month, "timestamp", "mentions").alias("date_unknown"),
+                 unknown(by_source, "source", "articles").alias("source_unknown"))
+            .where(F.lit(rel is not None) | (F.col("count") >= min_count))
             .withColumn("sentiment", F.col("_ts") / F.nullif(F.col("_tn"), F.lit(0)))
-            .select("topic", "keyword", "count", "sentiment", "date", "source"))
+            .select("topic", "keyword", "count", "sentiment", "date", F.col("_source").alias("source"),
+                    "date_unknown", "source_unknown"))
     if rel is not None:
         out = out.join(rel.select("topic", "keyword"), ["topic", "keyword"], "left_semi")
     return out

@@ -33,15 +33,22 @@ def topic_hits(news: DataFrame, topics: Topics, min_mentions: int = MIN_MENTIONS
       list becomes literals in the plan: meant for a handful of topics; pass a DataFrame
       for large topic sets).
     * ``None``: every keyword of an article with enough mentions is a topic (all topics).
-    * DataFrame with a ``topic`` column: like ``None`` then a semi join on ``topic``
-      (Spark broadcasts the topic table only when its measured size allows).
+    * DataFrame with a ``topic`` column: slim (article id, topic) rows meet the table in a semi join, each article's
+      topics are gathered again, and only then the article columns are joined, once per article. Every
+      topic is looked up in the article's own map, so articles that share an id keep their own.
     """
     if isinstance(topics, str):
         t = F.lit(topics)
         return news.where(F.col("keywords")[t] > min_mentions).withColumn("topic", t)
     if isinstance(topics, DataFrame):
         allowed = topics.select("topic").where(F.col("topic").isNotNull()).distinct()
-        return topic_hits(news, None, min_mentions).join(allowed, "topic", "left_semi")
+        enough = F.map_filter("keywords", lambda k, v: v > min_mentions)
+        wanted = (news.select("id", F.explode(F.map_keys(enough)).alias("topic"))
+                      .join(allowed, "topic", "left_semi")
+                      .groupBy(F.col("id").alias("_id")).agg(F.collect_set("topic").alias("_topics")))
+        return (news.join(wanted, F.col("id").eqNullSafe(F.col("_id")))
+                    .select(*news.columns, F.explode("_topics").alias("topic"))
+                    .where(F.col("keywords")[F.col("topic")] > min_mentions))
     if topics is None:
         keep = lambda k, v: v > min_mentions
     else:

@@ -22,8 +22,9 @@ from cotopic.operators import (
 )
 from cotopic.functions import outlet_host, topic_key
 from cotopic.session import scratch_path
-from cotopic.sources.fixtures import star_news, text_news
-from cotopic.sources.news import read_news, write_news
+from cotopic.sources.fixtures import star_news, table, text_news
+from cotopic.plans.report import relation_detail, topic_search
+from cotopic.sources.news import read_news, read_relations_json, write_news, write_relations_json
 from cotopic.sources.store import RelationStore
 
 # Query parameters.
@@ -145,7 +146,7 @@ def q_sentiment_thresholds(c: Corpus) -> DataFrame:
 
 
 def q_relation_nodes(c: Corpus) -> DataFrame:
-    return rounded(relation_nodes(relations(c.hits(), extremes=True)).select(
+    return rounded(relation_nodes(c.rel(), hits=c.hits()).select(
         "keyword", "count", "size", "band", "color", "label", "caption", "first_seen", "last_seen"))
 
 
@@ -190,14 +191,19 @@ def q_topic_key(c: Corpus) -> DataFrame:
     return mentions(c.star).select("keyword").distinct().withColumn("topic_key", topic_key("keyword"))
 
 
+def part_topics(c: Corpus) -> DataFrame:
+    """A topic table: the part names."""
+    return table(c.spark, c.sf_dir, "part").select(F.col("p_name").alias("topic")).distinct()
+
+
 def q_relations_all_topics(c: Corpus) -> DataFrame:
-    return rounded(relations(topic_hits(c.star, None)).select("topic", "keyword", "count", "sentiment"))
+    return rounded(relations(topic_hits(c.star, part_topics(c))).select("topic", "keyword", "count", "sentiment"))
 
 
 def q_relation_store_roundtrip(c: Corpus) -> DataFrame:
     store = RelationStore(c.spark, scratch_path(c.spark, "relation-store"))
-    store.get_or_compute(c.star, None)
-    return store.get_or_compute(c.star, None).select("topic", "keyword", "count")
+    store.get_or_compute(c.star, part_topics(c), fingerprint="1")
+    return store.get_or_compute(c.star, part_topics(c), fingerprint="1").select("topic", "keyword", "count")
 
 
 def q_text_relations(c: Corpus) -> DataFrame:
@@ -205,7 +211,8 @@ def q_text_relations(c: Corpus) -> DataFrame:
 
 
 def q_text_relation_nodes(c: Corpus) -> DataFrame:
-    return rounded(relation_nodes(relations(topic_hits(c.text, TEXT_TOPIC), extremes=True)).select(
+    hits = topic_hits(c.text, TEXT_TOPIC)
+    return rounded(relation_nodes(relations(hits), hits=hits).select(
         "keyword", "count", "size", "band", "color", "label", "caption", "first_seen", "last_seen"))
 
 
@@ -234,6 +241,55 @@ def q_outlet_match_table(c: Corpus) -> DataFrame:
     return match_outlet(hosts, "host", outlets).select("host", "outlet")
 
 
+def q_topic_history_default(c: Corpus) -> DataFrame:
+    return topic_history(c.hits()).select("month", "articles", "top_label", "month_label")
+
+
+def q_neighbours_top_default(c: Corpus) -> DataFrame:
+    return top_relations(neighbours(c.rel())).select("keyword", "count")
+
+
+def q_sentiment_thresholds_default(c: Corpus) -> DataFrame:
+    return rounded(sentiment_thresholds(neighbours(c.rel())).drop("topic"))
+
+
+def q_absent_topic(c: Corpus) -> DataFrame:
+    """A search for a topic that no article has: no rows, the same columns."""
+    return rounded(relations(topic_hits(c.star, "no such part")).select("keyword", "count", "sentiment"))
+
+
+def q_relation_articles_all(c: Corpus) -> DataFrame:
+    """Every article of every relation, copies included."""
+    return relation_articles(c.hits(), dedup=False).select("keyword", "archive")
+
+
+def q_history_peak_two(c: Corpus) -> DataFrame:
+    return rounded(history_peak(relation_history(c.hits()), ["articles", "mentions"], ["keyword"]).select("keyword", "peak"))
+
+
+def q_relation_exists_trimmed(c: Corpus) -> DataFrame:
+    padded = mentions(c.star).select(F.concat(F.lit("  "), "keyword", F.lit(" ")).alias("keyword")).distinct()
+    return relation_exists(c.rel(), padded).select("keyword", "present")
+
+
+def q_relations_json_roundtrip(c: Corpus) -> DataFrame:
+    """The stored record written as JSON and read back, with all fields of its maps."""
+    path = scratch_path(c.spark, "relations-json")
+    write_relations_json(relations_nested(c.hits()), path)
+    back = read_relations_json(c.spark, path)
+
+    def in_order(m):
+        return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(m))))
+    return rounded(back.select("keyword", "count", "sentiment", in_order("date").alias("months"), in_order("source").alias("sources")))
+
+
+def q_search_detail(c: Corpus) -> DataFrame:
+    """A whole search and the follow-up of one relation."""
+    detail = relation_detail(topic_search(c.star, STAR_TOPIC), "blue ring")
+    articles = detail["articles"].groupBy("keyword").agg(F.countDistinct("archive").alias("articles"))
+    return detail["summary"].join(articles, "keyword").select("keyword", "count", "articles")
+
+
 QUERIES: dict[str, Callable[[Corpus], DataFrame]] = {
     name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)
 }

@@ -6,10 +6,14 @@ computes the report in plain SQL, so it checks the Spark plans end to end.
 
 from __future__ import annotations
 
-from cotopic.functions.labels import MONTH_NAMES
-from cotopic.operators.articles import OUTLETS
 from cotopic.plans.catalogue import HISTORY_MIN_MENTIONS, SEED, SMALL_TOP, STAR_TOPIC, TEXT_TOPIC, TOPIC_LIST
 
+# Fixed values, written out so that a wrong entry in the library shows.
+MONTH_NAMES = ["janeiro", "fevereiro", "março", "abril", "maio", "junho", "julho", "agosto", "setembro", "outubro",
+               "novembro", "dezembro"]
+OUTLETS = ["record", "noticiasaominuto", "lusa", "jornaldenegocios", "tsf", "sicnoticias", "expresso", "publico", "dn",
+           "observador", "sapo", "iol", "rtp", "cnn", "cmjornal", "jn", "nit", "dinheirovivo", "aeiou"]
+
 R = 9  # rounding digits, as in the catalogue
 
 STAR = r"""
@@ -28,7 +32,6 @@ star_a AS (
            || CAST(o.o_orderkey AS VARCHAR) AS archive,
          CAST((o.o_orderkey % 9) - 4 AS DOUBLE) / 4 AS sentiment
   FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey
-  WHERE o.o_orderkey IN (SELECT id FROM star_m)
 )"""
 
 TEXT = r"""
@@ -37,7 +40,7 @@ text_tok AS (
 ),
 text_m AS (
   SELECT doc_id AS id, token AS keyword, CAST(count(*) AS INTEGER) AS n
-  FROM text_tok WHERE length(token) >= 3 GROUP BY doc_id, token
+  FROM text_tok WHERE token <> '' GROUP BY doc_id, token
 ),
 text_a AS (
   SELECT CAST(d.doc_id AS BIGINT) AS id,
@@ -48,7 +51,7 @@ text_a AS (
            || '15000000/' || p.url AS archive,
          CAST(l.quality - l.toxic AS DOUBLE) AS sentiment
   FROM documents d
-  LEFT JOIN pages p ON p.page_id = d.doc_id % 50
+  LEFT JOIN pages p ON p.page_id = d.doc_id % (SELECT count(*) FROM pages)
   LEFT JOIN labels l ON l.doc_id = d.doc_id
 )"""
 
@@ -153,7 +156,12 @@ ORACLE["read_status_partition"] = "WITH " + STAR + "\nSELECT id, timestamp FROM
 
 ORACLE["mentions"] = "WITH " + STAR + "\nSELECT CAST(id AS BIGINT) AS id, keyword, n FROM star_m WHERE n IS NOT NULL"
 
-ORACLE["topic_hits"] = STAR_BASE + "SELECT id, timestamp, source FROM hits"
+ORACLE["topic_hits"] = f"""
+SELECT CAST(o_orderkey AS BIGINT) AS id, CAST(year(o_orderdate) * 100 + month(o_orderdate) AS INTEGER) AS timestamp,
+       c_mktsegment AS source
+FROM orders LEFT JOIN customer ON o_custkey = c_custkey
+WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_name = {q(STAR_TOPIC)}
+                     GROUP BY l_orderkey HAVING sum(l_quantity) > 4)"""
 
 ORACLE["topic_summary"] = STAR_BASE + f"""
 SELECT count(*) AS articles, min(timestamp) AS first_month,
@@ -202,7 +210,7 @@ FROM per p JOIN rel r ON r.keyword = p.keyword"""
 
 ORACLE["relations_nested"] = STAR_BASE + """,
 rm AS (
-  SELECT x.keyword, coalesce(CAST(h.timestamp AS VARCHAR), 'null') AS k, sum(x.n) AS mentions
+  SELECT x.keyword, CAST(h.timestamp AS VARCHAR) AS k, sum(x.n) AS mentions
   FROM hits h JOIN star_m x ON x.id = h.id
   WHERE x.n IS NOT NULL AND x.keyword IN (SELECT keyword FROM rel)
   GROUP BY x.keyword, k
@@ -398,3 +406,45 @@ SELECT host, """ + outlet_case("host") + " AS outlet FROM hosts"
 ORACLE["text_sentiment_quantiles"] = TEXT_BASE + """,
 qa AS (SELECT """ + quantiles("neigh") + """ FROM neigh)
 SELECT """ + ", ".join(f"round(q{p}, {R}) AS q{p}" for p in (10, 30, 70, 90)) + " FROM qa"
+
+
+# --- defaults of the cut-offs, a search without results, and reports over them
+
+ORACLE["topic_history_default"] = STAR_BASE + history("hits", "star_m", STAR_TOPIC) + """
+SELECT month, CAST(articles AS BIGINT) AS articles, top_label, month_label FROM hist"""
+
+ORACLE["neighbours_top_default"] = STAR_BASE + "," + top_n("top", "neigh", 125) + "\nSELECT keyword, count FROM top"
+
+ORACLE["sentiment_thresholds_default"] = ORACLE["sentiment_thresholds"].replace(f"rnk <= {SMALL_TOP}", "rnk <= 125")
+
+ABSENT_BASE = "WITH " + STAR + "," + hits("hits", "star_m", "star_a", "no such part") + "," + rel("rel", "hits", "star_m")
+
+ORACLE["absent_topic"] = ABSENT_BASE + f"\nSELECT keyword, count, round(sentiment, {R}) AS sentiment FROM rel"
+
+ORACLE["relation_articles_all"] = STAR_BASE + """
+SELECT x.keyword, h.archive FROM hits h JOIN star_m x ON x.id = h.id
+WHERE x.n IS NOT NULL AND x.keyword IN (SELECT keyword FROM neigh)"""
+
+ORACLE["history_peak_two"] = ORACLE["relation_history"].replace("SELECT n.keyword, strftime", "SELECT keyword, round(greatest(max(articles), max(mentions))::DOUBLE * 1.1, 9) AS peak FROM (\nSELECT n.keyword, strftime") + ") GROUP BY keyword"
+
+ORACLE["relation_exists_trimmed"] = STAR_BASE + """
+SELECT k.keyword, k.keyword IN (SELECT keyword FROM neigh) AS present
+FROM (SELECT DISTINCT trim(keyword) AS keyword FROM star_m) k"""
+
+ORACLE["relations_json_roundtrip"] = STAR_BASE + f""",
+rm AS (
+  SELECT x.keyword, CAST(h.timestamp AS VARCHAR) AS k, sum(x.n) AS mentions
+  FROM hits h JOIN star_m x ON x.id = h.id
+  WHERE x.keyword IN (SELECT keyword FROM rel) GROUP BY x.keyword, k),
+rs AS (
+  SELECT x.keyword, h.source AS k, count(*) AS articles
+  FROM hits h JOIN star_m x ON x.id = h.id
+  WHERE x.keyword IN (SELECT keyword FROM rel) GROUP BY x.keyword, k),
+jm AS (SELECT keyword, '{{' || string_agg('"' || k || '":' || CAST(mentions AS VARCHAR), ',' ORDER BY k) || '}}' AS months FROM rm GROUP BY keyword),
+js AS (SELECT keyword, '{{' || string_agg('"' || k || '":' || CAST(articles AS VARCHAR), ',' ORDER BY k) || '}}' AS sources FROM rs GROUP BY keyword)
+SELECT r.keyword, r.count, round(r.sentiment, {R}) AS sentiment, jm.months, js.sources
+FROM rel r JOIN jm USING (keyword) JOIN js USING (keyword)"""
+
+ORACLE["search_detail"] = STAR_BASE + """
+SELECT x.keyword, CAST(sum(x.n) AS BIGINT) AS count, CAST(count(DISTINCT h.archive) AS BIGINT) AS articles
+FROM hits h JOIN star_m x ON x.id = h.id WHERE x.keyword = 'blue ring' GROUP BY x.keyword HAVING sum(x.n) >= 5"""

@@ -28,14 +28,14 @@ def topic_search(news: DataFrame, topic, min_mentions: int = MIN_MENTIONS, min_c
     """All reports of a search for ``topic`` (a string, a list, or a ``topic`` table)."""
     spark = news.sparkSession
     hits = materialize(topic_hits(news, topic, min_mentions), scratch_path(spark, "search-hits"))
-    rel = materialize(relations(hits, min_count, extremes=True), scratch_path(spark, "search-relations"))
+    rel = materialize(relations(hits, min_count), scratch_path(spark, "search-relations"))
     return {
         "hits": hits,
         "summary": topic_summary(hits),
         "sources": topic_sources(hits),
         "history": topic_history(hits),
         "relations": rel,
-        "nodes": relation_nodes(rel, n),
+        "nodes": relation_nodes(rel, n, hits=hits),
         "years": relation_years(hits, rel, n, min_count),
         "weights": keyword_weights(rel),
     }

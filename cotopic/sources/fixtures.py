@@ -1,10 +1,9 @@
 """Article corpora derived from the driver tables, so every query reads real tables.
 
-* ``star_news``: one article per order with line items; keywords are part names with
+* ``star_news``: one article per order (one without line items has no keywords); keywords are part names with
   their summed quantities, month and day from the order date, outlet from the customer's
   market segment.
-* ``text_news``: one article per document; keywords are lower-cased letter runs of length
-  >= 3 with their occurrence counts, tone = quality - toxic from ``labels`` (null when
+* ``text_news``: one article per document; keywords are lower-cased letter runs with their occurrence counts, tone = quality - toxic from ``labels`` (null when
   unlabelled), archived URL built from ``pages``.
 """
 
@@ -21,10 +20,8 @@ STAR_CAPTURE_SUFFIX = "000000/https://www."
 STAR_OUTLET_SUFFIX = ".example/story-"
 TEXT_CAPTURE_SUFFIX = "15000000/"
 TOKEN_SPLIT = r"[^\p{L}]+"
-MIN_TOKEN_LENGTH = 3
 TEXT_FIRST_YEAR = 1998
 TEXT_YEARS = 25
-TEXT_PAGES = 50
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,7 +57,7 @@ def star_news(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.date_format("o_orderdate", "yyyyMMdd")
     return _as_news(
         orders.join(customers, F.col("o_custkey") == F.col("c_custkey"), "left")
-        .join(kw, F.col("o_orderkey") == F.col("l_orderkey"))
+        .join(kw, F.col("o_orderkey") == F.col("l_orderkey"), "left")
         .select(
             (F.year("o_orderdate") * 100 + F.month("o_orderdate")).alias("timestamp"),
             F.col("c_mktsegment").alias("source"),
@@ -68,7 +65,7 @@ def star_news(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.lit(STAR_OUTLET_SUFFIX), F.col("o_orderkey").cast("string")).alias("archive"),
             F.col("o_orderkey").alias("id"),
             F.lit(1.0).alias("probability"),
-            F.col("keywords"),
+            F.coalesce("keywords", F.create_map().cast("map<string,int>")).alias("keywords"),
             (((F.col("o_orderkey") % 9) - 4) / 4.0).alias("sentiment"),
         )
     )
@@ -84,13 +81,13 @@ def _let(value, body):
 
 
 def keyword_map(text) -> "F.Column":
-    """Lower-cased letter runs of length >= 3 -> occurrences, computed inside the row.
+    """Lower-cased letter runs -> occurrences, computed inside the row.
 
     A document is one row, so no shuffle is needed: the tokens are sorted, the ends of
     equal-token runs are found in one pass, and run lengths are zipped with the run
     values into the map - O(n log n) per document, JVM-side.
     """
-    toks = F.filter(F.split(F.lower(text), TOKEN_SPLIT), lambda x: F.length(x) >= MIN_TOKEN_LENGTH)
+    toks = F.filter(F.split(F.lower(text), TOKEN_SPLIT), lambda x: x != "")
 
     def runs(s):
         n = F.size(s)
@@ -114,20 +111,20 @@ def text_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_news(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # keywords are computed inside the documents scan stage (no shuffle, no self join)
-    docs = token_counts(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "text",
-                        "doc_id", "source")
+    """Slim document rows meet pages and labels first (ids and short strings); the keyword maps, computed inside the
+    documents scan, are joined to them last and shuffled once, by document."""
+    slim = table(spark, sf_dir, "documents").select("doc_id", "source")
+    maps = token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "doc_id")
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("l_doc_id"), "quality", "toxic")
-    # page_id = doc_id % 50 can only meet pages 0..49: the filter bounds that side.
-    pages = (table(spark, sf_dir, "pages").select("page_id", "url")
-             .where(F.col("page_id").between(0, TEXT_PAGES - 1)))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    n_pages = max(1, pages.count())  # from the file footers: a document's page is its id modulo the pages there are
     ts = (F.lit(TEXT_FIRST_YEAR) + F.col("doc_id") % TEXT_YEARS) * 100 + 1 + F.col("doc_id") % 12
+    met = (slim.withColumn("timestamp", ts.cast("int"))
+           .withColumn("page_key", F.col("doc_id") % n_pages)
+           .join(pages, F.col("page_key") == F.col("page_id"), "left")
+           .join(labels, F.col("doc_id") == F.col("l_doc_id"), "left"))
     return _as_news(
-        docs.withColumn("timestamp", ts.cast("int"))
-        .withColumn("page_key", F.col("doc_id") % TEXT_PAGES)
-        .join(pages, F.col("page_key") == F.col("page_id"), "left")
-        .join(labels, F.col("doc_id") == F.col("l_doc_id"), "left")
-        .select(
+        met.join(maps, "doc_id").select(
             "timestamp", "source",
             F.concat(F.lit(ARCHIVE_PREFIX), F.col("timestamp").cast("string"), F.lit(TEXT_CAPTURE_SUFFIX),
                      F.col("url")).alias("archive"),

@@ -53,6 +53,8 @@ NESTED = T.StructType([
     T.StructField("sentiment", T.DoubleType()),
     T.StructField("date", T.MapType(T.StringType(), T.LongType())),
     T.StructField("source", T.MapType(T.StringType(), T.LongType())),
+    T.StructField("date_unknown", T.LongType()),
+    T.StructField("source_unknown", T.LongType()),
 ])
 
 

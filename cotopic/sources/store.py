@@ -2,7 +2,7 @@
 
 Layout below ``root``::
 
-    data/fp=<fingerprint>/key_prefix=<2 hex>/part-*.parquet   relation rows + topic_key + batch
+    data/fp=<fingerprint>/batch=<id>/key_prefix=<2 hex>/part-*.parquet   relation rows + topic_key
     index/fp=<fingerprint>/part-*.parquet                     topic, topic_key, batch, relations
 
 * ``fp`` hashes the corpus content and the two cut-offs, so a changed corpus or changed
@@ -14,7 +14,8 @@ Layout below ``root``::
   by one hot topic across several writers.
 * Data of a batch becomes visible only once its index rows are written (a second job
   after the data job commits). A failed or repeated batch leaves unindexed data behind
-  that readers ignore, so retries after lost executors never duplicate rows.
+  that readers ignore; of several committed batches of a topic - a retry after the commit, two callers at
+  once - readers take the one of smallest id.
 """
 
 from __future__ import annotations
@@ -53,12 +54,13 @@ def corpus_fingerprint(news: DataFrame, min_mentions: int = MIN_MENTIONS, min_co
     return hashlib.sha256(raw.encode()).hexdigest()[:16]
 
 
-def plan_fingerprint(news: DataFrame, min_mentions: int = MIN_MENTIONS, min_count: int = MIN_COUNT) -> str:
-    """Metadata-only fingerprint (no scan): the sorted input files and the semantic hash of
-    the plan that derives the corpus, plus the cut-offs. Rewritten or appended data files
-    get new names, so they change it; an in-place edit keeping file names does not."""
-    raw = json.dumps([sorted(news.inputFiles()), news.semanticHash(), min_mentions, min_count])
-    return hashlib.sha256(raw.encode()).hexdigest()[:16]
+def files_fingerprint(news: DataFrame, min_mentions: int = MIN_MENTIONS, min_count: int = MIN_COUNT, version: str = "") -> str:
+    """Fingerprint of the files that ``news`` reads (a scan, filters and projections allowed), a caller's ``version`` of how they
+    are read, and the cut-offs; equal in every session. No column is read: path, size and modification time are
+    hashed and summed by Spark, so the driver holds no list of files."""
+    m = news.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    r = m.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*m.columns).cast("decimal(38,0)")).alias("h")).first()
+    return hashlib.sha256(json.dumps([str(r["n"]), str(r["h"]), version, min_mentions, min_count]).encode()).hexdigest()[:16]
 
 
 class RelationStore:
@@ -93,7 +95,7 @@ class RelationStore:
                 [], "topic string, keyword string, count long, sentiment double, articles long, "
                     "first_archive string, last_archive string")
         data = self.spark.read.parquet(self.data_path).where(F.col("fp") == fp)
-        idx = self.index(fp).select("topic", "batch")
+        idx = self.index(fp).groupBy("topic").agg(F.min("batch").alias("batch"))  # one committed batch a topic
         if isinstance(topics, DataFrame):
             idx = idx.join(topics.select("topic").distinct(), "topic", "left_semi")
         elif topics is not None:
@@ -119,7 +121,7 @@ class RelationStore:
             .withColumn("fp", F.lit(fp))
             .hint("rebalance", "key_prefix")  # AQE merges small and splits skewed prefixes
             .sortWithinPartitions("key_prefix", "topic_key", "keyword")
-            .write.mode("append").partitionBy("fp", "key_prefix").parquet(self.data_path))
+            .write.mode("append").partitionBy("fp", "batch", "key_prefix").parquet(self.data_path))
         # index counts come from the rows just written, not from a second computation
         counts = (self.spark.read.parquet(self.data_path)
                   .where((F.col("fp") == fp) & (F.col("batch") == batch))
@@ -128,29 +130,28 @@ class RelationStore:
             .join(counts, "topic", "left")
             .select("topic", topic_key("topic").alias("topic_key"), F.lit(batch).alias("batch"),
                     F.coalesce("relations", F.lit(0)).cast("long").alias("relations"), F.lit(fp).alias("fp"))
-            .coalesce(1)
             .write.mode("append").partitionBy("fp").parquet(self.index_path))
         return batch
 
-    def get_or_compute(self, news: DataFrame, topics: Iterable[str] | DataFrame | None = None,
+    def get_or_compute(self, news: DataFrame, topics: Iterable[str] | DataFrame,
                        min_mentions: int = MIN_MENTIONS, min_count: int = MIN_COUNT,
                        fingerprint: str = "content") -> DataFrame:
-        """Relation sets of ``topics`` (all topics with hits when None), computing only the
+        """Relation sets of ``topics`` (a list, or a table with a ``topic`` column), computing only the
         topics not yet stored for this corpus and these cut-offs.
 
-        ``fingerprint``: ``"content"`` hashes every row (exact, one scan); ``"plan"`` uses
-        file names and plan only (no scan, for serving lookups on large corpora); any other
-        string is taken as the fingerprint itself (e.g. a table version).
+        ``fingerprint``: ``"content"`` hashes every row (exact, one scan of the corpus per call); ``"files"`` hashes the
+        input files' metadata (reads no row; ``news`` must be a file scan); any other string is taken as the version
+        itself (e.g. of a table). With the latter two a stored topic is served without reading the corpus.
         """
         if fingerprint == "content":
             fp = corpus_fingerprint(news, min_mentions, min_count)
-        elif fingerprint == "plan":
-            fp = plan_fingerprint(news, min_mentions, min_count)
+        elif fingerprint == "files":
+            fp = files_fingerprint(news, min_mentions, min_count)
         else:
             fp = hashlib.sha256(f"{fingerprint}|{min_mentions}|{min_count}".encode()).hexdigest()[:16]
-        if topics is None:
-            wanted = (topic_hits(news, None, min_mentions).select("topic").distinct())
-        elif isinstance(topics, DataFrame):
+        if isinstance(topics, str):
+            topics = [topics]
+        if isinstance(topics, DataFrame):
             wanted = topics.select("topic").distinct()
         else:
             wanted = self.spark.createDataFrame([(t,) for t in sorted(set(topics))], "topic string")
@@ -158,6 +159,8 @@ class RelationStore:
         # the batch's topic set is written once, so the jobs below agree on it
         todo = materialize(missing, scratch_path(self.spark, "store-todo"))
         if not todo.isEmpty():
-            rel = relations(topic_hits(news, todo, min_mentions), min_count, extremes=True)
+            # a caller's list stays a list of literals: one narrow pass over the maps
+            asked = todo if isinstance(topics, DataFrame) else [r["topic"] for r in todo.collect()]
+            rel = relations(topic_hits(news, asked, min_mentions), min_count, extremes=True)
             self.write(rel, todo, fp)
-        return self.read(fp, None if topics is None else topics)
+        return self.read(fp, topics)

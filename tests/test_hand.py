@@ -167,7 +167,7 @@ def test_random_recommend_is_a_sample_without_replacement(rel):
 def test_nested_record(hits):
     n = {r.keyword: r for r in relations_nested(hits).collect()}
     assert dict(n["b"].date) == {"201501": 1, "201504": 4}
-    assert dict(n["c"].source) == {"beta": 1, "null": 1}
+    assert dict(n["c"].source) == {"beta": 1} and n["c"].source_unknown == 1
     j = relations_nested(hits).where("keyword = 'q'").select(F.to_json("date")).first()[0]
     assert j == '{"201501":11,"201503":9,"201504":10}'
 
@@ -267,12 +267,29 @@ def test_approximate_quantiles_stay_within_the_tone_range(rel):
     assert relation_nodes(rel, approx=True).count() == 3
 
 
-def test_outlet_table_is_broadcast_only_after_its_size_is_checked(spark):
-    import pytest as _pytest
-
+def test_outlet_table_of_any_size(spark):
     from cotopic.operators import match_outlet
-    hosts = spark.createDataFrame([("expresso.pt",)], "host string")
-    table = spark.createDataFrame([(i, f"t{i}") for i in range(5)], "position int, token string")
-    with _pytest.raises(ValueError):
-        match_outlet(hosts, "host", table, max_outlets=3)
-    assert match_outlet(hosts, "host", table).first().outlet == "404"
+    hosts = spark.createDataFrame([("expresso.pt",), ("none.example",), (None,)], "host string")
+    rows = [(i, f"t{i}") for i in range(20_000)] + [(-1, "sso.p"), (7, "xpress")]
+    table = spark.createDataFrame(rows, "position int, token string")
+    got = {r.host: r.outlet for r in match_outlet(hosts, "host", table).collect()}
+    assert got == {"expresso.pt": "sso.p", "none.example": "404", None: "404"}
+
+
+def test_a_given_relation_set_decides(spark, hand):
+    from cotopic.operators import relation_nodes, relation_sources, relation_years, relations, topic_hits
+    hits = topic_hits(hand, "q")
+    rel = relations(hits, min_count=1)
+    names = {r.keyword for r in rel.collect()}
+    assert {"b", "d"} <= names
+    assert {r.keyword for r in relation_sources(hits, rel).collect()} == names
+    assert {r.keyword for r in relation_years(hits, rel).collect()} == names - {"q"}
+    assert {r.keyword for r in relation_nodes(rel, hits=hits).collect()} == names - {"q"}
+
+
+def test_months_that_are_none(spark):
+    from cotopic.functions.labels import month_start, yyyymm_label
+    df = spark.createDataFrame([(202001,), (20200115,), (202000,), (202013,), (2020,), (None,)], "t int")
+    got = [(r.m and str(r.m), r.l) for r in df.select(month_start("t").alias("m"), yyyymm_label("t").alias("l")).collect()]
+    assert got[0] == ("2020-01-01", "janeiro de 2020")
+    assert [m for m, _ in got[1:]] == [None] * 5 and got[2][1] is None and got[3][1] is None

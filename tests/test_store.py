@@ -11,12 +11,25 @@ def rows(df):
     return sorted((r.topic, r.keyword, r["count"]) for r in df.select("topic", "keyword", "count").collect())
 
 
-def test_round_trip_all_topics(spark, hand):
+def every_topic(hand):
+    return hand.select(F.explode(F.map_keys("keywords")).alias("topic")).distinct()
+
+
+def test_round_trip_topic_table(spark, hand):
     store = RelationStore(spark, scratch_path(spark, "store"))
-    got = store.get_or_compute(hand, None)
+    got = store.get_or_compute(hand, every_topic(hand))
     assert rows(got) == rows(relations(topic_hits(hand, None)))
 
 
+def test_a_batch_written_twice_reads_once(spark, hand):
+    store = RelationStore(spark, scratch_path(spark, "store"))
+    rel = relations(topic_hits(hand, "q"), extremes=True)
+    todo = spark.createDataFrame([("q",)], "topic string")
+    store.write(rel, todo, "f")
+    store.write(rel, todo, "f")
+    assert rows(store.read("f", ["q"])) == rows(rel)
+
+
 def test_only_missing_topics_are_computed(spark, hand):
     store = RelationStore(spark, scratch_path(spark, "store"))
     store.get_or_compute(hand, ["q"])
@@ -46,27 +59,28 @@ def test_unindexed_batches_are_invisible(spark, hand):
     rel = relations(topic_hits(hand, "q"), extremes=True)
     rel.withColumn("topic_key", F.lit("x")).withColumn("key_prefix", F.lit("xx")) \
        .withColumn("batch", F.lit("crashed")).withColumn("fp", F.lit(fp)) \
-       .write.partitionBy("fp", "key_prefix").parquet(store.data_path)  # data without index rows
+       .write.partitionBy("fp", "batch", "key_prefix").parquet(store.data_path)  # data without index rows
     assert store.read(fp).count() == 0
 
 
-def test_plan_fingerprint_needs_no_scan_and_tracks_files(spark, hand):
+def test_files_fingerprint_reads_no_row_and_tracks_files(spark, hand):
     from cotopic.sources.news import materialize
-    from cotopic.sources.store import plan_fingerprint
+    from cotopic.sources.store import files_fingerprint
     path = scratch_path(spark, "fp-a")
     a = materialize(hand, path)
     b = materialize(hand, scratch_path(spark, "fp-b"))
-    assert plan_fingerprint(a) == plan_fingerprint(spark.read.parquet(path))  # same files, same plan
-    assert plan_fingerprint(a) != plan_fingerprint(b)  # other files
+    assert files_fingerprint(a) == files_fingerprint(spark.read.parquet(path))
+    assert files_fingerprint(a) != files_fingerprint(b)
+    assert files_fingerprint(a) != files_fingerprint(a, version="2")
     store = RelationStore(spark, scratch_path(spark, "store"))
-    got = store.get_or_compute(a, ["q"], fingerprint="plan")
+    got = store.get_or_compute(a, ["q"], fingerprint="files")
     assert rows(got) == rows(relations(topic_hits(hand, "q")))
     assert rows(store.get_or_compute(a, ["q"], fingerprint="v1")) == rows(got)
 
 
 def test_listed_topics_are_read_with_partition_pruning(spark, hand):
     store = RelationStore(spark, scratch_path(spark, "store"))
-    store.get_or_compute(hand, None)
+    store.get_or_compute(hand, every_topic(hand))
     fp = corpus_fingerprint(hand)
     df = store.read(fp, ["q"])
     plan = df._jdf.queryExecution().executedPlan().toString()
