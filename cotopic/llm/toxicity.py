@@ -13,8 +13,8 @@ sentences that scores highest, clean ones by theirs (multiple-instance training,
 
 Scoring: the decision ``sum_m a_m K(z_m, x)`` is linear in the weights of ``x``'s sequences, so it is kept as one
 table over (hashed) sequences - the same number, without a pass per landmark - and a text is scored by one sweep
-over its characters, all sentences, in a scan without a shuffle. A document's score is the calibrated
-decision of its highest window. Learning reads a bounded sample of labelled rows.
+over its characters, all sentences, in a scan without a shuffle. A document's score is the
+calibrated decision of its highest window, seen against its other windows and its length. Learning reads a bounded sample of labelled rows.
 """
 
 import functools
@@ -155,16 +155,25 @@ def train_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 1.
     return w
 
 
+def evidence(texts: list[str], weights: np.ndarray) -> np.ndarray:
+    """What a text is judged by: its highest window's decision, the mean and spread of all its windows' decisions - what is
+    high in one language is common in another - and the logarithm of its length, by which a highest value grows."""
+    kind, start = coded(texts)
+    score = window_scores(kind, weights)
+    size = np.diff(np.append(start, len(score)))
+    mean = np.add.reduceat(score, start) / size
+    spread = np.sqrt(np.maximum(np.add.reduceat(score * score, start) / size - mean ** 2, 0))
+    return np.column_stack((np.maximum.reduceat(score, start), mean, spread, np.log(size)))
+
+
 class Toxicity:
-    """Weights over sequences, and the calibration of a document's highest window."""
+    """Weights over sequences, and the calibration of a document's evidence."""
 
-    def __init__(self, weights: np.ndarray, scale: float, shift: float):
+    def __init__(self, weights: np.ndarray, scale: np.ndarray, shift: float):
         self.weights, self.scale, self.shift = weights.astype(np.float32), scale, shift
 
     def score(self, texts: list[str]) -> np.ndarray:
-        kind, start = coded(texts)
-        best = np.maximum.reduceat(window_scores(kind, self.weights), start)
-        return 1 / (1 + np.exp(-np.clip(self.scale * best + self.shift, -40, 40)))
+        return 1 / (1 + np.exp(-np.clip(evidence(texts, self.weights) @ self.scale + self.shift, -40, 40)))
 
 
 def gapped(windows: np.ndarray) -> np.ndarray:
@@ -185,26 +194,26 @@ def words_of(text: str) -> set[str]:
     return set("".join(c if c.isalpha() else " " for c in text.lower()).split())
 
 
-def calibrate(score: np.ndarray, y: np.ndarray, steps: int = 50):
-    """Slope and shift of a logistic curve through the labels (both classes counting equally)."""
-    x = np.column_stack((score, np.ones(len(score))))
-    w = np.zeros(2)
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum())) * len(y)
+def calibrate(x: np.ndarray, y: np.ndarray, steps: int = 50):
+    """Slopes and shift of a logistic curve through the labels of the sample."""
+    mean, sd = x.mean(axis=0), x.std(axis=0) + 1e-9
+    x = np.column_stack(((x - mean) / sd, np.ones(len(x))))
+    w = np.zeros(x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        grad = x.T @ (weight * (p - (y > 0))) + 1e-3 * w
-        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
+        grad = x.T @ (p - (y > 0)) + 1e-2 * w
+        hess = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(w))
         step = np.linalg.solve(hess, grad)
         w -= np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-9:
             break
-    return float(w[0]), float(w[1])
+    return w[:-1] / sd, float(w[-1] - (w[:-1] * mean / sd).sum())
 
 
 def fit(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS, rounds: int = ROUNDS) -> Toxicity:
     """Learn from texts of both labels. Without either label nothing can be told: every score is the base rate's."""
     if not toxic or not clean:
-        return Toxicity(np.zeros(SLOTS), 0.0, 40.0 if toxic else -40.0)
+        return Toxicity(np.zeros(SLOTS), np.zeros(4), 40.0 if toxic else -40.0)
     in_toxic = Counter(w for t in toxic for w in words_of(t) if 3 <= len(w) <= 2 * WINDOW)
     in_clean = Counter(w for t in clean for w in words_of(t))
     n1, n0 = len(toxic), len(clean)
@@ -246,8 +255,8 @@ def fit(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS, rounds:
         if key in shown:
             break
         shown.add(key)
-    best = np.concatenate((highest_blocks(toxic, weights)[0], highest_blocks(clean, weights)[0]))
-    scale, shift = calibrate(best, np.concatenate((np.ones(n1), -np.ones(n0))))
+    seen = np.concatenate([evidence(t, weights) for _, t in text_blocks(toxic + clean, toxic + clean, 1 << 20)])
+    scale, shift = calibrate(seen, np.concatenate((np.ones(n1), -np.ones(n0))))
     return Toxicity(weights, scale, shift)
 
 
