@@ -234,16 +234,15 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, max_bytes: int = MAX_BY
     want = kept.groupBy("doc_id", F.shiftrightunsigned("place", 49).alias("tag")).agg(
         F.collect_list(F.struct("place", "g", "c")).alias("want"))
     d, w = docs.alias("d"), want.hint("merge").alias("w")  # the lists grow with the corpus: one plan at every size
-    contexts = (d.join(w, F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.tag") == F.col("w.tag")))
-                .select("d.doc_id", "text", "want").mapInArrow(_cut_contexts(window), _CONTEXT))
+    # written at every size, so that the steps after it are the same whether an anchor is large or none
+    contexts = written(d.join(w, F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.tag") == F.col("w.tag")))
+                       .select("d.doc_id", "text", "want").mapInArrow(_cut_contexts(window), _CONTEXT), "suffix-contexts")
     span = F.shiftright("place", 9).bitwiseAND(F.lit(511).cast("long")) + window + 1
     for width in (*BINS, None):
         groups = kept.groupBy("g").agg(F.sum(span).alias("bytes"), F.count(F.lit(1)).alias("n")).where("n > 1")
         big = groups.where(F.col("bytes") > max_bytes).select("g")
         total = int(groups.where(F.col("bytes") <= max_bytes).agg(F.sum("bytes")).first()[0] or 0)
         deal_again = width is not None and not big.isEmpty()
-        if deal_again:
-            contexts = written(contexts, f"suffix-contexts-{width}")
         few = contexts.join(big, "g", "left_anti") if deal_again else contexts
         n = max(1, -(-total // bucket_bytes))
         found.append(few.withColumn("bucket", F.pmod(F.xxhash64("g"), F.lit(n)))
