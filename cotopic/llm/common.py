@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from cotopic.session import scratch_path
 
-BLOCK_BYTES = 4 << 20  # texts handled together inside a task: about this many characters
+BLOCK_BYTES = 1 << 20  # texts handled together inside a task: about this many characters
+BLOCK_ROWS = 256  # rows of a batch turned into Python values at once
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,8 +59,9 @@ def per_block(fn: Callable, schema, *key: str, text: str = "text"):
 
     def run(batches):
         for batch in batches:
-            keys = list(zip(*[batch.column(k).to_pylist() for k in key]))
-            for ids, texts in text_blocks(keys, batch.column(text).to_pylist()):
-                out = fn(ids, texts)
-                yield pa.RecordBatch.from_pydict(out, schema=schema)
+            for a in range(0, batch.num_rows, BLOCK_ROWS):
+                rows = batch.slice(a, BLOCK_ROWS)
+                keys = list(zip(*[rows.column(k).to_pylist() for k in key]))
+                for ids, texts in text_blocks(keys, rows.column(text).to_pylist()):
+                    yield pa.RecordBatch.from_pydict(fn(ids, texts), schema=schema)
     return run

@@ -26,7 +26,7 @@ CAPACITY = 1024
 END_ID = 2
 OPEN_BINS = 1024
 PACKER_PIECES = 250_000
-REMEMBERED = 400_000  # words whose ids a task keeps
+REMEMBERED = 150_000  # words whose ids a task keeps
 # Fixed value: how byte-level vocabularies of this kind cut a text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 

@@ -26,7 +26,7 @@ from cotopic.llm.common import per_block, table
 
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
-REMEMBERED = 300_000  # pre-tokens whose count a task keeps
+REMEMBERED = 150_000  # pre-tokens whose count a task keeps
 
 # The byte alphabet of byte-level vocabularies - printable bytes stand for themselves, the others for 256, 257, ...
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
