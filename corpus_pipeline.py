@@ -30,10 +30,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies: that of the smallest id."""
+    """One document of each class of near copies: that of the smallest id; of a class without ids, its documents without one."""
     classes = simhash.near_duplicates(docs.select("doc_id", "text")).select(F.col("doc_id").alias("_id"), "component_id")
-    stay = classes.where(F.col("_id") == F.col("component_id")).select("_id").distinct()
-    return docs.join(stay.hint("merge"), F.col("doc_id") == F.col("_id")).select(*COLUMNS)
+    stay = classes.where(F.col("_id").eqNullSafe(F.col("component_id"))).select("_id").distinct()
+    return docs.join(stay.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id"))).select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,6 +49,31 @@ def text_blocks(ids: list, texts: list, limit: int = BLOCK_BYTES) -> Iterator[tu
         yield ids[a:], [x or "" for x in texts[a:]]
 
 
+def give_back() -> None:
+    """Hand freed memory of this Python worker back to the system: Spark keeps idle workers for later stages."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
+
+
+def giving_back(run: Callable) -> Callable:
+    """The iterator function ``run``; when a task's rows end, or it is stopped, the worker gives memory back."""
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+    return whole
+
+
 def per_block(fn: Callable, schema, *key: str, text: str = "text"):
     """A ``mapInArrow`` function from ``fn(ids, texts) -> dict of columns``.
 
@@ -64,4 +89,4 @@ def per_block(fn: Callable, schema, *key: str, text: str = "text"):
                 keys = list(zip(*[rows.column(k).to_pylist() for k in key]))
                 for ids, texts in text_blocks(keys, rows.column(text).to_pylist()):
                     yield pa.RecordBatch.from_pydict(fn(ids, texts), schema=schema)
-    return run
+    return giving_back(run)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cotopic.llm.common import crc32_mod, per_block, table, text_blocks
+from cotopic.llm.common import crc32_mod, give_back, per_block, table, text_blocks
 
 BUCKETS = 1 << 17
 SAMPLE_PER_LANG = 2000  # labelled rows a language is learned from, at most
@@ -208,6 +208,7 @@ def identify(docs: DataFrame, model: Mixture | None, text_col: str = "text", pen
                     out.append((model.langs[lang[i]], float(min(1.0, share[i])),
                                 [{"lang": model.langs[j], "share": float(pi[i, j])} for j in order]))
             yield pd.DataFrame(out, columns=["lang_pred", "score", "languages"])
+        give_back()
 
     guess = F.pandas_udf(guess, kind)
     return docs.withColumn("_g", guess(F.col(text_col))).select(*[F.col(f"`{c}`") for c in docs.columns], "_g.*")

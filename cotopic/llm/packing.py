@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cotopic.llm.common import per_block, table
+from cotopic.llm.common import giving_back, per_block, table
 
 VOCABULARY = "byte_bpe_50k.json"
 CAPACITY = 1024
@@ -124,7 +124,7 @@ def pieces(docs: DataFrame, path: str | None, capacity: int, end_id: int) -> Dat
         yield from per_block(block, _PIECES, "doc_id", "row")(batches)
 
     slim = docs.select("doc_id", F.xxhash64("text").alias("row"), "text")
-    return slim.mapInArrow(run, "row long, doc_id long, piece int, start long, length long, ids_crc32 long")
+    return slim.mapInArrow(giving_back(run), "row long, doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 class OpenBins:
@@ -190,7 +190,7 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
     found = pieces(slim, path, capacity, end_id)
     order = F.xxhash64("doc_id", "row", "piece")
     dealt = found.repartition(packers, order).sortWithinPartitions(order, "doc_id", "row", "piece")
-    return dealt.mapInArrow(_packer(capacity, open_bins), "doc_id long, piece int, start long, length long, ids_crc32 long, "
+    return dealt.mapInArrow(giving_back(_packer(capacity, open_bins)), "doc_id long, piece int, start long, length long, ids_crc32 long, "
                                                           "sequence_id long, offset long")
 
 

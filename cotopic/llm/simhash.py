@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cotopic.llm.common import per_block, table, written
+from cotopic.llm.common import giving_back, per_block, table, written
 
 SHINGLE_WORDS = 3
 MAX_BITS = 3
@@ -195,7 +195,7 @@ def _match_sorted(max_bits: int, max_group: int):
 
 def _match(rows: DataFrame, max_bits: int, max_group: int, name: str) -> DataFrame:
     out = (rows.repartition("key").sortWithinPartitions("key", "fp")
-               .mapInArrow(_match_sorted(max_bits, max_group), "a long, b long, big boolean"))
+               .mapInArrow(giving_back(_match_sorted(max_bits, max_group)), "a long, b long, big boolean"))
     return written(out, name)
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cotopic.llm.common import per_block, table
+from cotopic.llm.common import giving_back, per_block, table
 
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
@@ -197,7 +197,7 @@ def token_counts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
         yield from per_block(block, schema, "id")(batches)
 
     slim = docs.select(F.col(id_col).cast(kind).alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = slim.mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long")
+    out = slim.mapInArrow(giving_back(run), f"id {kind}, n_bytes long, n_tokens long")
     return out.select(F.col("id").cast(docs.schema[id_col].dataType).alias("doc_id"), "n_bytes", "n_tokens")
 
 
