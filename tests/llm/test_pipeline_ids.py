@@ -1,0 +1,14 @@
+"""The pipeline's near-copy stage on rows without an id."""
+
+import corpus_pipeline
+
+LONG = " ".join(f"word{i}" for i in range(60))
+OTHER = " ".join(f"term{i}" for i in range(60))
+
+
+def test_near_copies_keeps_rows_without_id(spark):
+    rows = [(1, LONG), (2, LONG), (None, OTHER)]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.near_copies(spark, docs, "")
+    assert {(r.doc_id, r.text) for r in out.collect()} == {(1, LONG), (None, OTHER)}
