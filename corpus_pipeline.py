@@ -30,10 +30,12 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies: that of the smallest id; of a class without ids, its documents without one."""
-    classes = simhash.near_duplicates(docs.select("doc_id", "text")).select(F.col("doc_id").alias("_id"), "component_id")
-    stay = classes.where(F.col("_id").eqNullSafe(F.col("component_id"))).select("_id").distinct()
-    return docs.join(stay.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id"))).select(*COLUMNS)
+    """One document of each class of near copies: that of the smallest id, ids before none; of texts that share that id, or have
+    none, the one of least hash. Rows equal in id and text are one document and stay together."""
+    classes = simhash.near_duplicates(docs.select("doc_id", "text")).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stay = classes.groupBy("root", F.col("doc_id").alias("_id")).agg(F.min("row").alias("_row")).select("_id", "_row")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (simhash.text_hash(F.col("text")) == F.col("_row"))
+    return docs.join(stay.hint("merge"), same).select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

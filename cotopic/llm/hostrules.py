@@ -114,9 +114,10 @@ def apply_host_rules(docs: DataFrame, host_col: str = "source", text_col: str =
     kept; an empty table gives no rows. Columns of ``docs`` with the new names are replaced.
     """
     docs = written(measured(docs.drop("host_rate", "kept"), text_col).drop(text_col), "host-measures")
-    hosts = host_rates(docs, host_col, max_rate).select(F.col("host").alias("_host"), F.col("rate").alias("host_rate"), "rejected")
+    hosts = host_rates(docs, host_col, max_rate).select(F.col("host").alias("_host"), F.col("rate").alias("host_rate"),
+                                                    F.col("rejected").alias("_rejected"))
     out = docs.join(hosts, F.col(f"`{host_col}`").eqNullSafe(F.col("_host")), "left")
-    return out.withColumn("kept", ~F.col("base_failed") & ~F.col("rejected")).drop("_host", "rejected")
+    return out.withColumn("kept", ~F.col("base_failed") & ~F.col("_rejected")).drop("_host", "_rejected")
 
 
 def op4_host_rules(spark, sf_dir) -> DataFrame:

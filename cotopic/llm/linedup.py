@@ -103,6 +103,14 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = B
     cuts = [None, *[int(c) for c in cuts], None]
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     runs = Runs(spark, buckets, fanout)
+    try:
+        return written(_lost(keys, cuts, runs), "line-lost")
+    finally:
+        runs.drop()
+
+
+def _lost(keys: DataFrame, cuts: list, runs: Runs) -> DataFrame:
+    """``row, h1, h2`` from batches of ``keys`` between the borders; ``runs`` grow by each."""
     lost = []
     for lo, hi in zip(cuts, cuts[1:]):
         batch = keys
@@ -130,8 +138,6 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = B
     out = lost[0]
     for x in lost[1:]:
         out = out.unionByName(x)
-    out = written(out, "line-lost")
-    runs.drop()
     return out
 
 

@@ -62,19 +62,25 @@ def fingerprint(data: bytes, shingle_words: int = SHINGLE_WORDS, seed: int = SEE
     return int.from_bytes(np.packbits(set_in * 2 > n).tobytes(), "big")
 
 
+def text_hash(text):
+    """What tells the texts of one id apart; null has one, too."""
+    return F.xxhash64(text)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  shingle_words: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
-    """``doc_id, fp`` (long, the unsigned fingerprint's bits). Null text counts as no words."""
+    """``doc_id, row, fp`` (longs: the text's hash, the unsigned fingerprint's bits). Null text counts as no words."""
     kind = docs.schema[id_col].dataType
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("fp", pa.int64())])
 
-    def block(ids, texts):
+    def block(keys, texts):
         fps = np.array([fingerprint(t.encode(), shingle_words, seed) for t in texts], np.uint64)
-        return {"doc_id": [i for i, in ids], "fp": fps.view(np.int64)}
+        return {"doc_id": [i for i, _ in keys], "row": [r for _, r in keys], "fp": fps.view(np.int64)}
 
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = slim.mapInArrow(per_block(block, schema, "doc_id"), "doc_id long, fp long")
-    return out.select(F.col("doc_id").cast(kind).alias("doc_id"), "fp")
+    text = F.col(text_col).cast("string")
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(text).alias("row"), text.alias("text"))
+    out = slim.mapInArrow(per_block(block, schema, "doc_id", "row"), "doc_id long, row long, fp long")
+    return out.select(F.col("doc_id").cast(kind).alias("doc_id"), "row", "fp")
 
 
 def _field(base, low: int, bits: int):
@@ -275,9 +281,10 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS,
                     max_bits: int = MAX_BITS, seed: int = SEED, max_group: int = MAX_GROUP) -> DataFrame:
-    """``doc_id, fp, component_id`` for every row of ``docs``, extra columns ignored.
+    """``doc_id, row, fp, root, component_id`` for every row of ``docs``, extra columns ignored.
 
-    ``component_id`` is the smallest id reachable over links, the document's own included. Null
+    ``component_id`` is the smallest id reachable over links, the document's own included; ``root`` is the smallest fingerprint
+    there, ``row`` the text's hash. Null
     and empty texts have fingerprint zero and are linked like others; repeated ids keep their rows;
     a null id keeps its row and never names a component that has another id; an empty table gives no rows.
     """
@@ -288,8 +295,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rooted = (distinct.join(comp, F.col("fp") == F.col("node"), "left")
               .select("fp", "least", F.coalesce("root", "fp").alias("root")))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = rooted.join(least, "root").select("fp", "root", "component_id")
+    return fps.join(named, "fp").select("doc_id", "row", "fp", "root", "component_id")
 
 
 def hex16(fp) -> "F.Column":

@@ -158,6 +158,8 @@ def test_host_rules(spark):
     assert 0.2 < got[1001].host_rate < 1 and got[1].host_rate > 0.95  # one document shrinks towards the corpus
     assert got[1].n_repeat_words == got[1].n_words == 120 and got[2000].n_repeat_words == 0
     assert apply_host_rules(df.limit(0)).count() == 0
+    more = apply_host_rules(df.selectExpr("*", "'x' AS rejected", "2 AS host_rate", "3 AS host", "4 AS documents", "5 AS n_words"))
+    assert {(r.doc_id, r.kept, r.rejected) for r in more.collect()} == {(i, r.kept, "x") for i, r in got.items()}
 
 
 def test_search(spark):
