@@ -24,6 +24,7 @@ from cotopic.functions import outlet_host, topic_key
 from cotopic.session import scratch_path
 from cotopic.sources.fixtures import star_news, table, text_news
 from cotopic.plans.report import relation_detail, topic_search
+from cotopic.sources.layout import read_hits, write_search_layout
 from cotopic.sources.news import read_news, read_relations_json, write_news, write_relations_json
 from cotopic.sources.store import RelationStore
 
@@ -89,6 +90,12 @@ def q_topic_hits(c: Corpus) -> DataFrame:
     return c.hits().select("id", "timestamp", "source")
 
 
+def q_topic_hits_layout(c: Corpus) -> DataFrame:
+    path = scratch_path(c.spark, "search-layout")
+    write_search_layout(c.star, path)
+    return read_hits(c.spark, path, STAR_TOPIC).select("id", "timestamp", "source")
+
+
 def q_topic_summary(c: Corpus) -> DataFrame:
     return topic_summary(c.hits()).select("articles", "first_month", "first_label")
 

@@ -163,6 +163,8 @@ FROM orders LEFT JOIN customer ON o_custkey = c_custkey
 WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_name = {q(STAR_TOPIC)}
                      GROUP BY l_orderkey HAVING sum(l_quantity) > 4)"""
 
+ORACLE["topic_hits_layout"] = ORACLE["topic_hits"]
+
 ORACLE["topic_summary"] = STAR_BASE + f"""
 SELECT count(*) AS articles, min(timestamp) AS first_month,
        {NAMES}[min(timestamp) % 100] || ' de ' || CAST(min(timestamp) // 100 AS VARCHAR) AS first_label

@@ -4,6 +4,7 @@ import os
 
 from cotopic.operators import corpus_summary, relations, topic_hits
 from cotopic.session import scratch_path
+from cotopic.sources.layout import read_hits, write_search_layout
 from cotopic.sources.news import materialize, read_news, write_news
 
 
@@ -34,3 +35,16 @@ def test_parquet_corpus_round_trip(spark, hand):
     materialize(hand, path)
     news = read_news(spark, path, fmt="parquet", status=None)
     assert sorted(r.id for r in topic_hits(news, "q").collect()) == [1, 2, 3, 4, 7]
+
+
+def test_search_layout_gives_the_hits_of_a_topic(spark, hand):
+    path = scratch_path(spark, "layout")
+    write_search_layout(hand, path)
+    rows = lambda df: sorted(map(str, df.select("topic", *hand.columns).collect()))
+    for topic in ("q", "a", "c", "nothing"):
+        assert rows(read_hits(spark, path, topic)) == rows(topic_hits(hand, topic))
+    assert rows(read_hits(spark, path, "q", 5)) == rows(topic_hits(hand, "q", 5))
+    plan = read_hits(spark, path, "q")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(topic,q)" in plan
+    write_search_layout(hand.limit(0), path + "-empty")
+    assert read_hits(spark, path + "-empty", "q").count() == 0
