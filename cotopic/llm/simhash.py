@@ -163,7 +163,8 @@ def _match_sorted(max_bits: int, max_group: int):
     """mapInArrow over rows sorted by key: edges (big=false) and the rows of too-large groups.
 
     A key's run may span batches: rows of the last key wait for the next batch until there are
-    more than ``max_group`` of them, from when they are passed on as rows of a large group.
+    more than ``max_group`` of them, from when they are passed on as rows of a large group. The rest of
+    that key may lead a batch that ends in another large key, so both are known until the batch is done.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("big", pa.bool_())])
 
@@ -172,12 +173,12 @@ def _match_sorted(max_bits: int, max_group: int):
             {"a": a.view(np.int64), "b": b.view(np.int64), "big": np.full(len(a), big)}, schema=schema)
 
     def run(batches):
-        key, fp, large = np.empty(0, np.int64), np.empty(0, np.uint64), None
+        key, fp, large = np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
         def done(key, fp):
             if not len(key):
                 return
             a, b, big = group_edges(key, fp, max_bits, max_group)
-            big |= key == large if large is not None else False
+            big |= np.isin(key, large)
             if len(a):
                 yield rows(a, b, False)
             if big.any():
@@ -189,9 +190,9 @@ def _match_sorted(max_bits: int, max_group: int):
                 continue
             cut = int(np.searchsorted(key, key[-1]))
             if len(key) - cut > max_group:
-                large = key[-1]
+                large = np.append(large, key[-1])
                 yield from done(key, fp)
-                key, fp = key[:0], fp[:0]
+                key, fp, large = key[:0], fp[:0], large[-1:]
             else:
                 yield from done(key[:cut], fp[:cut])
                 key, fp = key[cut:], fp[cut:]

@@ -1,9 +1,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from cotopic.llm.simhash import components, fingerprint, hex16, links, near_duplicates
+from cotopic.llm.simhash import _match_sorted, components, fingerprint, hex16, links, near_duplicates
 from pyspark.sql import functions as F
 from tests.llm.brute import link_components, simhash
 
@@ -50,3 +51,15 @@ def test_near_duplicates(spark):
     want = link_components([i for i, _, _ in rows], fps)
     assert sorted((o.doc_id, o.f, o.component_id) for o in out) == sorted((rows[i][0], f"{fps[i]:016x}", want[i]) for i in range(len(rows)))
     assert near_duplicates(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("batch", [7, 16, 30, 1000])
+def test_neighbouring_large_keys_span_batches(batch):
+    r = random.Random(batch)
+    for sizes in [[20, 40], [60, 11, 50], *[r.choices([1, 2, 8, 9, 14, 25, 60], k=13) for _ in range(40)]]:
+        key = np.repeat(np.arange(len(sizes)), sizes).astype(np.int64)
+        fp = np.array(r.sample(range(1 << 40), len(key)), np.int64)
+        batches = [pa.RecordBatch.from_pydict({"key": key[a:a + batch], "fp": fp[a:a + batch]}) for a in range(0, len(key), batch)]
+        out = [x for b in _match_sorted(3, 8)(iter(batches)) for x in b.to_pylist() if x["big"]]
+        want = [(k, f) for k, f in zip(key.tolist(), fp.tolist()) if sizes[k] > 8]
+        assert sorted((x["a"], x["b"]) for x in out) == sorted(want)
