@@ -9,6 +9,9 @@ A budget is met by block permutations: in every pass over a source its documents
 a block. Whole passes take every document; the last, partial pass takes whole blocks in order while they fit, and
 documents in order from the block that the budget ends in. Only token sums of blocks are windowed per source
 (``BLOCKS`` rows at most), and the documents of one block; so a source with a third of all rows is no hot group.
+
+There may be as many sources as documents: their sums, weights and budgets stay tables, of which only totals are collected, and are joined
+to the documents by a broadcast if Spark measures them as small, or else by a sort-merge join whose hot sources it can split.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ MAX_REPEATS = 2.0
 SEED = 7
 BLOCK_DIGITS = 3  # hex digits: 4096 blocks a source
 BISECTIONS = 60
-MAX_SOURCES = 100_000  # sources are groups of a catalogue; their token sums go to the driver, and more are refused
+EXPONENTS = 32  # exponents tried in one pass over a table of sources
 
 
 def n_words(text) -> Column:
@@ -71,6 +74,49 @@ def find_exponent(tokens: list[float], target_entropy: float | None = None, max_
     return min(1.0, math.ceil(hi * 1e6) / 1e6)
 
 
+def entropy_exponent(sources: DataFrame, total: int, target_entropy: float) -> float:
+    """``find_exponent`` to an entropy, in millionths, over a table of sources with tokens ``_t > 0`` that sum to ``total``: each
+    pass finds the entropies at ``EXPONENTS`` exponents, so the interval shrinks to a part of that number."""
+    share = F.col("_t") / F.lit(float(total))
+
+    def entropies(marks):
+        at = sources.select(F.explode(F.array(*[F.lit(m) for m in marks])).alias("m"), share.alias("p"))
+        at = at.withColumn("w", F.pow("p", F.col("m") / 1e6))
+        sums = at.groupBy("m").agg(F.sum("w").alias("z"), F.sum(F.col("w") * F.log("p")).alias("l")).collect()
+        return {r["m"]: math.log(r["z"]) - r["m"] / 1e6 * r["l"] / r["z"] for r in sums}
+
+    lo, hi = 0, 1_000_000
+    if entropies([hi])[hi] >= target_entropy:
+        return 1.0
+    while hi - lo > 1:
+        marks = sorted({lo + (hi - lo) * i // (EXPONENTS + 1) for i in range(1, EXPONENTS + 1)} - {lo}) or [lo + 1]
+        found = entropies(marks)
+        short = [m for m in marks if found[m] < target_entropy]
+        hi = min([hi, *short])
+        lo = max([lo, *(m for m in marks if m < hi)])
+    return lo / 1e6
+
+
+def _plan(sources: DataFrame, target_entropy: float | None, max_repeats: float | None, budget: int | None) -> DataFrame:
+    """``_s, weight, _passes, _rest`` of sources ``_s, _t``: the weight, whole passes, and tokens of the last one."""
+    some = sources.where("_t > 0")
+    span = some.agg(F.sum("_t").alias("total"), F.min("_t").alias("least"), F.max("_t").alias("most")).first()
+    if span["total"] is None:
+        return sources.selectExpr("_s", "0D AS weight", "1L AS _passes", "0L AS _rest")
+    # the most repeated source is the least one, the least repeated the largest; no other one matters to the limit
+    exponent = (find_exponent([span["least"], span["most"]], None, max_repeats) if target_entropy is None
+                else entropy_exponent(some, span["total"], target_entropy))
+    power = F.pow(F.col("_t") / F.lit(float(span["total"])), F.lit(exponent))
+    norm = some.agg(F.sum(power)).first()[0]
+    # a budget that reads the least repeated source exactly once
+    total = float(budget) if budget is not None else span["most"] * norm / (span["most"] / span["total"]) ** exponent
+    b = F.floor(F.col("weight") * F.lit(total) + 0.5)
+    plan = sources.withColumn("weight", F.when(F.col("_t") > 0, power / F.lit(norm)).otherwise(0.0))
+    plan = plan.withColumn("_b", b if budget is not None else F.greatest("_t", b))
+    return plan.selectExpr("_s", "weight", "CASE WHEN _t > 0 THEN _b div nullif(_t, 0) ELSE 1L END AS _passes",
+                           "CASE WHEN _t > 0 THEN _b % nullif(_t, 0) ELSE 0L END AS _rest")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         target_entropy: float | None = None, max_repeats: float | None = MAX_REPEATS, budget: int | None = None,
         seed: int = SEED) -> DataFrame:
@@ -82,33 +128,22 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     docs = docs.drop("n_tokens", "copy", "weight")
     docs = docs.withColumn("n_tokens", n_words(F.col(text_col).cast("string")))
-    per_source = docs.groupBy(F.col(source_col).alias("_s")).agg(F.sum("n_tokens").alias("t")).limit(MAX_SOURCES + 1).collect()
-    if len(per_source) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    some = sorted(((r["_s"], r["t"]) for r in per_source if r["t"]), key=lambda x: (x[0] is None, str(x[0])))
-    tokens = [t for _, t in some]
-    exponent = find_exponent(tokens, target_entropy, max_repeats) if some else 1.0
-    ws = weights(tokens, exponent) if some else []
-    # a budget that reads the least repeated source exactly once
-    total = budget if budget is not None else max([t / w for w, t in zip(ws, tokens)], default=0)
-    plan = [(s, t, w, int(math.floor(w * total + 0.5))) for (s, t), w in zip(some, ws)]
-    if budget is None:
-        plan = [(s, t, w, max(t, b)) for s, t, w, b in plan]
-    plan += [(r["_s"], 0, 0.0, 0) for r in per_source if not r["t"]]
-    plan = [(s, t, w, b // t if t else 1, b % t if t else 0) for s, t, w, b in plan]  # whole passes, tokens of the last one
-    spark = docs.sparkSession
-    kind = docs.schema[source_col].dataType.simpleString()
-    plan_df = spark.createDataFrame(plan, f"_s {kind}, _t long, weight double, _passes long, _rest long")
-    out = docs.join(F.broadcast(plan_df), F.col(f"`{source_col}`").eqNullSafe(F.col("_s")))  # at most MAX_SOURCES rows
-    hashed = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_passes").cast("string"), F.col(f"`{id_col}`").cast("string")))
-    out = out.withColumn("_h", hashed).withColumn("_block", F.substring("_h", 1, BLOCK_DIGITS))
+    sources = written(docs.groupBy(F.col(source_col).alias("_s")).agg(F.sum("n_tokens").alias("_t")), "mixing-sources")
+    plan = _plan(sources, target_entropy, max_repeats, budget)
+
+    def planned(plan):
+        out = docs.join(plan, F.col(f"`{source_col}`").eqNullSafe(F.col("_s")))
+        hashed = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_passes").cast("string"), F.col(f"`{id_col}`").cast("string")))
+        return out.withColumn("_h", hashed).withColumn("_block", F.substring("_h", 1, BLOCK_DIGITS))
+
     # the block each source's last pass ends in, and the tokens before it: one row a source
-    sums = out.where("_rest > 0").groupBy("_s", "_rest", "_block").agg(F.sum("n_tokens").alias("_n"))
+    sums = planned(plan).where("_rest > 0").groupBy("_s", "_rest", "_block").agg(F.sum("n_tokens").alias("_n"))
     upto = F.sum("_n").over(Window.partitionBy("_s").orderBy("_block"))
-    cuts = (sums.withColumn("_to", upto).where("_to > _rest").groupBy("_s")
-                .agg(F.min(F.struct("_block", (F.col("_to") - F.col("_n")).alias("before"))).alias("c")).collect())
-    cut_df = spark.createDataFrame([(r["_s"], r["c"]["_block"], r["c"]["before"]) for r in cuts], f"_cs {kind}, _cut string, _before long")
-    out = out.join(F.broadcast(cut_df), F.col("_s").eqNullSafe(F.col("_cs")) & (F.col("_rest") > 0), "left")
+    cuts = (sums.withColumn("_to", upto).where("_to > _rest").groupBy(F.col("_s").alias("_cs"))
+                .agg(F.min(F.struct("_block", (F.col("_to") - F.col("_n")).alias("before"))).alias("c"))
+                .selectExpr("_cs", "c._block AS _cut", "c.before AS _before"))
+    plan = plan.join(cuts, F.col("_s").eqNullSafe(F.col("_cs")), "left").drop("_cs")
+    out = planned(written(plan, "mixing-plan"))
     cols = [*[f"`{c}`" for c in docs.columns if c != "n_tokens"], "n_tokens", "copy", "weight"]
     passes = F.col("_passes") + F.when(F.col("_block") < F.col("_cut"), 1).otherwise(0)
     whole = out.where(passes > 0).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), passes - 1)))

@@ -16,7 +16,7 @@ import corpus_pipeline
 from cotopic.llm import catalogue
 from cotopic.llm.hostrules import apply_host_rules
 from cotopic.llm.linedup import drop_repeated_lines
-from cotopic.llm.mixing import entropy, find_exponent, mix, repeats, weights
+from cotopic.llm.mixing import entropy, entropy_exponent, find_exponent, mix, repeats, weights
 from cotopic.llm.packing import OpenBins, pack
 from cotopic.llm.tokens import token_counts
 from cotopic.llm.vafile import search
@@ -146,6 +146,34 @@ def test_mixing(spark):
     assert mix(df.limit(0)).count() == 0
 
 
+def test_mixing_any_number_of_sources(spark):
+    n = 100_500  # a source a document, and a hot one
+    df = spark.range(n + 5000).selectExpr("id AS doc_id", f"if(id < {n}, concat('host', id), 'hot') AS source", "repeat('w ', int(1 + id % 3)) AS text")
+    got = mix(df).groupBy("source").agg(F.sum("n_tokens").alias("n"), F.min("weight").alias("w"), F.countDistinct("doc_id").alias("d"))
+    base = df.groupBy("source").agg(F.sum(F.length("text") / 2).alias("t"), F.count("*").alias("c"))
+    rows = got.join(base, "source").collect()
+    assert len(rows) == n + 1 and all(r.d == r.c for r in rows)
+    tokens = [r.t for r in rows]
+    exponent, all_ = find_exponent([min(tokens), max(tokens)]), sum(tokens)
+    powers = [(t / all_) ** exponent for t in tokens]
+    norm = sum(powers)
+    ws = [p / norm for p in powers]
+    total = max(t / w for t, w in zip(tokens, ws))
+    for r, w in zip(rows, ws):
+        assert math.isclose(r.w, w, rel_tol=1e-9) and w * total - 1 < r.n < w * total + 4
+
+
+def test_mixing_entropy_over_a_table(spark):
+    tokens = [900, 100, 50, 50, 7]
+    df = spark.createDataFrame([(t,) for t in tokens], "_t long")
+    top, least = math.log(5), entropy(weights(tokens, 1.0))
+    for target in [0.0, least, least + 0.01, 0.9, 1.2, 1.5, top + 1]:
+        assert abs(entropy_exponent(df, sum(tokens), target) - find_exponent(tokens, target)) < 1.5e-6
+    docs = spark.createDataFrame([(i, "w " * t, f"s{i}") for i, t in enumerate(tokens)], "doc_id long, text string, source string")
+    got = {r.source: r.weight for r in mix(docs, target_entropy=1.2).collect()}
+    assert [round(got[f"s{i}"], 5) for i in range(5)] == [round(w, 5) for w in weights(tokens, find_exponent(tokens, 1.2))]
+
+
 def test_host_rules(spark):
     good, junk = " ".join(f"word{i}" for i in range(60)), "spam and eggs " * 40
     rows = [(i, junk, "bad", 1) for i in range(400)] + [(1000, good, "bad", 1), (1001, junk, "tiny", 1), (1002, good, None, 1), (1003, None, None, 1), (1004, "", "ok", 1)]
