@@ -7,10 +7,11 @@ the one of least proportion is dropped and the rest fitted again, down to the be
 set of highest ``log likelihood - penalty * (languages - 1) * log(trigrams)`` wins. The prediction is its
 language of largest proportion.
 
-Trigrams are hashed to ``BUCKETS`` buckets. Buckets whose likelihood ratios agree after rounding are one
-event (the mixture likelihood depends on the ratios only), so a document is a short histogram over events and
-a block of documents is fitted by a few matrix products. Learning reads a bounded sample of labelled rows;
-scoring is one scan without a shuffle. The model, some hundred kilobytes, goes with the tasks.
+Trigrams are hashed to ``BUCKETS`` buckets. Buckets whose likelihood ratios agree after rounding by a fixed ``STEP`` are one
+event (the mixture likelihood depends on the ratios only), however many events that gives. A document is a sparse histogram
+over events, and the documents of a block are fitted together over the events they have. Learning reads a bounded sample of
+labelled rows; scoring is one scan without a shuffle. The model, at most ``4 * BUCKETS`` bytes a language and
+as much for the events, goes with the tasks.
 """
 
 import functools
@@ -26,7 +27,8 @@ from cotopic.llm.common import crc32_mod, give_back, per_block, table, text_bloc
 
 BUCKETS = 1 << 17
 SAMPLE_PER_LANG = 2000  # labelled rows a language is learned from, at most
-EVENTS = 1024
+STEP = 0.5  # log likelihood ratios are rounded to multiples of it
+BLOCK_CELLS = 1 << 20  # events of documents times languages that are fitted at once, a document at least
 STEPS = 30
 PENALTY = 8.0
 UNKNOWN = "und"
@@ -83,20 +85,15 @@ def _count_block(rows, texts):
 class Mixture:
     """Learned languages: an event for each bucket, and each event's relative likelihood per language."""
 
-    def __init__(self, langs: list[str], counts: np.ndarray, events: int = EVENTS):
+    def __init__(self, langs: list[str], counts: np.ndarray):
         """``counts``: languages x buckets."""
         self.langs = langs
         p = counts + 0.5 * (counts.sum(axis=0) > 0)
         p = p / np.maximum(p.sum(axis=1, keepdims=True), 1)
         seen = p.sum(axis=0) > 0
         ratio = p[:, seen] / p[:, seen].sum(axis=0)
-        step = 0.5
-        while True:
-            key = np.round(np.maximum(np.log(ratio), -7) / step).astype(np.int8)
-            kinds, of = np.unique(key.T, axis=0, return_inverse=True)
-            if len(kinds) < events:
-                break
-            step *= 1.25
+        key = np.round(np.maximum(np.log(ratio), -7) / STEP).astype(np.int8)
+        kinds, of = np.unique(key.T, axis=0, return_inverse=True)
         mass = np.zeros((len(langs), len(kinds) + 1))
         for k in range(len(langs)):
             mass[k, 1:] = np.bincount(of.ravel(), weights=p[k, seen], minlength=len(kinds))
@@ -106,44 +103,60 @@ class Mixture:
         self.like = (mass / mass.sum(axis=0)).astype(np.float32)
 
     def histogram(self, texts: list[str]):
-        """Event counts of each text, those that say nothing left out, and its number of trigrams."""
+        """``event, count, first``: the events of each text in order of the texts, where each text's begin, and its number of trigrams.
+
+        Every text has event 0, and those that say nothing count as 0 there.
+        """
         bucket, doc = trigrams(texts)
         k = self.like.shape[1]
-        n = np.bincount(doc.astype(np.int64) * k + self.event[bucket], minlength=len(texts) * k)
-        n = n.reshape(len(texts), k).astype(np.float32)
-        total = n.sum(axis=1)
-        n[:, 0] = 0
-        return n, total
-
-    def fit(self, n: np.ndarray, active: np.ndarray, steps: int = STEPS):
-        """Proportions over each row's ``active`` languages, and the log likelihood."""
-        total = np.maximum(n.sum(axis=1, keepdims=True), 1e-9)
-        pi = active / np.maximum(active.sum(axis=1, keepdims=True), 1)
-        pi = pi.astype(np.float32)
+        key = np.concatenate((np.arange(len(texts)) * k, doc.astype(np.int64) * k + self.event[bucket]))
+        at, n = np.unique(key, return_counts=True)
+        text, event = np.divmod(at, k)
+        return event, np.where(event == 0, 0, n).astype(np.float32), np.searchsorted(text, np.arange(len(texts))), np.bincount(doc, minlength=len(texts))
+
+    def fit(self, like: np.ndarray, n: np.ndarray, first: np.ndarray, active: np.ndarray, steps: int = STEPS):
+        """Proportions over each text's ``active`` languages (languages x texts), and the log likelihood. ``like``: languages x events."""
+        sizes = np.diff(np.append(first, len(n)))
+        total = np.maximum(np.add.reduceat(n, first, dtype=np.float64), 1e-9)
+        pi = (active / np.maximum(active.sum(axis=0), 1)).astype(np.float32)
+
+        def mix():
+            return np.maximum(np.einsum("ij,ij->j", np.repeat(pi, sizes, axis=1), like), 1e-30)
+
         for _ in range(steps):
-            mix = np.maximum(pi @ self.like, 1e-30)
-            pi = pi * ((n / mix) @ self.like.T) / total
+            pi = (pi * (np.add.reduceat(like * (n / mix()), first, axis=1) / total)).astype(np.float32)
             pi = np.maximum(pi, 1e-12) * active
-        return pi, np.einsum("ij,ij->i", n, np.log(np.maximum(pi @ self.like, 1e-30)))
+        return pi, np.add.reduceat(n * np.log(mix()), first, dtype=np.float64)
+
+    def predict(self, event: np.ndarray, n: np.ndarray, first: np.ndarray, penalty: float = PENALTY):
+        """``language index, its proportion, proportions of the chosen set`` for each text of a histogram."""
+        ends = np.append(first[1:], len(n))
+        parts, a = [], 0
+        while a < len(first):
+            b = max(a + 1, int(np.searchsorted(ends, first[a] + BLOCK_CELLS // len(self.langs), "right")))
+            of = slice(first[a], ends[b - 1])
+            parts.append(self._best(self.like[:, event[of]], n[of], first[a:b] - first[a], penalty))
+            a = b
+        best = np.concatenate(parts) if parts else np.zeros((0, len(self.langs)), np.float32)
+        lang = best.argmax(axis=1)
+        return lang, best[np.arange(len(best)), lang], best
 
-    def predict(self, n: np.ndarray, penalty: float = PENALTY):
-        """``language index, its proportion, proportions of the chosen set`` for each row."""
-        m, size = len(n), len(self.langs)
+    def _best(self, like: np.ndarray, n: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray:
+        """Proportions of each text's chosen set (texts x languages)."""
+        m, size = len(first), len(self.langs)
         rows = np.arange(m)
-        single = n @ np.log(np.maximum(self.like, 1e-30)).T
-        best = np.zeros((m, size), np.float32)
-        best[rows, single.argmax(axis=1)] = 1
-        score = single.max(axis=1).astype(np.float64) if size else np.zeros(m)
-        cost = penalty * np.log(np.maximum(n.sum(axis=1), 2))
-        active = np.ones((m, size), np.float32)
+        single = np.add.reduceat(n * np.log(np.maximum(like, 1e-30)), first, axis=1, dtype=np.float64)
+        best = np.zeros((size, m), np.float32)
+        best[single.argmax(axis=0), rows] = 1
+        score = single.max(axis=0)
+        cost = penalty * np.log(np.maximum(np.add.reduceat(n, first, dtype=np.float64), 2))
+        active = np.ones((size, m), np.float32)
         for k in range(size, 1, -1):
-            pi, like = self.fit(n, active)
-            better = like - cost * (k - 1) > score
-            best[better], score[better] = pi[better], (like - cost * (k - 1))[better]
-            active[rows, np.where(active > 0, pi, np.inf).argmin(axis=1)] = 0
-        best /= np.maximum(best.sum(axis=1, keepdims=True), 1e-9)
-        lang = best.argmax(axis=1)
-        return lang, best[rows, lang], best
+            pi, fitted = self.fit(like, n, first, active)
+            better = fitted - cost * (k - 1) > score
+            best[:, better], score[better] = pi[:, better], (fitted - cost * (k - 1))[better]
+            active[np.where(active > 0, pi, np.inf).argmin(axis=0), rows] = 0
+        return (best / np.maximum(best.sum(axis=0), 1e-9)).T
 
 
 def learn(docs: DataFrame, learn_from=None, text_col: str = "text", lang_col: str = "lang",
@@ -198,8 +211,8 @@ def identify(docs: DataFrame, model: Mixture | None, text_col: str = "text", pen
                 if model is None:
                     out += [(UNKNOWN, 0.0, [])] * len(texts)
                     continue
-                n, total = model.histogram(texts)
-                lang, share, pi = model.predict(n, penalty)
+                event, n, first, total = model.histogram(texts)
+                lang, share, pi = model.predict(event, n, first, penalty)
                 for i in range(len(texts)):
                     if not total[i]:
                         out.append((UNKNOWN, 0.0, []))

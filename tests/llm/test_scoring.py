@@ -103,3 +103,20 @@ def test_language_edges_and_mixture(spark):
     assert {x.lang for x in mixed.languages} == {"en", "de"} and 0.5 < mixed.score < 0.9
     assert {r.lang_pred for r in langid.identify(df, langid.learn(train.limit(0))).collect()} == {"und"}
     assert langid.identify(df.limit(0), model).count() == 0
+
+
+@pytest.mark.parametrize("size", [8, 20, 40])
+def test_language_many(size):
+    r = np.random.default_rng(size)
+    words = [["".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), r.integers(3, 9))) for _ in range(60)] for _ in range(size)]
+    words = [own + words[0][:20] for own in words]  # some words are common to all
+    text = lambda k, n=60: " ".join(r.choice(words[k], n))
+    names, table_ = [f"l{k:02}" for k in range(size)], np.zeros((size, langid.BUCKETS))
+    for k in range(size):
+        bucket, _ = langid.trigrams([text(k) for _ in range(30)])
+        table_[k] = np.bincount(bucket, minlength=langid.BUCKETS)
+    model = langid.Mixture(names, table_)
+    *hist, total = model.histogram([text(k) for k in range(size)] + ["", text(1, 90) + " " + text(2, 45)])
+    lang, share, pi = model.predict(*hist)
+    assert lang[:size].tolist() == list(range(size)) and total[size] == 0 and min(share[:size]) > 0.9
+    assert lang[-1] == 1 and 0.5 < share[-1] < 0.8 and np.argsort(-pi[-1])[1] == 2
