@@ -17,8 +17,10 @@ MIX_REPEATS = 1.25  # a pass and a quarter of the rarest source for one of the c
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language; those without a letter go."""
+    """Documents in a language; those without a letter go, and no others where no language could be learned."""
     model = langid.learn(docs, langid.held_in())
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
     return langid.identify(docs, model).where(F.col("lang_pred") != langid.UNKNOWN).select(*COLUMNS)
 
 

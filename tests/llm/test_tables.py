@@ -209,6 +209,12 @@ def test_search(spark):
     assert search(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_pipeline_language_without_labels(spark):
+    texts = [None, "", "12 34 !!", "a", "the cat", "1 \u00e9", "\u4f60\u597d", "\U00020000"]
+    df = spark.createDataFrame([(i, t, None, "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.language(spark, df, "").collect()} == {3, 4, 5, 6, 7}
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     names = [n for n, _ in corpus_pipeline.STAGES]
