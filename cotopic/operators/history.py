@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cotopic.functions.labels import month_label, month_start, month_tick, numbered_list
-from cotopic.operators.topics import mention_rows
+from cotopic.operators.topics import hit_counts, state_rows
 from cotopic.schema import MIN_COUNT, TOP_PER_MONTH
 
 
@@ -38,12 +38,12 @@ def fill_months(df: DataFrame, keys: list[str], fill: dict, month: str = "month"
 
 def monthly_articles(hits: DataFrame) -> DataFrame:
     """``topic, timestamp, articles``: hit articles per month, counting known archive URLs."""
-    return hits.groupBy("topic", "timestamp").agg(F.count("archive").alias("articles"))
+    return hit_counts(hits, "timestamp").select("topic", "timestamp", F.col("archived").alias("articles"))
 
 
 def monthly_mentions(hits: DataFrame, exclude_topic: bool = True) -> DataFrame:
     """``topic, timestamp, keyword, mentions`` (topic excluded from its own list)."""
-    rows = mention_rows(hits, "timestamp")
+    rows = state_rows(hits, "timestamp")
     if exclude_topic:
         rows = rows.where(F.col("keyword") != F.col("topic"))
     return rows.groupBy("topic", "timestamp", "keyword").agg(F.sum("n").alias("mentions"))
@@ -76,9 +76,9 @@ def topic_history(hits: DataFrame, k: int = TOP_PER_MONTH, sep: str = "<br>",
     - at most one entry per calendar month - and the spine is generated from their range
     and filled by map lookup.
     """
-    rows = mention_rows(hits, "timestamp", "archive").where(F.col("timestamp").isNotNull())
+    rows = state_rows(hits, "timestamp").where(F.col("timestamp").isNotNull())
     per = rows.groupBy("topic", "timestamp", "keyword").agg(
-        F.sum("n").alias("mentions"), F.count("archive").alias("_arts"))
+        F.sum("n").alias("mentions"), F.sum("archived").alias("_arts"))
     own = F.col("keyword") == F.col("topic")
     w = Window.partitionBy("topic", "timestamp").orderBy(own.desc(), F.desc("mentions"), F.asc("keyword"))
     ranked = per.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k + 1)
@@ -111,31 +111,31 @@ def relation_history(hits: DataFrame, rel: DataFrame | None = None, min_count: i
     ``articles`` are the topic's hit articles of the month, ``mentions`` those of the
     keyword; the range is the topic's first to last hit month.
 
-    Dated mentions per (topic, keyword, month) and a spine of zeros - every month of the topic for every
-    kept keyword - are summed together, so a month without mentions is there with 0; the topic's articles of a month, one row per
-    calendar month, are joined on (topic, month). No maps in the rows, no window over a topic's whole keyword set.
+    One aggregate of the hits: mentions and articles per (topic, keyword, month), gathered to one row a keyword (a map of at most one
+    entry per calendar month). The topic's own row holds its articles a month and is joined to its keywords, one row a topic; both sides read the
+    same exchange. The months are generated last, so no row of a month without mentions is ever shuffled.
     """
-    per = (mention_rows(hits, "timestamp")
-           .groupBy("topic", "keyword", "timestamp").agg(F.sum("n").alias("mentions"))
-           .withColumn("month", month_start("timestamp")))
-    if rel is None:
-        kw = per.groupBy("topic", "keyword").agg(F.sum("mentions").alias("_count")).where(F.col("_count") >= min_count)
-        if not include_topic:
-            kw = kw.where(F.col("keyword") != F.col("topic"))
+    per = (state_rows(hits, "timestamp").groupBy("topic", "keyword", "timestamp")
+           .agg(F.sum("n").alias("n"), F.sum("archived").alias("archived")).withColumn("month", month_start("timestamp")))
+    entry = F.when(F.col("month").isNotNull(), F.struct("month", F.struct("n", "archived")))
+    kw = per.groupBy("topic", "keyword").agg(
+        F.map_from_entries(F.collect_list(entry)).alias("_m"), F.sum("n").alias("_count"),
+        F.max(F.col("keyword") == F.col("topic")).alias("_own"))
+    # both sides keep all columns of the aggregate, so that Spark computes it once
+    own = kw.where(F.col("_own") & (F.col("_count") > 0)).select("topic", F.col("_m").alias("_t"))
+    own = own.withColumn("_months", F.map_keys("_t")).select(
+        "topic", "_t", F.array_min("_months").alias("_lo"), F.array_max("_months").alias("_hi"))
+    if rel is not None:
+        kw = kw.join(rel.select("topic", "keyword"), ["topic", "keyword"], "left_semi")
     else:
-        kw = rel
-    kw = kw.select("topic", "keyword")
-    arts = monthly_articles(hits).withColumn("month", month_start("timestamp")).where(F.col("month").isNotNull())
-    ends = arts.groupBy("topic").agg(F.min("month").alias("_lo"), F.max("month").alias("_hi"))
-    spine = (kw.distinct().join(ends, "topic")
-             .select("topic", "keyword", F.explode(F.sequence("_lo", "_hi", _one_month())).alias("month"),
-                     F.lit(0).cast("long").alias("mentions")))
-    dated = (per.where(F.col("month").isNotNull()).join(kw, ["topic", "keyword"], "left_semi")
-                .select("topic", "keyword", "month", "mentions"))
-    filled = spine.unionByName(dated).groupBy("topic", "keyword", "month").agg(F.sum("mentions").alias("mentions"))
-    return (filled.join(arts.select("topic", "month", "articles"), ["topic", "month"], "left")
-                  .select("topic", "keyword", month_tick("month").alias("month"),
-                          F.coalesce("articles", F.lit(0)).alias("articles"), "mentions"))
+        kw = kw.where((F.col("_count") >= min_count) & (F.lit(include_topic) | ~F.col("_own")))
+    filled = (kw.join(own.where(F.col("_lo").isNotNull()), "topic")
+              .select("topic", "keyword", "_m", "_t", F.explode(F.sequence("_lo", "_hi", _one_month())).alias("month")))
+    zero = F.lit(0).cast("long")
+    return filled.select(
+        "topic", "keyword", month_tick("month").alias("month"),
+        F.coalesce(F.col("_t")[F.col("month")]["archived"], zero).alias("articles"),
+        F.coalesce(F.col("_m")[F.col("month")]["n"], zero).alias("mentions"))
 
 
 def ordered_history(history: DataFrame) -> DataFrame:

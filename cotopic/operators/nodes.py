@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cotopic.functions.labels import band_color, node_caption, sentiment_band, wrap_label
 from cotopic.functions.urls import capture_month, capture_stamp
 from cotopic.operators.relations import neighbours, relation_extremes
-from cotopic.operators.topics import mention_rows
+from cotopic.operators.topics import state_rows
 from cotopic.schema import MIN_COUNT, TOP_NODES
 from cotopic.session import scratch_path
 from cotopic.sources.news import materialize
@@ -178,8 +178,7 @@ def relation_years(hits: DataFrame, rel: DataFrame | None = None, n: int = TOP_N
     read for the kept keywords only; the spine is generated from
     the range and filled by map lookup. With ``rel`` its keywords alone count, whatever their mentions.
     """
-    rows = mention_rows(hits, "timestamp")
-    per = (rows.groupBy("topic", "keyword", (F.col("timestamp") / 100).cast("int").alias("year"))
+    per = (state_rows(hits, "timestamp").groupBy("topic", "keyword", (F.col("timestamp") / 100).cast("int").alias("year"))
                .agg(F.sum("n").alias("mentions")))
     dated = F.col("year").isNotNull()
     kw = per.groupBy("topic", "keyword").agg(

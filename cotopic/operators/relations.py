@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cotopic.functions.labels import tone_gauge
-from cotopic.operators.topics import mention_rows
+from cotopic.operators.topics import EXTREMES, merge_states, state_rows
 from cotopic.schema import MIN_COUNT, SUGGESTIONS
 
 
@@ -30,23 +30,12 @@ def relations(hits: DataFrame, min_count: int = MIN_COUNT, extremes: bool = Fals
       row), so they are off by default; ``relation_extremes`` computes them for just the
       keys that need them.
     """
-    rows = mention_rows(hits, "sentiment", *(["archive"] if extremes else []))
-    tone = F.col("sentiment").cast("double")
-    rated = F.when(tone.isNotNull(), F.col("n"))
-    aggs = [
-        F.sum("n").alias("count"),
-        F.sum(tone * F.col("n")).alias("_tone_sum"),
-        F.sum(rated).alias("_tone_n"),
-        F.count(F.lit(1)).alias("articles"),
-    ]
-    if extremes:
-        aggs += [F.min("archive").alias("first_archive"), F.max("archive").alias("last_archive")]
-    out = ["topic", "keyword", "count", "sentiment", "articles"] + (["first_archive", "last_archive"] if extremes else [])
+    out = ["topic", "keyword", "count", "sentiment", "articles"] + (EXTREMES if extremes else [])
     return (
-        rows.groupBy("topic", "keyword")
-        .agg(*aggs)
-        .where(F.col("count") >= min_count)
-        .withColumn("sentiment", F.col("_tone_sum") / F.nullif(F.col("_tone_n"), F.lit(0)))
+        merge_states(state_rows(hits))
+        .where(F.col("n") >= min_count)
+        .withColumn("sentiment", F.col("tone_sum") / F.nullif(F.col("tone_n"), F.lit(0)))
+        .withColumnRenamed("n", "count")
         .select(*out)
     )
 
@@ -56,10 +45,8 @@ def relation_extremes(hits: DataFrame, keys: DataFrame) -> DataFrame:
 
     The sort-based string aggregate only sees the rows of the requested keys.
     """
-    return (mention_rows(hits, "archive")
-            .join(keys.select("topic", "keyword"), ["topic", "keyword"], "left_semi")
-            .groupBy("topic", "keyword")
-            .agg(F.min("archive").alias("first_archive"), F.max("archive").alias("last_archive")))
+    rows = state_rows(hits).join(keys.select("topic", "keyword"), ["topic", "keyword"], "left_semi")
+    return merge_states(rows).select("topic", "keyword", *EXTREMES)
 
 
 def neighbours(rel: DataFrame) -> DataFrame:
@@ -74,8 +61,7 @@ def relation_months(hits: DataFrame, rel: DataFrame | None = None, min_count: in
     the sum over its months, a window over at most one row per calendar month (and one for
     unknown months) - one read of the hits, no self join.
     """
-    per = (mention_rows(hits, "timestamp")
-           .groupBy("topic", "keyword", "timestamp").agg(F.sum("n").alias("mentions")))
+    per = merge_states(state_rows(hits, "timestamp"), "timestamp").select("topic", "keyword", "timestamp", F.col("n").alias("mentions"))
     if rel is not None:
         return per.join(rel.select("topic", "keyword"), ["topic", "keyword"], "left_semi")
     total = F.sum("mentions").over(Window.partitionBy("topic", "keyword"))
@@ -89,9 +75,8 @@ def relation_sources(hits: DataFrame, rel: DataFrame | None = None, min_count: i
     summed mentions, both windows over the keyword's outlet rows (one per outlet): one read
     of the hits, no self join.
     """
-    per = (mention_rows(hits, "source")
-           .groupBy("topic", "keyword", "source")
-           .agg(F.count(F.lit(1)).alias("articles"), F.sum("n").alias("_n")))
+    per = (merge_states(state_rows(hits, "source"), "source")
+           .select("topic", "keyword", "source", "articles", F.col("n").alias("_n")))
     w = Window.partitionBy("topic", "keyword")
     out = (per.withColumn("_total", F.sum("articles").over(w))
               .withColumn("_count", F.sum("_n").over(w)))
@@ -115,12 +100,11 @@ def relations_nested(hits: DataFrame, rel: DataFrame | None = None, min_count: i
     the per-outlet rows; a second aggregate per keyword builds both maps and takes the count
     and tone sums from the month rows.
     """
-    rows = mention_rows(hits, "timestamp", "source", "sentiment")
-    tone = F.col("sentiment").cast("double")
-    g = (rows.groupingSets([["topic", "keyword", "timestamp"], ["topic", "keyword", "source"]],
+    g = (state_rows(hits, "timestamp", "source")
+             .groupingSets([["topic", "keyword", "timestamp"], ["topic", "keyword", "source"]],
                            "topic", "keyword", "timestamp", "source")
-             .agg(F.sum("n").alias("mentions"), F.count(F.lit(1)).alias("articles"),
-                  F.sum(tone * F.col("n")).alias("_ts"), F.sum(F.when(tone.isNotNull(), F.col("n"))).alias("_tn"),
+             .agg(F.sum("n").alias("mentions"), F.sum("articles").alias("articles"),
+                  F.sum("tone_sum").alias("_ts"), F.sum("tone_n").alias("_tn"),
                   F.grouping_id().alias("_g")))
     by_month = F.col("_g") == 1  # source grouped out
     by_source = F.col("_g") == 2  # month grouped out

@@ -16,6 +16,8 @@ from cotopic.schema import MIN_MENTIONS
 
 Topics = str | Iterable[str] | DataFrame | None
 
+BROADCAST_TOPICS = 100_000  # topics of a table that may be broadcast
+
 
 def mentions(news: DataFrame) -> DataFrame:
     """One row per (article, keyword) with a known mention count: ``id, keyword, n``."""
@@ -33,8 +35,9 @@ def topic_hits(news: DataFrame, topics: Topics, min_mentions: int = MIN_MENTIONS
       list becomes literals in the plan: meant for a handful of topics; pass a DataFrame
       for large topic sets).
     * ``None``: every keyword of an article with enough mentions is a topic (all topics).
-    * DataFrame with a ``topic`` column: slim (article id, topic) rows meet the table in a semi join, each article's
-      topics are gathered again, and only then the article columns are joined, once per article. Every
+    * DataFrame with a ``topic`` column: up to ``BROADCAST_TOPICS`` topics (counted first) are broadcast and met inside the
+      article's row, so no map is shuffled. Beyond that, slim (article id, topic) rows meet the table in a semi join, each article's
+      topics are gathered again, and the article columns are joined once per article. Every
       topic is looked up in the article's own map, so articles that share an id keep their own.
     """
     if isinstance(topics, str):
@@ -43,6 +46,9 @@ def topic_hits(news: DataFrame, topics: Topics, min_mentions: int = MIN_MENTIONS
     if isinstance(topics, DataFrame):
         allowed = topics.select("topic").where(F.col("topic").isNotNull()).distinct()
         enough = F.map_filter("keywords", lambda k, v: v > min_mentions)
+        if allowed.limit(BROADCAST_TOPICS + 1).count() <= BROADCAST_TOPICS:
+            return (news.select(*news.columns, F.explode(F.map_keys(enough)).alias("topic"))
+                        .join(F.broadcast(allowed), "topic", "left_semi").select(*news.columns, "topic"))
         wanted = (news.select("id", F.explode(F.map_keys(enough)).alias("topic"))
                       .join(allowed, "topic", "left_semi")
                       .groupBy(F.col("id").alias("_id")).agg(F.collect_set("topic").alias("_topics")))
@@ -66,6 +72,42 @@ def mention_rows(hits: DataFrame, *cols: str) -> DataFrame:
                 .where(F.col("n").isNotNull()))
 
 
+STATES = ["n", "tone_sum", "tone_n", "articles", "archived"]  # sums of a group of mentions
+EXTREMES = ["first_archive", "last_archive"]
+
+
+def state_rows(hits: DataFrame, *keys: str) -> DataFrame:
+    """``topic, keyword, *keys`` with mergeable states: mentions ``n``, tone times mentions, mentions with a tone, articles, articles with
+    an archive URL, and the smallest and largest URL.
+
+    ``hits`` may be hits - each (hit, keyword) with a known count is the state of one article - or a table of states itself, say
+    of many batches: every report sums whatever rows it gets. Columns a report does not use are pruned.
+    """
+    if "keywords" not in hits.columns:
+        return hits.select("topic", "keyword", *keys, *STATES, *EXTREMES)
+    tone = F.col("sentiment").cast("double")
+    rows = mention_rows(hits, *dict.fromkeys([*keys, "sentiment", "archive"]))
+    return rows.select("topic", "keyword", *keys, "n", (tone * F.col("n")).alias("tone_sum"),
+                       F.when(tone.isNotNull(), F.col("n")).alias("tone_n"), F.lit(1).alias("articles"),
+                       F.col("archive").isNotNull().cast("int").alias("archived"),
+                       F.col("archive").alias("first_archive"), F.col("archive").alias("last_archive"))
+
+
+def merge_states(rows: DataFrame, *keys: str) -> DataFrame:
+    """State rows summed per ``topic, keyword, *keys``."""
+    return rows.groupBy("topic", "keyword", *keys).agg(
+        *[F.sum(c).alias(c) for c in STATES], F.min("first_archive").alias("first_archive"), F.max("last_archive").alias("last_archive"))
+
+
+def hit_counts(hits: DataFrame, *keys: str) -> DataFrame:
+    """``topic, *keys, articles, archived``: the topic's hits, and those with an archive URL. Every hit mentions its topic, so
+    in a table of states these are the topic's own rows."""
+    if "keywords" in hits.columns:
+        return hits.groupBy("topic", *keys).agg(F.count(F.lit(1)).alias("articles"), F.count("archive").alias("archived"))
+    own = hits.where(F.col("keyword") == F.col("topic"))
+    return own.groupBy("topic", *keys).agg(F.sum("articles").alias("articles"), F.sum("archived").alias("archived"))
+
+
 def corpus_summary(news: DataFrame) -> DataFrame:
     """Number of articles (malformed rows included), first and last month."""
     return news.agg(
@@ -77,9 +119,9 @@ def corpus_summary(news: DataFrame) -> DataFrame:
 
 def topic_summary(hits: DataFrame) -> DataFrame:
     """Per topic: hit count, first month and its label."""
-    return (hits.groupBy("topic")
-                .agg(F.count(F.lit(1)).alias("articles"), F.min("timestamp").alias("first_month"))
-                .withColumn("first_label", yyyymm_label("first_month")))
+    per = hit_counts(hits, "timestamp").groupBy("topic")  # one row a month
+    return (per.agg(F.sum("articles").alias("articles"), F.min("timestamp").alias("first_month"))
+               .withColumn("first_label", yyyymm_label("first_month")))
 
 
 def topic_sources(hits: DataFrame) -> DataFrame:
@@ -88,6 +130,6 @@ def topic_sources(hits: DataFrame) -> DataFrame:
     The share window runs over the already aggregated (topic, source) rows: one small
     group per topic.
     """
-    per = hits.groupBy("topic", "source").agg(F.count(F.lit(1)).alias("articles"))
+    per = hit_counts(hits, "source").drop("archived")
     total = F.sum("articles").over(Window.partitionBy("topic"))
     return per.withColumn("pct", F.col("articles") * F.lit(100.0) / total)
