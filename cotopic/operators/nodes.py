@@ -10,14 +10,13 @@ from cotopic.functions.urls import capture_month, capture_stamp
 from cotopic.operators.relations import neighbours, relation_extremes
 from cotopic.operators.topics import state_rows
 from cotopic.schema import MIN_COUNT, TOP_NODES
-from cotopic.session import scratch_path
-from cotopic.sources.news import materialize
 
 # Quantile levels, and the weights blending all-neighbour with top-N quantiles.
 LEVELS = (0.1, 0.3, 0.7, 0.9)
 BLEND_ALL = {"q10": 0.4, "q30": 0.3, "q70": 0.3, "q90": 0.4}
 BLEND_TOP = {"q10": 0.6, "q30": 0.7, "q70": 0.7, "q90": 0.6}
 QNAMES = ("q10", "q30", "q70", "q90")
+SELECT_ACCURACY = 1000  # rank slack of the sketch that bounds an exact quantile
 # Node size = (ln(count / smallest count) * 3) ** 1.5 + 50.
 SIZE_SCALE = 3.0
 SIZE_POWER = 1.5
@@ -28,69 +27,60 @@ def sentiment_quantiles(rel: DataFrame, approx: bool = False, accuracy: int = 10
                         method: str = "distributed") -> DataFrame:
     """``topic, q10, q30, q70, q90`` of the keywords' tone, linear interpolation.
 
+    * ``"distributed"`` (default): exact, by selection between sketched bounds (``selected_quantiles``).
     * ``"aggregate"``: exact ``percentile``; tasks ship value->count summaries and
       the final merge holds one map per topic (distinct tone values of its neighbours).
-    * ``"distributed"`` (default): exact, with no per-topic merge at all (``distributed_quantiles``).
     * ``approx=True``: ``percentile_approx`` with bounded memory.
     Null tones are skipped.
     """
     if method == "distributed" and not approx:
-        return distributed_quantiles(rel, "topic", "sentiment")
+        return selected_quantiles(rel, "topic", "sentiment")
     agg = (F.percentile_approx("sentiment", list(LEVELS), accuracy) if approx
            else F.percentile("sentiment", list(LEVELS)))
     q = rel.groupBy("topic").agg(agg.alias("_q"))
     return q.select("topic", *[F.col("_q")[i].alias(name) for i, name in enumerate(QNAMES)])
 
 
-def distributed_quantiles(df: DataFrame, key: str, value: str) -> DataFrame:
-    """Exact quantiles (``LEVELS``, linear interpolation as ``percentile``) per ``key`` without
-    gathering any key's values in one task. Eager: the input is read once and its per-value
-    counts are written to the ``spark.checkpoint.dir`` folder.
+def selected_quantiles(df: DataFrame, key: str, value: str, accuracy: int = SELECT_ACCURACY) -> DataFrame:
+    """Exact quantiles (``LEVELS``, linear interpolation as ``percentile``) per ``key`` in two light passes, lazily.
 
-    Distinct (key, value) counts are range-partitioned on (key, value), so a key with very
-    many values spans several partitions. Per partition and key the counts are summed; a
-    window over those partial sums (at most one row per partition) gives each partition's
-    rank offset; a running count inside each (partition, key) gives every value its rank
-    range. The ranks the levels need are located by joining on (key, partition) - every
-    join side is keyed finer than the key itself - and interpolated.
+    First pass: a mergeable sketch per key whose ranks are off by at most one in ``accuracy`` gives each level a range of values that must
+    hold its two ranks (keys of up to ``4 * accuracy`` values take the whole range: at that size the sketch's slack is below one rank).
+    Second pass: values below a level's range are only counted, values in it are counted one by one, both
+    before the shuffle. What remains per (key, level) are the distinct values of about one in ``accuracy / 5`` of the key's rows,
+    sorted, from which both ranks are read. No window, no job, and no task holds a key's values.
     """
-    # one read of the input: counts per (key, value) with their range partition, written once
-    # to the shared folder so every step below reads the same small table (and the same ids)
-    counted = materialize(
-        df.groupBy(key, value).agg(F.count(F.lit(1)).alias("_c"))
-          .repartitionByRange(key, value)
-          .withColumn("_p", F.spark_partition_id()),
-        scratch_path(df.sparkSession, "quantile-ranks"))
-    vals = counted.where(F.col(value).isNotNull())
-    per_part = vals.groupBy(key, "_p").agg(F.sum("_c").alias("_pc"))
-    by_part = Window.partitionBy(key).orderBy("_p")
-    offsets = (per_part.withColumn("_off", F.sum("_pc").over(by_part) - F.col("_pc"))
-                       .withColumn("_n", F.sum("_pc").over(Window.partitionBy(key))))
-    running = Window.partitionBy("_p", key).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = vals.withColumn("_cum", F.sum("_c").over(running))
-    # wanted 0-based positions per key: pos = q * (n - 1), its floor and ceiling
-    levels = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(q).alias("q")) for i, q in enumerate(LEVELS)])
-    wanted = (offsets.select(key, "_n").distinct()
-              .select(key, "_n", F.explode(levels).alias("_l"))
-              .select(key, F.col("_l")["i"].alias("_i"), (F.col("_l")["q"] * (F.col("_n") - 1)).alias("_pos")))
-    ends = wanted.select(key, "_i", "_pos", F.explode(F.array(F.floor("_pos"), F.ceil("_pos"))).alias("_r"))
-    # which partition holds rank _r (1-based rank _r + 1): offset < _r + 1 <= offset + count
-    located = ends.join(offsets, key).where((F.col("_off") < F.col("_r") + 1) & (F.col("_r") + 1 <= F.col("_off") + F.col("_pc")))
-    hit = (located.select(key, "_i", "_pos", "_r", "_p", "_off")
-                  .join(ranked, [key, "_p"])
-                  .where((F.col("_off") + F.col("_cum") - F.col("_c") < F.col("_r") + 1)
-                         & (F.col("_r") + 1 <= F.col("_off") + F.col("_cum")))
-                  .select(key, "_i", "_pos", "_r", F.col(value).cast("double").alias("_v")))
-    lo, hi = F.floor("_pos"), F.ceil("_pos")
-    per_level = (hit.groupBy(key, "_i", "_pos")
-                    .agg(F.max(F.when(F.col("_r") == F.floor("_pos"), F.col("_v"))).alias("_lo_v"),
-                         F.max(F.when(F.col("_r") == F.ceil("_pos"), F.col("_v"))).alias("_hi_v"))
-                    .withColumn("_q", F.when(lo == hi, F.col("_lo_v"))
-                                       .otherwise((hi - F.col("_pos")) * F.col("_lo_v")
-                                                  + (F.col("_pos") - lo) * F.col("_hi_v"))))
-    result = per_level.groupBy(key).agg(
-        *[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(name) for i, name in enumerate(QNAMES)])
-    return counted.select(key).distinct().join(result, key, "left")  # keys with no known value: nulls
+    slack = 2.0 / accuracy
+    tails = [min(1.0, max(0.0, q + d)) for q in LEVELS for d in (-slack, slack)]
+    known = df.select(key, F.col(value).cast("double").alias("_v"))  # rows without a value weigh nothing; they keep their key
+    sketch = known.groupBy(key).agg(F.percentile_approx("_v", tails, accuracy).alias("_s"), F.count("_v").alias("_n"))
+    whole = F.col("_n") <= 4 * accuracy
+    ranges = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(q).alias("q"),
+                                F.when(~whole, F.col("_s")[2 * i]).alias("lo"), F.when(~whole, F.col("_s")[2 * i + 1]).alias("hi"))
+                       for i, q in enumerate(LEVELS)])
+    met = known.join(sketch.select(key, "_n", ranges.alias("_r")), key)
+    # a value per level: itself inside the range, null below it
+    per_level = F.filter("_r", lambda r: r["hi"].isNull() | (F.col("_v") <= r["hi"]))
+    cells = (met.select(key, "_n", "_v", F.explode(per_level).alias("_l"))
+             .select(key, "_n", "_l.i", "_l.q", F.col("_v").isNotNull().cast("int").alias("_w"),
+                     F.when(F.col("_l.lo").isNull() | (F.col("_v") >= F.col("_l.lo")), F.col("_v")).alias("_v"))
+             .groupBy(key, "_n", "i", "q", "_v").agg(F.sum("_w").alias("_c")))
+    inside = F.when(F.col("_v").isNotNull(), F.struct(F.col("_v").alias("v"), F.col("_c").alias("c")))
+    level = cells.groupBy(key, "_n", "i", "q").agg(F.sort_array(F.collect_list(inside)).alias("_in"),
+                                                   F.coalesce(F.sum(F.when(F.col("_v").isNull(), F.col("_c"))), F.lit(0)).alias("_below"))
+
+    def at(rank):
+        """The value of a 0-based rank: the first whose running count passes it."""
+        start = F.struct(F.col("_below").alias("n"), F.lit(None).cast("double").alias("v"))
+        return F.aggregate("_in", start, lambda a, x: F.struct(
+            (a["n"] + x["c"]).alias("n"), F.when(a["v"].isNull() & (a["n"] + x["c"] > rank), x["v"]).otherwise(a["v"]).alias("v")))["v"]
+
+    pos = F.col("q") * (F.col("_n") - 1)
+    lo, hi = F.floor(pos), F.ceil(pos)
+    per = level.select(key, "i", pos.alias("_pos"), lo.alias("_lo"), hi.alias("_hi"), at(lo).alias("_a"), at(hi).alias("_b"))
+    q = F.when(F.col("_lo") == F.col("_hi"), F.col("_a")).otherwise(
+        (F.col("_hi") - F.col("_pos")) * F.col("_a") + (F.col("_pos") - F.col("_lo")) * F.col("_b"))
+    return per.groupBy(key).agg(*[F.max(F.when(F.col("i") == i, q)).alias(name) for i, name in enumerate(QNAMES)])
 
 
 def top_relations(neigh: DataFrame, n: int = TOP_NODES) -> DataFrame:
@@ -111,8 +101,7 @@ def sentiment_thresholds(neigh: DataFrame, n: int = TOP_NODES, approx: bool = Fa
 def _ranked_with_quantiles(neigh: DataFrame, n: int, approx: bool, method: str = "aggregate") -> DataFrame:
     """Top ``n`` neighbours per topic with blended thresholds and the smallest count.
 
-    All-neighbour quantiles are a partial/final aggregate per topic (tasks ship value->count
-    summaries, never the rows); the top-N cut is a per-task limit before the shuffle; top-N
+    All-neighbour quantiles are selected between sketched bounds, per topic; the top-N cut is a per-task limit before the shuffle; top-N
     quantiles and the smallest count are windows over at most ``n`` rows per topic. The
     relation set is read by both sides (Spark plans the two pruned uses separately); a caller
     serving many reports reads it from written hits or the relation store.
@@ -120,7 +109,7 @@ def _ranked_with_quantiles(neigh: DataFrame, n: int, approx: bool, method: str =
     pct = (F.percentile_approx("sentiment", list(LEVELS), 10000) if approx
            else F.percentile("sentiment", list(LEVELS)))
     if method == "distributed" and not approx:
-        qa = distributed_quantiles(neigh, "topic", "sentiment").select("topic", F.array(*QNAMES).alias("_qa"))
+        qa = selected_quantiles(neigh, "topic", "sentiment").select("topic", F.array(*QNAMES).alias("_qa"))
     else:
         qa = neigh.groupBy("topic").agg(pct.alias("_qa"))
     per_topic = Window.partitionBy("topic")
@@ -143,8 +132,7 @@ def relation_nodes(rel: DataFrame, n: int = TOP_NODES, sep: str = "<br>", approx
     All-neighbour quantiles are a partial/final aggregate per topic; the top-N cut is a
     per-task limit before the shuffle; top-N quantiles and the smallest count are windows
     over at most ``n`` rows per topic; per-topic values are one-row-per-topic lookups.
-    ``quantiles="distributed"`` computes the all-neighbour quantiles without any per-topic
-    merge (``distributed_quantiles``), for topics with very large neighbour sets.
+    ``quantiles="aggregate"`` merges a topic's values in one task instead of selecting between bounds (``selected_quantiles``).
     """
     if "first_archive" not in rel.columns and hits is None:
         raise ValueError("relation set has no archive extremes: pass hits=, or relations(..., extremes=True)")

@@ -1,31 +1,67 @@
-"""A corpus laid out for topic searches.
+"""A corpus laid out for topic searches: an inverted list beside the articles.
 
-A search on the corpus itself reads every article's keyword map, because a map value cannot be pushed into Parquet. Here the hits
-of every topic are stored once, ordered by topic, so a search reads the row groups of its topic and no others.
+A search on the corpus itself reads every article's keyword map, because a map value cannot be pushed into Parquet. Here slim
+postings - keyword, mentions, article key - are sorted by keyword, so a topic's hits are one stretch of them (the keyword is a pushed filter, and
+row groups of other keywords are skipped), and articles are fetched once by key, with the columns a report uses: only a report over
+all neighbours reads keyword maps. Reports on chosen keywords get their counts from the postings of these.
 
-An article is stored once per topic that it mentions often enough; where the vocabulary is large, give the topics that are
-searched as a table. Range partitions are cut by (topic, id), so a topic that a third of all articles hit spans many of them.
+Each mention is stored once more, as 8 bytes of key, a small count and its keyword's code; articles are stored once, whatever the
+number of topics they hit. A keyword that a third of all articles have spans many partitions (they are cut by keyword and key).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cotopic.operators.topics import Topics, topic_hits
-from cotopic.schema import MIN_MENTIONS
+from cotopic.schema import MIN_MENTIONS, NEWS
+
+POSTINGS_DDL = "keyword string, n int, key long"
+ARTICLES_DDL = "key long, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in NEWS.fields)
+
+
+def keyed_articles(news: DataFrame) -> DataFrame:
+    """Articles with a ``key``: unique, ascending inside a file once written (write them before use: keys come from the writing tasks)."""
+    return news.select(F.monotonically_increasing_id().alias("key"), *[F.col(f.name) for f in NEWS.fields])
 
 
-def write_search_layout(news: DataFrame, path: str, topics: Topics = None, min_mentions: int = MIN_MENTIONS) -> None:
-    """Store the hits of all ``topics`` (None: every keyword) ordered by topic. A path that exists is an error."""
-    hits = topic_hits(news, topics, min_mentions)
-    hits.repartitionByRange("topic", "id").sortWithinPartitions("topic", "id").write.parquet(path)
+def sorted_postings(articles: DataFrame) -> DataFrame:
+    """``keyword, n, key`` of written ``keyed_articles``, sorted by keyword and key across partitions."""
+    return (articles.select(F.explode("keywords").alias("keyword", "n"), "key").where(F.col("n").isNotNull())
+            .select("keyword", F.col("n").cast("int").alias("n"), "key")
+            .repartitionByRange("keyword", "key").sortWithinPartitions("keyword", "key"))
 
 
-def read_hits(spark: SparkSession, path: str, topic: str, min_mentions: int | None = None) -> DataFrame:
-    """The stored hits of one topic, as ``topic_hits`` gives them; ``min_mentions`` may ask for more than was stored with.
+def write_search_layout(news: DataFrame, path: str) -> None:
+    """Store ``articles`` and ``postings`` below ``path``. A path that exists is an error."""
+    spark = news.sparkSession
+    keyed_articles(news).write.option("compression", "zstd").parquet(f"{path}/articles")
+    articles = spark.read.schema(ARTICLES_DDL).parquet(f"{path}/articles")
+    sorted_postings(articles).write.option("compression", "zstd").parquet(f"{path}/postings")
 
-    The topic is a filter of the scan. A topic without hits, or not among those stored, gives no rows.
+
+def hits_by_key(postings: DataFrame, articles: DataFrame, topic: str, min_mentions: int = MIN_MENTIONS,
+                keywords: Iterable[str] | None = None, by: tuple[str, ...] = ("key",)) -> DataFrame:
+    """The hits of ``topic`` as ``topic_hits`` gives them, from postings and the articles they name.
+
+    With ``keywords`` the hits' maps hold the topic and these keywords alone, put together from their postings: no stored map is read.
     """
-    hits = spark.read.parquet(path).where(F.col("topic") == topic)
-    return hits if min_mentions is None else hits.where(F.col("keywords")[topic] > min_mentions)
+    columns = [f.name for f in NEWS.fields]
+    if keywords is None:
+        keys = postings.where((F.col("keyword") == topic) & (F.col("n") > min_mentions)).select(*by)
+        return articles.join(keys, list(by)).select(*columns, F.lit(topic).alias("topic"))
+    wanted = sorted({topic, *keywords})
+    own = F.max(F.when(F.col("keyword") == topic, F.col("n"))) > min_mentions
+    maps = (postings.where(F.col("keyword").isin(wanted)).groupBy(*by)
+            .agg(F.map_from_entries(F.collect_list(F.struct("keyword", "n"))).alias("keywords"), own.alias("_hit")).where("_hit"))
+    slim = articles.select(*by, *[c for c in columns if c != "keywords"])
+    return slim.join(maps.drop("_hit"), list(by)).select(*columns, F.lit(topic).alias("topic"))
+
+
+def read_hits(spark: SparkSession, path: str, topic: str, min_mentions: int = MIN_MENTIONS, keywords: Iterable[str] | None = None) -> DataFrame:
+    """``hits_by_key`` on a stored layout. A topic without hits gives no rows."""
+    postings = spark.read.schema(POSTINGS_DDL).parquet(f"{path}/postings")
+    articles = spark.read.schema(ARTICLES_DDL).parquet(f"{path}/articles")
+    return hits_by_key(postings, articles, topic, min_mentions, keywords)

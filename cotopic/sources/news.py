@@ -9,16 +9,18 @@ from pyspark.sql import types as T
 from cotopic.schema import NEWS
 
 
-def read_news(spark: SparkSession, path: str, fmt: str = "json", status: str | None = "success",
-              mode: str = "PERMISSIVE") -> DataFrame:
+def read_news(spark: SparkSession, path: str | list[str], fmt: str = "json", status: str | None = "success",
+              mode: str = "PERMISSIVE", base: str | None = None) -> DataFrame:
     """Scan an article directory with the fixed schema (no inference).
 
     ``path`` is the parent of ``status=<value>`` sub-folders; ``status`` keeps one of them
     through partition pruning (the filter shows as ``PartitionFilters``). ``status=None``
     reads every status and keeps the column. Malformed JSON lines become all-null rows
-    under ``PERMISSIVE`` and are still counted, like any other row.
+    under ``PERMISSIVE`` and are still counted, like any other row. ``path`` may also list files below ``base``.
     """
     reader = spark.read.format(fmt)
+    if base is not None:
+        reader = reader.option("basePath", base)
     if fmt == "json":
         reader = reader.schema(NEWS).option("mode", mode)
     df = reader.load(path)

@@ -45,6 +45,12 @@ def test_search_layout_gives_the_hits_of_a_topic(spark, hand):
         assert rows(read_hits(spark, path, topic)) == rows(topic_hits(hand, topic))
     assert rows(read_hits(spark, path, "q", 5)) == rows(topic_hits(hand, "q", 5))
     plan = read_hits(spark, path, "q")._jdf.queryExecution().executedPlan().toString()
-    assert "EqualTo(topic,q)" in plan
+    assert "EqualTo(keyword,q)" in plan and "GreaterThan(n,4)" in plan
+    plan = read_hits(spark, path, "q").select("id", "source")._jdf.queryExecution().executedPlan().toString()
+    assert "keywords" not in plan  # a report that needs no map reads none
+    few = read_hits(spark, path, "q", keywords=["a", "z"])
+    want = [(r.id, {k: v for k, v in r.keywords.items() if k in ("q", "a")}) for r in topic_hits(hand, "q").collect()]
+    assert sorted((r.id, sorted(r.keywords.items())) for r in few.collect()) == sorted((i, sorted(m.items())) for i, m in want)
+    assert "keywords:map" not in few._jdf.queryExecution().executedPlan().toString()
     write_search_layout(hand.limit(0), path + "-empty")
     assert read_hits(spark, path + "-empty", "q").count() == 0
