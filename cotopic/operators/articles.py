@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cotopic.functions.urls import (
@@ -58,6 +58,13 @@ def match_outlet(df: DataFrame, host: str = "host", outlets: Sequence[str] | Dat
 ARTICLE_FIELDS = ["title", "capture_date", "host", "original_url", "outlet", "archive"]
 
 
+def _fields(articles: DataFrame) -> DataFrame:
+    """All that an article's URL tells."""
+    out = (articles.withColumn("title", article_title("archive")).withColumn("capture_date", capture_date("archive"))
+           .withColumn("host", outlet_host("archive")).withColumn("original_url", original_url("archive")))
+    return match_outlet(out, "host")
+
+
 def relation_articles(hits: DataFrame, rel: DataFrame | None = None, dedup: bool = True,
                       min_count: int = MIN_COUNT, include_topic: bool = False) -> DataFrame:
     """``topic, keyword, title, capture_date, host, original_url, outlet, archive``.
@@ -65,35 +72,56 @@ def relation_articles(hits: DataFrame, rel: DataFrame | None = None, dedup: bool
     One row per (article, keyword) of the relation set; with ``dedup`` one row per
     (topic, keyword, title), keeping the latest capture (then the smallest URL).
 
-    Every field is a function of the article's URL: only the URL, its title and its capture order pass the
-    aggregate, and the other fields are derived from the winning URL afterwards. An article without a title is
-    no copy of anything and is kept.
-    Without ``rel`` the relation set (count cut) is a hash aggregate over the same exploded
-    rows, applied before the de-duplication; the topic's own articles are left out unless
+    Every field is a function of the article's URL. An article without a title is no copy of anything and is kept.
+    Without ``rel`` the relation set (count cut) comes from the same aggregate; the topic's own articles are left out unless
     ``include_topic``. With ``rel`` only its (topic, keyword) pairs are kept.
+
+    De-duplication carries no strings but the keyword: exploded mentions are hash-aggregated on a 128-bit hash of the title to the latest capture
+    (a number), and the winners fetch their article, with fields made once an article, by (topic, title hash, capture). Only where
+    different URLs share all three do the mentions of these articles compete by URL.
     """
-    order = F.coalesce(-capture_order("archive"), F.lit(2**63 - 1))
-    per_article = hits.select("topic", "keywords", "id", "archive", article_title("archive").alias("title"), order.alias("_o"))
-    rows = (per_article.select("topic", "_o", "id", "title", "archive", F.explode("keywords").alias("keyword", "n"))
-                       .where(F.col("n").isNotNull()))
+    if not dedup:
+        rows = _fields(hits.select("topic", "keywords", "archive"))
+        rows = rows.select("topic", *ARTICLE_FIELDS, F.explode("keywords").alias("keyword", "n")).where(F.col("n").isNotNull())
+        if rel is None:
+            keep = _kept(mention_rows(hits).groupBy("topic", "keyword").agg(F.sum("n").alias("_n")), min_count, include_topic)
+        else:
+            keep = rel.select("topic", "keyword")
+        return rows.join(keep, ["topic", "keyword"], "left_semi").select("topic", "keyword", *ARTICLE_FIELDS)
+
+    title, order = article_title("archive"), F.coalesce(-capture_order("archive"), F.lit(2**63 - 1))
+    # an article without a title is a group of its own
+    named = [F.when(title.isNotNull(), F.xxhash64(F.lit(seed), title)).otherwise(F.xxhash64(F.lit(seed + 2), "id", "archive")).alias(f"_t{seed}")
+             for seed in (1, 2)]
+    group = ["_t1", "_t2"]
+    slim = hits.select("topic", "keywords", "archive", order.alias("_o"), *named)
+    rows = slim.select("topic", "_o", *group, "archive", F.explode("keywords").alias("keyword", "n")).where(F.col("n").isNotNull())
+    if rel is not None:
+        rows = rows.join(rel.select("topic", "keyword"), ["topic", "keyword"], "left_semi")
+    # both uses of this aggregate keep all its columns, so that Spark computes it once
+    latest = rows.groupBy("topic", "keyword", *group).agg(F.min("_o").alias("_o"), F.sum("n").alias("_n"))
+    winners = latest.where(F.col("_n").isNotNull()).select("topic", "keyword", *group, "_o")
     if rel is None:
-        # the relation set (count cut) from a hash aggregate; applied
-        # before the sort-based de-duplication so rows of cut keywords never reach it
-        keep = (mention_rows(hits).groupBy("topic", "keyword").agg(F.sum("n").alias("_count"))
-                    .where(F.col("_count") >= min_count))
-        if not include_topic:
-            keep = keep.where(F.col("keyword") != F.col("topic"))
-    else:
-        keep = rel
-    rows = rows.join(keep.select("topic", "keyword"), ["topic", "keyword"], "left_semi")
-    if dedup:
-        single = F.when(F.col("title").isNull(), F.struct("id", "archive"))  # null for articles that have a title
-        rows = (rows.groupBy("topic", "keyword", "title", single.alias("_single"))
-                    .agg(F.min(F.struct("_o", "archive")).alias("_w"))
-                    .select("topic", "keyword", "title", "_w.archive"))
-    rows = (rows.withColumn("capture_date", capture_date("archive")).withColumn("host", outlet_host("archive"))
-                .withColumn("original_url", original_url("archive")))
-    return match_outlet(rows, "host").select("topic", "keyword", *ARTICLE_FIELDS)
+        counts = latest.groupBy("topic", "keyword").agg(F.sum("_n").alias("_n"), F.min("_o").alias("_o")).where(F.col("_o").isNotNull())
+        winners = winners.join(_kept(counts, min_count, include_topic), ["topic", "keyword"], "left_semi")
+    place = ["topic", *group, "_o"]
+    urls = slim.select(*place, "archive").distinct()
+    tied = urls.groupBy(*place).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > 1).select(*place)
+    first = Window.partitionBy("keyword", *place).orderBy("archive")
+    rivals = (rows.join(tied, place, "left_semi").withColumn("_r", F.row_number().over(first)).where(F.col("_r") == 1)
+              .select("keyword", *place, F.col("archive").alias("_url")))
+    won = winners.join(rivals, ["keyword", *place], "left")
+    # shuffled, by the slim side: the planner takes an exploded map for small and would broadcast the winners, as many as the result
+    return (won.join(_fields(urls).hint("shuffle_hash"), place).where(F.col("_url").isNull() | (F.col("_url") == F.col("archive")))
+            .select("topic", "keyword", *ARTICLE_FIELDS))
+
+
+def _kept(counts: DataFrame, min_count: int, include_topic: bool) -> DataFrame:
+    """``topic, keyword`` of the relation set from summed mentions ``_n``."""
+    keep = counts.where(F.col("_n") >= min_count)
+    if not include_topic:
+        keep = keep.where(F.col("keyword") != F.col("topic"))
+    return keep.select("topic", "keyword")
 
 
 def ordered_articles(articles: DataFrame) -> DataFrame:

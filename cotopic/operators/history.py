@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cotopic.functions.labels import month_label, month_start, month_tick, numbered_list
-from cotopic.operators.topics import hit_counts, state_rows
+from cotopic.operators.topics import hit_counts, spread_join, state_rows
 from cotopic.schema import MIN_COUNT, TOP_PER_MONTH
 
 
@@ -129,7 +129,7 @@ def relation_history(hits: DataFrame, rel: DataFrame | None = None, min_count: i
         kw = kw.join(rel.select("topic", "keyword"), ["topic", "keyword"], "left_semi")
     else:
         kw = kw.where((F.col("_count") >= min_count) & (F.lit(include_topic) | ~F.col("_own")))
-    filled = (kw.join(own.where(F.col("_lo").isNotNull()), "topic")
+    filled = (spread_join(kw, own.where(F.col("_lo").isNotNull()), "topic", "keyword")
               .select("topic", "keyword", "_m", "_t", F.explode(F.sequence("_lo", "_hi", _one_month())).alias("month")))
     zero = F.lit(0).cast("long")
     return filled.select(

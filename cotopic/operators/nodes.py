@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from cotopic.functions.labels import band_color, node_caption, sentiment_band, wrap_label
 from cotopic.functions.urls import capture_month, capture_stamp
-from cotopic.operators.relations import neighbours, relation_extremes
-from cotopic.operators.topics import state_rows
+from cotopic.operators.relations import neighbours, with_extremes
+from cotopic.operators.topics import spread_join, state_rows
 from cotopic.schema import MIN_COUNT, TOP_NODES
 
 # Quantile levels, and the weights blending all-neighbour with top-N quantiles.
@@ -46,41 +46,21 @@ def selected_quantiles(df: DataFrame, key: str, value: str, accuracy: int = SELE
 
     First pass: a mergeable sketch per key whose ranks are off by at most one in ``accuracy`` gives each level a range of values that must
     hold its two ranks (keys of up to ``4 * accuracy`` values take the whole range: at that size the sketch's slack is below one rank).
-    Second pass: values below a level's range are only counted, values in it are counted one by one, both
-    before the shuffle. What remains per (key, level) are the distinct values of about one in ``accuracy / 5`` of the key's rows,
-    sorted, from which both ranks are read. No window, no job, and no task holds a key's values.
+    Second pass: the exact ``percentile`` of the values moved to the ends of their level's range. That changes no rank inside the
+    range, so the result is exact, and its value->count maps, merged partially on every task, hold the distinct values of about one in
+    ``accuracy / 5`` of the key's rows. No window, no job, and no task holds a key's values; a key's rows meet its
+    ranges in several parts (``spread_join``).
     """
     slack = 2.0 / accuracy
     tails = [min(1.0, max(0.0, q + d)) for q in LEVELS for d in (-slack, slack)]
-    known = df.select(key, F.col(value).cast("double").alias("_v"))  # rows without a value weigh nothing; they keep their key
-    sketch = known.groupBy(key).agg(F.percentile_approx("_v", tails, accuracy).alias("_s"), F.count("_v").alias("_n"))
-    whole = F.col("_n") <= 4 * accuracy
-    ranges = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(q).alias("q"),
-                                F.when(~whole, F.col("_s")[2 * i]).alias("lo"), F.when(~whole, F.col("_s")[2 * i + 1]).alias("hi"))
-                       for i, q in enumerate(LEVELS)])
-    met = known.join(sketch.select(key, "_n", ranges.alias("_r")), key)
-    # a value per level: itself inside the range, null below it
-    per_level = F.filter("_r", lambda r: r["hi"].isNull() | (F.col("_v") <= r["hi"]))
-    cells = (met.select(key, "_n", "_v", F.explode(per_level).alias("_l"))
-             .select(key, "_n", "_l.i", "_l.q", F.col("_v").isNotNull().cast("int").alias("_w"),
-                     F.when(F.col("_l.lo").isNull() | (F.col("_v") >= F.col("_l.lo")), F.col("_v")).alias("_v"))
-             .groupBy(key, "_n", "i", "q", "_v").agg(F.sum("_w").alias("_c")))
-    inside = F.when(F.col("_v").isNotNull(), F.struct(F.col("_v").alias("v"), F.col("_c").alias("c")))
-    level = cells.groupBy(key, "_n", "i", "q").agg(F.sort_array(F.collect_list(inside)).alias("_in"),
-                                                   F.coalesce(F.sum(F.when(F.col("_v").isNull(), F.col("_c"))), F.lit(0)).alias("_below"))
-
-    def at(rank):
-        """The value of a 0-based rank: the first whose running count passes it."""
-        start = F.struct(F.col("_below").alias("n"), F.lit(None).cast("double").alias("v"))
-        return F.aggregate("_in", start, lambda a, x: F.struct(
-            (a["n"] + x["c"]).alias("n"), F.when(a["v"].isNull() & (a["n"] + x["c"] > rank), x["v"]).otherwise(a["v"]).alias("v")))["v"]
-
-    pos = F.col("q") * (F.col("_n") - 1)
-    lo, hi = F.floor(pos), F.ceil(pos)
-    per = level.select(key, "i", pos.alias("_pos"), lo.alias("_lo"), hi.alias("_hi"), at(lo).alias("_a"), at(hi).alias("_b"))
-    q = F.when(F.col("_lo") == F.col("_hi"), F.col("_a")).otherwise(
-        (F.col("_hi") - F.col("_pos")) * F.col("_a") + (F.col("_pos") - F.col("_lo")) * F.col("_b"))
-    return per.groupBy(key).agg(*[F.max(F.when(F.col("i") == i, q)).alias(name) for i, name in enumerate(QNAMES)])
+    values = df.select(key, F.col(value).cast("double").alias("_v"))
+    sketch = values.groupBy(key).agg(F.percentile_approx("_v", tails, accuracy).alias("_s"), F.count("_v").alias("_n"))
+    met = spread_join(values, sketch.select(key, F.when(F.col("_n") > 4 * accuracy, F.col("_s")).alias("_s")), key, "_v")
+
+    def moved(i):  # nulls stay null
+        inside = F.when(F.col("_v") < F.col("_s")[2 * i], F.col("_s")[2 * i]).when(F.col("_v") > F.col("_s")[2 * i + 1], F.col("_s")[2 * i + 1])
+        return inside.otherwise(F.col("_v"))
+    return met.groupBy(key).agg(*[F.percentile(moved(i), q).alias(name) for i, (q, name) in enumerate(zip(LEVELS, QNAMES))])
 
 
 def top_relations(neigh: DataFrame, n: int = TOP_NODES) -> DataFrame:
@@ -138,9 +118,7 @@ def relation_nodes(rel: DataFrame, n: int = TOP_NODES, sep: str = "<br>", approx
         raise ValueError("relation set has no archive extremes: pass hits=, or relations(..., extremes=True)")
     nodes = _ranked_with_quantiles(neighbours(rel), n, approx, quantiles)
     if "first_archive" not in rel.columns:
-        # string extremes of the at most n shown keywords, not of the whole relation set
-        shown = top_relations(neighbours(rel), n).select("topic", "keyword")
-        nodes = nodes.join(relation_extremes(hits, shown), ["topic", "keyword"], "left")
+        nodes = with_extremes(nodes, hits)  # of the at most n shown keywords, not of the whole relation set
     size = F.pow(F.ln(F.col("count") / F.col("min_count")) * SIZE_SCALE, SIZE_POWER) + SIZE_BASE
     band = sentiment_band("sentiment", "q10", "q30", "q70", "q90")
     last_seen = capture_month("last_archive")
@@ -178,8 +156,7 @@ def relation_years(hits: DataFrame, rel: DataFrame | None = None, n: int = TOP_N
         kw = kw.where(F.col("count") >= min_count)
     else:  # the given set decides
         kw = kw.join(rel.select("topic", "keyword"), ["topic", "keyword"], "left_semi")
-    top = top_relations(kw, n)
-    top = top.join(relation_extremes(hits, top.select("topic", "keyword")), ["topic", "keyword"], "left")
+    top = with_extremes(top_relations(kw, n), hits)
     first = capture_stamp("first_archive").substr(1, 4).try_cast("int")
     last = capture_stamp("last_archive").substr(1, 4).try_cast("int")
     bounds = top.select("topic", "keyword", "_ym",

@@ -49,6 +49,17 @@ def relation_extremes(hits: DataFrame, keys: DataFrame) -> DataFrame:
     return merge_states(rows).select("topic", "keyword", *EXTREMES)
 
 
+def with_extremes(kept: DataFrame, hits: DataFrame) -> DataFrame:
+    """``kept`` (one row per ``topic, keyword``, of the relation set of ``hits``) with its archive extremes.
+
+    The exploded hits meet ``kept`` itself, so it is computed once, and the string aggregate sees the rows of these keywords alone.
+    """
+    rows = state_rows(hits).select("topic", "keyword", *EXTREMES).join(kept, ["topic", "keyword"])
+    return rows.groupBy("topic", "keyword").agg(
+        F.min("first_archive").alias("first_archive"), F.max("last_archive").alias("last_archive"),
+        *[F.first(c).alias(c) for c in kept.columns if c not in ("topic", "keyword")])
+
+
 def neighbours(rel: DataFrame) -> DataFrame:
     """The relation set without the topic itself."""
     return rel.where(F.col("keyword") != F.col("topic"))

@@ -17,6 +17,8 @@ from cotopic.schema import MIN_MENTIONS
 Topics = str | Iterable[str] | DataFrame | None
 
 BROADCAST_TOPICS = 100_000  # topics of a table that may be broadcast
+LITERAL_TOPICS = 256
+KEY_PARTS = 16  # parts of one key's rows in a join with one row a key
 
 
 def mentions(news: DataFrame) -> DataFrame:
@@ -35,8 +37,8 @@ def topic_hits(news: DataFrame, topics: Topics, min_mentions: int = MIN_MENTIONS
       list becomes literals in the plan: meant for a handful of topics; pass a DataFrame
       for large topic sets).
     * ``None``: every keyword of an article with enough mentions is a topic (all topics).
-    * DataFrame with a ``topic`` column: up to ``BROADCAST_TOPICS`` topics (counted first) are broadcast and met inside the
-      article's row, so no map is shuffled. Beyond that, slim (article id, topic) rows meet the table in a semi join, each article's
+    * DataFrame with a ``topic`` column: up to ``BROADCAST_TOPICS`` topics (read first; a list up to ``LITERAL_TOPICS``) are broadcast
+      and met inside the article's row, so no map is shuffled. Beyond that, slim (article id, topic) rows meet the table in a semi join, each article's
       topics are gathered again, and the article columns are joined once per article. Every
       topic is looked up in the article's own map, so articles that share an id keep their own.
     """
@@ -46,9 +48,13 @@ def topic_hits(news: DataFrame, topics: Topics, min_mentions: int = MIN_MENTIONS
     if isinstance(topics, DataFrame):
         allowed = topics.select("topic").where(F.col("topic").isNotNull()).distinct()
         enough = F.map_filter("keywords", lambda k, v: v > min_mentions)
-        if allowed.limit(BROADCAST_TOPICS + 1).count() <= BROADCAST_TOPICS:
+        few = [r["topic"] for r in allowed.limit(BROADCAST_TOPICS + 1).collect()]
+        if len(few) <= LITERAL_TOPICS:
+            return topic_hits(news, few, min_mentions)
+        if len(few) <= BROADCAST_TOPICS:
+            met = news.sparkSession.createDataFrame([(t,) for t in few], "topic string")
             return (news.select(*news.columns, F.explode(F.map_keys(enough)).alias("topic"))
-                        .join(F.broadcast(allowed), "topic", "left_semi").select(*news.columns, "topic"))
+                        .join(F.broadcast(met), "topic", "left_semi").select(*news.columns, "topic"))
         wanted = (news.select("id", F.explode(F.map_keys(enough)).alias("topic"))
                       .join(allowed, "topic", "left_semi")
                       .groupBy(F.col("id").alias("_id")).agg(F.collect_set("topic").alias("_topics")))
@@ -108,6 +114,14 @@ def hit_counts(hits: DataFrame, *keys: str) -> DataFrame:
     return own.groupBy("topic", *keys).agg(F.sum("articles").alias("articles"), F.sum("archived").alias("archived"))
 
 
+def spread_join(rows: DataFrame, per_key: DataFrame, key: str, by: str) -> DataFrame:
+    """``rows`` joined with one row per ``key``, dealt by a hash of column ``by`` over ``KEY_PARTS`` parts: a key with a third of all rows is
+    no single task's work, and the join keeps an equality where ``key`` is one constant."""
+    part = F.pmod(F.xxhash64(by), F.lit(KEY_PARTS)).cast("int")
+    copies = per_key.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(KEY_PARTS - 1))))
+    return rows.withColumn("_part", part).join(copies, [key, "_part"]).drop("_part")
+
+
 def corpus_summary(news: DataFrame) -> DataFrame:
     """Number of articles (malformed rows included), first and last month."""
     return news.agg(
