@@ -56,6 +56,7 @@ def give_back() -> None:
 
     import pyarrow as pa
 
+    gc.enable()
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:

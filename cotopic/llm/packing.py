@@ -26,7 +26,7 @@ CAPACITY = 1024
 END_ID = 2
 OPEN_BINS = 1024
 PACKER_PIECES = 250_000
-REMEMBERED = 150_000  # words whose ids a task keeps
+REMEMBERED = 150_000  # words whose ids a task keeps, in each of two generations
 # Fixed value: how byte-level vocabularies of this kind cut a text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -41,7 +41,8 @@ class Ids:
     """Token ids of texts as little-endian 32-bit bytes; the library encodes each distinct word once.
 
     New words that are a blank and letters are encoded as one text: it is cut at just those blanks, and only a word's first
-    token starts with the blank's letter, so the ids fall apart into words again.
+    token starts with the blank's letter, so the ids fall apart into words again. Words are kept in two generations: one met again moves to the
+    younger, and the older goes when that is full.
     """
 
     def __init__(self, path: str):
@@ -58,6 +59,7 @@ class Ids:
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
         self.opens[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def cut(self, text: str) -> list[str]:
         return self.words(text) if self.not_plain(text) else self.plain_words(text)
@@ -76,16 +78,18 @@ class Ids:
             self.known.update(zip(ws, map(data.__getitem__, map(slice, at, [*at[1:], len(data)]))))
 
     def of(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        cut = [None if any(s in t for s in self.special) else self.cut(t) for t in texts]
-        new = set().union(*[ws for ws in cut if ws]).difference(known)
-        self.learn(list(new))
-        get = known.__getitem__
+        if len(self.known) > REMEMBERED:
+            self.old, self.known = self.known, {}
         # special strings are the tokenizer's to find
+        cut = [None if any(s in t for s in self.special) else self.cut(t) for t in texts]
+        ids = [list(map(self.known.get, ws)) if ws else [] for ws in cut]
+        new = {w for ws, found in zip(cut, ids) if None in found for w, x in zip(ws, found) if x is None}
+        again = new & self.old.keys()
+        self.known.update(zip(again, map(self.old.get, again)))
+        self.learn(list(new - again))
+        get = self.known.__getitem__
         return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if ws is None
-                else b"".join(map(get, ws)) for t, ws in zip(texts, cut)]
+                else b"".join(map(get, ws) if None in found else found) for t, ws, found in zip(texts, cut, ids)]
 
 
 _PIECES = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()),
@@ -97,9 +101,11 @@ def pieces(docs: DataFrame, path: str | None, capacity: int, end_id: int) -> Dat
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
+        import gc
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        gc.disable()  # millions of short-lived strings and no cycles; ``giving_back`` collects at the end
         place = path
         if place is None:
             import public_tokenizers
@@ -145,6 +151,10 @@ class OpenBins:
 
     def put(self, size: int) -> tuple[int, int]:
         """``bin, offset`` for a piece of ``size``."""
+        if size == self.capacity:  # a sequence by itself
+            number = self.next
+            self.next += 1
+            return number, 0
         fitting = self.mask >> size
         if fitting:
             free = size + (fitting & -fitting).bit_length() - 1  # the least sufficient free space
