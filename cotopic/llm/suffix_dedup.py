@@ -276,16 +276,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """``doc_id, n_bytes, spans, kept`` for every row: removed byte runs, and the bytes that stay (binary).
 
     Null and empty texts have no bytes. Rows with equal id and text are two documents, so they repeat each other;
-    rows that share an id are told apart by 15 bits of their text's hash. A text is below 2 GB, as Spark has it.
+    rows that share an id, or have none, are told apart by their text. A text is below 2 GB, as Spark has it.
     Extra columns are ignored; an empty table gives no rows.
     """
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    slim = slim.withColumn("tag", F.xxhash64("text").bitwiseAND(F.lit(0x7FFF).cast("long")))
-    runs = repeated_runs(slim, window, max_bytes, bucket_bytes)
+    named = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text"))
+    # inside, a row is known by 64 bits of id and text and 15 more of the text: rows without an id, or of one id, stay apart
+    slim = named.select("_id", F.xxhash64(F.coalesce("_id", F.lit(0)), F.col("_id").isNull(), F.coalesce("text", F.lit(""))).alias("doc_id"),
+                        F.xxhash64("text").bitwiseAND(F.lit(0x7FFF).cast("long")).alias("tag"), "text")
+    runs = repeated_runs(slim.drop("_id"), window, max_bytes, bucket_bytes)
     per_doc = (runs.groupBy(F.col("doc_id").alias("r_id"), F.col("tag").alias("r_tag"))
                    .agg(F.collect_set(F.struct("first", "last")).alias("runs")))
     joined = (slim.join(per_doc.hint("merge"), F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("tag") == F.col("r_tag")), "left")
-                  .select("doc_id", "text", "runs"))
+                  .select(F.col("_id").alias("doc_id"), "text", "runs"))
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()),
                         ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
 

@@ -54,3 +54,23 @@ def test_edges(spark):
     df = spark.createDataFrame([(1, "a" * 500), (1, "a" * 500), (None, "b" * 399), (2, None)], schema)
     got = sorted((r.doc_id or 0, r.n_bytes, len(r.kept)) for r in remove_repeats(df).collect())
     assert got == [(0, 399, 399), (1, 500, 0), (1, 500, 0), (2, 0, 0)]
+
+
+def test_rows_without_an_id_or_of_one_id(spark):
+    """2,000 rows that share their id or have none, most of one text each and some equal, and one over the piece border."""
+    import hashlib
+    from collections import Counter
+    r = random.Random(11)
+    words = ["".join(r.choices("abcdefghij", k=r.randint(2, 9))) for _ in range(2000)]
+    passages = [" ".join(r.choices(words, k=12)) for _ in range(40)]
+    texts = [" ".join([*r.choices(words, k=r.randint(5, 40)), *([r.choice(passages)] if i % 4 == 0 else []), *r.choices(words, k=r.randint(5, 20))])
+             for i in range(1990)]
+    texts += texts[:5] + [None, "", "a b c " * 400]
+    long = " ".join(r.choices(words, k=190_000))  # over 1 MiB
+    at = (1 << 20) - 60
+    texts += [long, long[at:at + 200]]
+    rows = [(None if i % 3 else i % 2, t) for i, t in enumerate(texts)]
+    out = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), window=60)
+    got = Counter((x.doc_id, x.n_bytes, len(x.spans), hashlib.sha256(x.kept).hexdigest()) for x in out.collect())
+    want = Counter((i, n, spans, h) for (i, _), (n, _, spans, h) in zip(rows, repeats(texts, 60)))
+    assert got == want
