@@ -14,7 +14,6 @@ labelled rows; scoring is one scan without a shuffle. The model, at most ``4 * B
 as much for the events, goes with the tasks.
 """
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,10 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cotopic.llm.common import crc32_mod, give_back, per_block, table, text_blocks
+from cotopic.llm.common import crc32_mod, give_back, per_block, table, text_blocks, written
 
 BUCKETS = 1 << 17
-SAMPLE_PER_LANG = 2000  # labelled rows a language is learned from, at most
+SAMPLE_PER_LANG = 2000  # labelled texts a language is learned from, at most
+MAX_LANGS = 256  # languages learned, at most
 STEP = 0.5  # log likelihood ratios are rounded to multiples of it
 BLOCK_CELLS = 1 << 20  # events of documents times languages that are fitted at once, a document at least
 STEPS = 30
@@ -34,10 +34,14 @@ PENALTY = 8.0
 UNKNOWN = "und"
 
 
-@functools.cache
+_LETTERS: list[np.ndarray] = []  # filled on first use; a plain variable, so that tasks need no module of ours
+
+
 def letter_table() -> np.ndarray:
     """Whether a code point below 65536 is a letter."""
-    return np.array([chr(i).isalpha() for i in range(1 << 16)])
+    if not _LETTERS:
+        _LETTERS.append(np.array([chr(i).isalpha() for i in range(1 << 16)]))
+    return _LETTERS[0]
 
 
 def letters(texts: list[str]):
@@ -159,29 +163,43 @@ class Mixture:
         return (best / np.maximum(best.sum(axis=0), 1e-9)).T
 
 
+def _by_lang(docs: DataFrame, tops: dict[str, int]) -> DataFrame:
+    return docs.sparkSession.createDataFrame(list(tops.items()), "lang string, top long")
+
+
 def learn(docs: DataFrame, learn_from=None, text_col: str = "text", lang_col: str = "lang",
           per_lang: int = SAMPLE_PER_LANG) -> Mixture | None:
     """A model from the rows where ``learn_from`` holds and text and language are not null.
 
-    At most ``per_lang`` rows of a language are read, those of least hash; which they are depends on
-    their text and not on the layout. Languages are expected to be few (their count tables go to the driver).
-    None when there is no such row.
+    At most ``per_lang`` distinct texts of a language are read, those of least hash; which they are depends on
+    their text and not on the layout. The ``MAX_LANGS`` languages of most distinct texts are learned (ties: by name), so at most
+    that many counts, and as many tables, go to the driver. None when there is no such row.
+
+    No task sorts a language: its texts are counted first, hashes above a bound that leaves about twice the sample are
+    left out, and only the rest is ranked.
     """
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     if learn_from is not None:
         rows = rows.where(learn_from)
     rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    order = Window.partitionBy("lang").orderBy("h")
-    cut = (rows.select("lang", F.xxhash64("text").alias("h")).withColumn("k", F.row_number().over(order))
-               .where(F.col("k") <= per_lang).groupBy("lang").agg(F.max("h").alias("top")))
-    tops = {r.lang: r.top for r in cut.collect()}
-    if not tops:
+    hashes = written(rows.select("lang", F.xxhash64("text").alias("h")).distinct(), "lang-hashes")
+    sizes = hashes.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
+    if not sizes:
         return None
-    chosen = F.lit(False)
-    for lang, top in tops.items():
-        chosen = chosen | ((F.col("lang") == lang) & (F.xxhash64("text") <= top))
+    tops: dict[str, int] = {}
+    wide, left = 2, {r.lang: r.n for r in sizes}
+    order = Window.partitionBy("lang").orderBy("h")
+    while left:  # a language whose bound left too few is tried again with a wider one
+        bounds = {x: min((1 << 63) - 1, -(1 << 63) + (1 << 64) * wide * per_lang // n) for x, n in left.items()}
+        few = hashes.join(F.broadcast(_by_lang(docs, bounds)), "lang").where(F.col("h") <= F.col("top")).select("lang", "h")
+        cut = (few.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_lang)
+               .groupBy("lang").agg(F.max("h").alias("top"), F.count(F.lit(1)).alias("k")).collect())
+        tops |= {r.lang: r.top for r in cut if r.k >= min(per_lang, left[r.lang])}
+        left = {x: n for x, n in left.items() if x not in tops}
+        wide *= 4
+    rows = rows.join(F.broadcast(_by_lang(docs, tops)), "lang").where(F.xxhash64("text") <= F.col("top")).select("lang", "text")
     schema = pa.schema([("lang", pa.string()), ("bucket", pa.int64()), ("n", pa.int64())])
-    counts = (rows.where(chosen).dropDuplicates().mapInArrow(per_block(_count_block, schema, "lang"), "lang string, bucket long, n long")
+    counts = (rows.dropDuplicates().mapInArrow(per_block(_count_block, schema, "lang"), "lang string, bucket long, n long")
                   .groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow())
     langs = sorted(tops)
     code = {x: i for i, x in enumerate(langs)}

@@ -17,7 +17,6 @@ over its characters, all sentences, in a scan without a shuffle. A document's sc
 calibrated decision of its highest window, seen against its other windows and its length. Learning reads a bounded sample of labelled rows.
 """
 
-import functools
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -42,8 +41,12 @@ ROUNDS = 4
 GAPS = [(a, b, c) for a in range(3, SPAN) for b in range(2, a) for c in range(1, b)]  # distances of a sequence's symbols from its last
 
 
-@functools.cache
+_KINDS: list[np.ndarray] = []  # filled on first use; a plain variable, so that tasks need no module of ours
+
+
 def kinds_table() -> np.ndarray:
+    if _KINDS:
+        return _KINDS[0]
     out = np.full(1 << 16, OTHER, np.uint8)
     out[0] = 0
     for i in range(1 << 16):
@@ -52,6 +55,7 @@ def kinds_table() -> np.ndarray:
             base = unicodedata.normalize("NFD", ch.lower())[0]
             base = {"ß": "s", "ø": "o", "æ": "a", "œ": "o", "ł": "l", "đ": "d", "ı": "i"}.get(base, base)
             out[i] = ord(base) - 96 if "a" <= base <= "z" else 27 + i % 4
+    _KINDS.append(out)
     return out
 
 
