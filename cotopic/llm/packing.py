@@ -32,9 +32,12 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 
 
 # The same cut by the standard library, for texts without the characters in which the two differ: number signs that are no
-# digits, the separators \x1c-\x1f, and whatever is beyond the Latin letters.
-PLAIN_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+"
+# digits, the separators \x1c-\x1f, and whatever is beyond the Latin letters. Classes are spelt out: a listed character is found at once.
+LETTERS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+BLANKS = "\t-\r \u0085\u00a0"
+PLAIN_WORDS = f"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[0-9]+| ?[^{BLANKS}{LETTERS}0-9]+|[{BLANKS}]+(?![^{BLANKS}])|[{BLANKS}]+"
 NOT_PLAIN = r"[\x1c-\x1f\u00b2\u00b3\u00b9\u00bc-\u00be\u0250-\U0010ffff]"
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
 class Ids:
@@ -62,7 +65,8 @@ class Ids:
         self.old: dict[str, bytes] = {}
 
     def cut(self, text: str) -> list[str]:
-        return self.words(text) if self.not_plain(text) else self.plain_words(text)
+        odd = any(c in text for c in SEPARATORS) if text.isascii() else self.not_plain(text)
+        return self.words(text) if odd else self.plain_words(text)
 
     def learn(self, words: list[str]) -> None:
         encode = self.tokenizer.encode_batch_fast
