@@ -39,18 +39,26 @@ def outlet_of(host, outlets: Sequence[str] = OUTLETS) -> Column:
 def match_outlet(df: DataFrame, host: str = "host", outlets: Sequence[str] | DataFrame = OUTLETS) -> DataFrame:
     """Add ``outlet`` to ``df``.
 
-    ``outlets`` may also be a table ``(position, token)`` of any size: every distinct host is exploded to its
-    substrings (a host is short), which meet the tokens in an equality join, and ``min_by(token, position)``
-    keeps the first match.
+    ``outlets`` may also be a table ``(position, token)`` of any size. A token is known by its beginning, as long as the largest power of
+    two in its length; every distinct host is cut into pieces of the few lengths that occur (read first; at most one per
+    doubling), which meet the beginnings in an equality join and are verified. A host of L characters makes L rows a length. ``min_by``
+    keeps the token of the first position.
     """
     if not isinstance(outlets, DataFrame):
         return df.withColumn("outlet", outlet_of(host, outlets))
     hosts = df.select(F.col(host).alias("_h")).where(F.col("_h").isNotNull()).distinct()
-    n = F.length("_h")
-    cuts = F.flatten(F.transform(F.sequence(F.lit(0), n), lambda i: F.transform(
-        F.sequence(i, n), lambda j: F.substring(F.col("_h"), i + 1, j - i))))
-    parts = hosts.select("_h", F.explode(F.array_distinct(cuts)).alias("token"))
-    first = parts.join(outlets, "token").groupBy("_h").agg(F.min_by("token", "position").alias("outlet"))
+    size = F.length("token")
+    lead = F.when(size > 0, F.pow(F.lit(2.0), F.floor(F.log2(size)))).otherwise(0).cast("int")
+    tokens = outlets.select("position", "token", lead.alias("_k"))
+    tokens = tokens.withColumn("_piece", F.col("token").substr(F.lit(1), F.col("_k")))
+    lengths = [r["_k"] for r in tokens.where("_k IS NOT NULL").select("_k").distinct().collect()]
+    places = [F.transform(F.sequence(F.lit(1), F.greatest(F.length("_h") - (k - 1), F.lit(1))),
+                          lambda i, k=k: F.struct(F.lit(k).alias("_k"), i.alias("_at"), F.col("_h").substr(i, F.lit(k)).alias("_piece"))) for k in lengths]
+    if not places:
+        return df.withColumn("outlet", F.lit(NO_OUTLET))
+    cut = hosts.select("_h", F.explode(F.concat(*places)).alias("_c")).select("_h", "_c.*")
+    met = cut.join(tokens, ["_k", "_piece"]).where(F.col("_h").substr(F.col("_at"), F.length("token")) == F.col("token"))
+    first = met.groupBy("_h").agg(F.min_by("token", "position").alias("outlet"))
     return (df.join(first, F.col(host) == F.col("_h"), "left").drop("_h")
               .withColumn("outlet", F.coalesce("outlet", F.lit(NO_OUTLET))))
 
@@ -124,6 +132,12 @@ def _kept(counts: DataFrame, min_count: int, include_topic: bool) -> DataFrame:
     return keep.select("topic", "keyword")
 
 
+def newest_articles(articles: DataFrame, k: int) -> DataFrame:
+    """The ``k`` newest articles of each relation in presentation order, with their ``position`` (a limit per task before the shuffle)."""
+    w = Window.partitionBy("topic", "keyword").orderBy(F.desc_nulls_last("capture_date"), F.desc_nulls_last("archive"))
+    return articles.withColumn("position", F.row_number().over(w)).where(F.col("position") <= k)
+
+
 def ordered_articles(articles: DataFrame) -> DataFrame:
     """Presentation order: newest capture day first, then URL descending (a global sort; use at output)."""
     return articles.orderBy("topic", "keyword", F.desc_nulls_last("capture_date"), F.desc_nulls_last("archive"))

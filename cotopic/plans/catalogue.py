@@ -15,18 +15,21 @@ from pyspark.sql import types as T
 
 from cotopic.operators import (
     OUTLETS, match_outlet, corpus_summary, history_peak, keyword_weights, mentions, monthly_articles, monthly_mentions,
-    monthly_top_keywords, neighbours, outlet_of, recommend, relation_articles, relation_exists,
+    monthly_top_keywords, neighbours, newest_articles, outlet_of, recommend, relation_articles, relation_exists,
     relation_history, relation_months, relation_nodes, relation_sources, relation_summary,
     relation_years, relations, relations_nested, sentiment_quantiles, sentiment_thresholds,
     topic_history, topic_hits, topic_sources, topic_summary, top_relations,
 )
 from cotopic.functions import outlet_host, topic_key
-from cotopic.session import scratch_path
+from cotopic.session import persisted, scratch_path
 from cotopic.sources.fixtures import star_news, table, text_news
 from cotopic.plans.report import relation_detail, topic_search
 from cotopic.sources.layout import read_hits, write_search_layout
-from cotopic.sources.news import read_news, read_relations_json, write_news, write_relations_json
-from cotopic.sources.store import RelationStore
+from cotopic.sources.news import (
+    read_news, read_news_checked, read_relations_json, summary_from_statistics, write_news, write_relations_json,
+)
+from cotopic.sources.records import RecordStore
+from cotopic.sources.store import STORED, RelationStore
 
 # Query parameters.
 STAR_TOPIC = "red gear"
@@ -35,6 +38,9 @@ TEXT_TOPIC = "the"
 HISTORY_MIN_MENTIONS = 40  # so that the star corpus history has gaps at sf 0.01
 SMALL_TOP = 20  # a top-N smaller than the neighbour set, so the cut is exercised
 SEED = 42
+GROWN_MONTH = 199501  # the month from which articles come to the record store later
+NEWEST = 3
+BROKEN = 97  # every so many articles also leave a broken line
 DIGITS = 9  # doubles are reported rounded to this many decimals
 
 
@@ -58,6 +64,18 @@ class Corpus:
     def text(self) -> DataFrame:
         return text_news(self.spark, self.sf_dir)
 
+    @cached_property
+    def records(self) -> RecordStore:
+        """A record store that has grown with the star corpus: its first years and one topic, then the rest and two more topics."""
+        files = scratch_path(self.spark, "growing-news")
+        store = RecordStore(self.spark, scratch_path(self.spark, "record-store"))
+        early = F.coalesce(F.col("timestamp") < GROWN_MONTH, F.lit(False))
+        write_news(self.star.where(early), files, fmt="parquet")
+        store.refresh(files, fmt="parquet", topics=TOPIC_LIST[:1])
+        write_news(self.star.where(~early), files, fmt="parquet")
+        store.refresh(files, fmt="parquet", topics=TOPIC_LIST)
+        return store
+
     def hits(self, min_mentions: int = 4) -> DataFrame:
         return topic_hits(self.star, STAR_TOPIC, min_mentions)
 
@@ -210,7 +228,7 @@ def q_relations_all_topics(c: Corpus) -> DataFrame:
 def q_relation_store_roundtrip(c: Corpus) -> DataFrame:
     store = RelationStore(c.spark, scratch_path(c.spark, "relation-store"))
     store.get_or_compute(c.star, part_topics(c), fingerprint="1")
-    return store.get_or_compute(c.star, part_topics(c), fingerprint="1").select("topic", "keyword", "count")
+    return rounded(store.get_or_compute(c.star, part_topics(c), fingerprint="1").select(*STORED))
 
 
 def q_text_relations(c: Corpus) -> DataFrame:
@@ -297,6 +315,82 @@ def q_search_detail(c: Corpus) -> DataFrame:
     return detail["summary"].join(articles, "keyword").select("keyword", "count", "articles")
 
 
+def q_records_relations(c: Corpus) -> DataFrame:
+    """The stored relation sets, all columns, summed from two batches of files and two of topics."""
+    return rounded(c.records.relations(TOPIC_LIST))
+
+
+def q_records_months(c: Corpus) -> DataFrame:
+    return relation_months(c.records.states(STAR_TOPIC)).select("keyword", "timestamp", "mentions")
+
+
+def q_records_sources(c: Corpus) -> DataFrame:
+    return rounded(relation_sources(c.records.states(STAR_TOPIC)).select("keyword", "source", "articles", "pct"))
+
+
+def q_records_history(c: Corpus) -> DataFrame:
+    return relation_history(c.records.states(STAR_TOPIC)).select("keyword", "month", "articles", "mentions")
+
+
+def q_records_years(c: Corpus) -> DataFrame:
+    return relation_years(c.records.states(STAR_TOPIC)).select("keyword", "year", "mentions")
+
+
+def q_records_topic_history(c: Corpus) -> DataFrame:
+    return topic_history(c.records.states(STAR_TOPIC)).select("month", "articles", "top_label", "month_label")
+
+
+def q_records_nodes(c: Corpus) -> DataFrame:
+    return rounded(relation_nodes(c.records.relations(STAR_TOPIC)).select(
+        "keyword", "count", "size", "band", "color", "label", "caption", "first_seen", "last_seen"))
+
+
+def q_records_articles(c: Corpus) -> DataFrame:
+    """Article lists of one relation from postings: no stored map is read."""
+    one = neighbours(c.records.relations(STAR_TOPIC)).where(F.col("keyword") == TOPIC_LIST[2])
+    return relation_articles(c.records.hits(STAR_TOPIC, [TOPIC_LIST[2]]), one).select(
+        "keyword", "title", "capture_date", "host", "original_url", "outlet", "archive")
+
+
+def q_articles_newest(c: Corpus) -> DataFrame:
+    return newest_articles(relation_articles(c.hits()), NEWEST).select("keyword", F.col("position").cast("long").alias("position"), "archive")
+
+
+def q_relations_all_topics_top(c: Corpus) -> DataFrame:
+    """The commonest neighbours of every topic: a limit a topic, not topics times vocabulary."""
+    return top_relations(neighbours(relations(topic_hits(c.star, None))), NEWEST).select("topic", "keyword", "count")
+
+
+def q_corpus_summary_statistics(c: Corpus) -> DataFrame:
+    """The corpus summary from file statistics; no row is read."""
+    path = scratch_path(c.spark, "statistics")
+    c.star.write.parquet(path)
+    return summary_from_statistics(c.spark, path)
+
+
+def q_read_rejects(c: Corpus) -> DataFrame:
+    """Articles and rejected lines of a directory with broken lines, one month a row."""
+    root = scratch_path(c.spark, "broken-news")
+    write_news(c.star, root)
+    whole = F.to_json(F.struct("id", "timestamp"))
+    broken = c.star.where(F.col("id") % BROKEN == 0).select(whole.alias("_l")).select(F.expr("substr(_l, 1, length(_l) - 1)").alias("value"))
+    broken.write.mode("append").text(f"{root}/status=success")
+    rows, rejects = read_news_checked(c.spark, root, scratch_path(c.spark, "checked-news"))
+    per = rows.groupBy("timestamp").agg(F.count(F.lit(1)).alias("articles"))
+    lost = (rejects.groupBy(F.regexp_extract("line", r'"timestamp":(\d+)', 1).cast("int").alias("_m"))
+            .agg(F.count(F.lit(1)).alias("rejected")))
+    return (per.join(lost, F.col("timestamp") == F.col("_m"), "left")
+            .select("timestamp", "articles", F.coalesce("rejected", F.lit(0)).cast("long").alias("rejected")))
+
+
+def q_relations_scoped(c: Corpus) -> DataFrame:
+    """Two reports of one kept relation set: its size beside each neighbour."""
+    with persisted(c.rel()) as rel:
+        n = rel.count()
+        top = [(r["keyword"], r["count"], n) for r in top_relations(neighbours(rel), SMALL_TOP).collect()]
+    return c.spark.createDataFrame(top, "keyword string, count long, relations long")
+
+
 QUERIES: dict[str, Callable[[Corpus], DataFrame]] = {
     name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)
 }

@@ -6,7 +6,7 @@ computes the report in plain SQL, so it checks the Spark plans end to end.
 
 from __future__ import annotations
 
-from cotopic.plans.catalogue import HISTORY_MIN_MENTIONS, SEED, SMALL_TOP, STAR_TOPIC, TEXT_TOPIC, TOPIC_LIST
+from cotopic.plans.catalogue import BROKEN, HISTORY_MIN_MENTIONS, NEWEST, SEED, SMALL_TOP, STAR_TOPIC, TEXT_TOPIC, TOPIC_LIST
 
 # Fixed values, written out so that a wrong entry in the library shows.
 MONTH_NAMES = ["janeiro", "fevereiro", "março", "abril", "maio", "junho", "julho", "agosto", "setembro", "outubro",
@@ -363,7 +363,8 @@ hits_all AS (
 ),
 rel_all AS (
   SELECT h.topic, x.keyword, CAST(sum(x.n) AS BIGINT) AS count,
-         sum(h.sentiment * x.n) / nullif(sum(CASE WHEN h.sentiment IS NOT NULL THEN x.n END), 0) AS sentiment
+         sum(h.sentiment * x.n) / nullif(sum(CASE WHEN h.sentiment IS NOT NULL THEN x.n END), 0) AS sentiment,
+         count(*) AS articles, min(h.archive) AS first_archive, max(h.archive) AS last_archive
   FROM hits_all h JOIN star_m x ON x.id = h.id
   WHERE x.n IS NOT NULL
   GROUP BY h.topic, x.keyword HAVING sum(x.n) >= 5
@@ -372,7 +373,8 @@ rel_all AS (
 
 ORACLE["relations_all_topics"] = ALL_TOPICS + f"SELECT topic, keyword, count, round(sentiment, {R}) AS sentiment FROM rel_all"
 
-ORACLE["relation_store_roundtrip"] = ALL_TOPICS + "SELECT topic, keyword, count FROM rel_all"
+ORACLE["relation_store_roundtrip"] = ALL_TOPICS + f"""
+SELECT topic, keyword, count, round(sentiment, {R}) AS sentiment, articles, first_archive, last_archive FROM rel_all"""
 
 ORACLE["text_relations"] = ("WITH " + TEXT + "," + hits("thits", "text_m", "text_a", TEXT_TOPIC) + ","
                             + rel("trel", "thits", "text_m")
@@ -450,3 +452,35 @@ FROM rel r JOIN jm USING (keyword) JOIN js USING (keyword)"""
 ORACLE["search_detail"] = STAR_BASE + """
 SELECT x.keyword, CAST(sum(x.n) AS BIGINT) AS count, CAST(count(DISTINCT h.archive) AS BIGINT) AS articles
 FROM hits h JOIN star_m x ON x.id = h.id WHERE x.keyword = 'blue ring' GROUP BY x.keyword HAVING sum(x.n) >= 5"""
+
+
+# --- the record store: the same answers as from the corpus
+
+ORACLE["records_relations"] = ALL_TOPICS + f"""
+SELECT topic, keyword, count, round(sentiment, {R}) AS sentiment, articles, first_archive, last_archive FROM rel_all
+WHERE topic IN ({", ".join(q(t) for t in TOPIC_LIST)})"""
+
+ORACLE["records_months"] = ORACLE["relation_months"]
+ORACLE["records_sources"] = ORACLE["relation_sources"]
+ORACLE["records_history"] = ORACLE["relation_history"]
+ORACLE["records_years"] = ORACLE["relation_years"]
+ORACLE["records_topic_history"] = ORACLE["topic_history_default"]
+ORACLE["records_nodes"] = ORACLE["relation_nodes"]
+ORACLE["records_articles"] = ORACLE["relation_articles"] + f" WHERE keyword = {q(TOPIC_LIST[2])}"
+
+ORACLE["articles_newest"] = "SELECT keyword, position, archive FROM (SELECT keyword, archive, row_number() OVER " \
+    "(PARTITION BY keyword ORDER BY capture_date DESC NULLS LAST, archive DESC NULLS LAST) AS position FROM (\n" \
+    + ORACLE["relation_articles"] + f"\n)) WHERE position <= {NEWEST}"
+
+ORACLE["relations_all_topics_top"] = ALL_TOPICS + f"""
+SELECT topic, keyword, count FROM (
+  SELECT topic, keyword, count, row_number() OVER (PARTITION BY topic ORDER BY count DESC, keyword) AS rnk FROM rel_all WHERE keyword <> topic)
+WHERE rnk <= {NEWEST}"""
+
+ORACLE["corpus_summary_statistics"] = ORACLE["corpus_summary"]
+
+ORACLE["read_rejects"] = "WITH " + STAR + f"""
+SELECT timestamp, count(*) AS articles, CAST(count(*) FILTER (WHERE id % {BROKEN} = 0) AS BIGINT) AS rejected FROM star_a GROUP BY timestamp"""
+
+ORACLE["relations_scoped"] = STAR_BASE + "," + top_n("top", "neigh", SMALL_TOP) + """
+SELECT keyword, count, (SELECT count(*) FROM rel) AS relations FROM top"""

@@ -10,6 +10,7 @@ import os
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -59,9 +60,55 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_SCOPE: ContextVar["ScratchScope | None"] = ContextVar("scratch scope", default=None)
+
+
+class ScratchScope:
+    """The scratch tables written inside a ``scratch_scope``."""
+
+    def __init__(self, outer: "ScratchScope | None"):
+        self.outer, self.paths = outer, []
+
+    def own(self, path: str) -> None:
+        self.paths.append(path)
+
+    def keep(self, prefix: str) -> None:
+        """Leave the tables of this name to the scope around this one (to nobody, where there is none)."""
+        kept = [p for p in self.paths if p.rsplit("/", 1)[-1].startswith(f"{prefix}-")]
+        self.paths = [p for p in self.paths if p not in kept]
+        if self.outer is not None:
+            self.outer.paths += kept
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Drop every scratch table written inside the block when it ends, also after a failure.
+
+    Results that read scratch tables must be used, or written elsewhere, inside the block. Tables are dropped through Spark's file
+    system, so any shared folder will do.
+    """
+    scope = ScratchScope(_SCOPE.get())
+    token = _SCOPE.set(scope)
+    try:
+        yield scope
+    finally:
+        _SCOPE.reset(token)
+        drop_paths(spark, scope.paths)
+
+
+def drop_paths(spark: SparkSession, paths: list[str]) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        place = jvm.org.apache.hadoop.fs.Path(p)
+        place.getFileSystem(conf).delete(place, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unique path below the shared folder for a table written by a job."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    """A new, unique path below the shared folder for a table written by a job; the innermost ``scratch_scope`` owns it."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    if _SCOPE.get() is not None:
+        _SCOPE.get().own(path)
+    return path
 
 
 @contextmanager

@@ -32,7 +32,7 @@ from cotopic.functions.labels import topic_key
 from cotopic.operators.relations import relations
 from cotopic.operators.topics import topic_hits
 from cotopic.schema import MIN_COUNT, MIN_MENTIONS
-from cotopic.session import scratch_path
+from cotopic.session import scratch_path, scratch_scope
 from cotopic.sources.news import materialize
 
 STORED = ["topic", "keyword", "count", "sentiment", "articles", "first_archive", "last_archive"]
@@ -156,11 +156,12 @@ class RelationStore:
         else:
             wanted = self.spark.createDataFrame([(t,) for t in sorted(set(topics))], "topic string")
         missing = wanted.join(self.index(fp).select("topic"), "topic", "left_anti")
-        # the batch's topic set is written once, so the jobs below agree on it
-        todo = materialize(missing, scratch_path(self.spark, "store-todo"))
-        if not todo.isEmpty():
-            # a caller's list stays a list of literals: one narrow pass over the maps
-            asked = todo if isinstance(topics, DataFrame) else [r["topic"] for r in todo.collect()]
-            rel = relations(topic_hits(news, asked, min_mentions), min_count, extremes=True)
-            self.write(rel, todo, fp)
+        with scratch_scope(self.spark):
+            # the batch's topic set is written once, so the jobs below agree on it; the result does not read it
+            todo = materialize(missing, scratch_path(self.spark, "store-todo"))
+            if not todo.isEmpty():
+                # a caller's list stays a list of literals: one narrow pass over the maps
+                asked = todo if isinstance(topics, DataFrame) else [r["topic"] for r in todo.collect()]
+                rel = relations(topic_hits(news, asked, min_mentions), min_count, extremes=True)
+                self.write(rel, todo, fp)
         return self.read(fp, topics)
