@@ -117,8 +117,11 @@ def frequent_grams(words: DataFrame, qmin: int = QMIN, qmax: int = QMAX, grams:
     padded = F.concat(F.lit("^"), "word", F.lit("$"))
     places = words.agg(F.sum(F.length("word") + 1)).first()[0] or 0
     least = max(min_list, -(-places // grams))
-    per_word = [F.transform(F.sequence(F.lit(1), F.length(padded) - (q - 1)), lambda i, q=q: F.substring(padded, i, F.lit(q)))
-                for q in range(qmin, qmax)]
+
+    def of_size(q: int):
+        return F.transform(F.sequence(F.lit(1), F.length(padded) - (q - 1)), lambda i: F.substring(padded, i, F.lit(q)))
+
+    per_word = [of_size(q) for q in range(qmin, qmax)]
     found = (words.select(F.explode(F.concat(*per_word)).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
              .where(F.col("n") > least))
     return {r["gram"]: r["n"] for r in found.collect()}
