@@ -52,8 +52,12 @@ def match_outlet(df: DataFrame, host: str = "host", outlets: Sequence[str] | Dat
     tokens = outlets.select("position", "token", lead.alias("_k"))
     tokens = tokens.withColumn("_piece", F.col("token").substr(F.lit(1), F.col("_k")))
     lengths = [r["_k"] for r in tokens.where("_k IS NOT NULL").select("_k").distinct().collect()]
-    places = [F.transform(F.sequence(F.lit(1), F.greatest(F.length("_h") - (k - 1), F.lit(1))),
-                          lambda i, k=k: F.struct(F.lit(k).alias("_k"), i.alias("_at"), F.col("_h").substr(i, F.lit(k)).alias("_piece"))) for k in lengths]
+
+    def pieces(k: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length("_h") - (k - 1), F.lit(1)))
+        return F.transform(starts, lambda i: F.struct(F.lit(k).alias("_k"), i.alias("_at"), F.col("_h").substr(i, F.lit(k)).alias("_piece")))
+
+    places = [pieces(k) for k in lengths]
     if not places:
         return df.withColumn("outlet", F.lit(NO_OUTLET))
     cut = hosts.select("_h", F.explode(F.concat(*places)).alias("_c")).select("_h", "_c.*")

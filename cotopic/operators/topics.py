@@ -18,7 +18,7 @@ Topics = str | Iterable[str] | DataFrame | None
 
 BROADCAST_TOPICS = 100_000  # topics of a table that may be broadcast
 LITERAL_TOPICS = 256
-KEY_PARTS = 16  # parts of one key's rows in a join with one row a key
+KEY_PARTS = 16  # parts of one key's rows in a join with one row a key (a power of two)
 
 
 def mentions(news: DataFrame) -> DataFrame:
@@ -117,8 +117,8 @@ def hit_counts(hits: DataFrame, *keys: str) -> DataFrame:
 def spread_join(rows: DataFrame, per_key: DataFrame, key: str, by: str) -> DataFrame:
     """``rows`` joined with one row per ``key``, dealt by a hash of column ``by`` over ``KEY_PARTS`` parts: a key with a third of all rows is
     no single task's work, and the join keeps an equality where ``key`` is one constant."""
-    part = F.pmod(F.xxhash64(by), F.lit(KEY_PARTS)).cast("int")
-    copies = per_key.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(KEY_PARTS - 1))))
+    part = F.xxhash64(by).bitwiseAND(F.lit(KEY_PARTS - 1).cast("long"))  # never null: no filter on it is pushed into ``rows``
+    copies = per_key.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(KEY_PARTS - 1)).cast("array<long>")))
     return rows.withColumn("_part", part).join(copies, [key, "_part"]).drop("_part")
 
 

@@ -5,7 +5,7 @@ postings - keyword, mentions, article key - are sorted by keyword, so a topic's
 row groups of other keywords are skipped), and articles are fetched once by key, with the columns a report uses: only a report over
 all neighbours reads keyword maps. Reports on chosen keywords get their counts from the postings of these.
 
-Each mention is stored once more, as 8 bytes of key, a small count and its keyword's code; articles are stored once, whatever the
+Each mention is stored once more, as a difference of keys and a small count; articles are stored once, whatever the
 number of topics they hit. A keyword that a third of all articles have spans many partitions (they are cut by keyword and key).
 """
 
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from cotopic.schema import MIN_MENTIONS, NEWS
 
 POSTINGS_DDL = "keyword string, n int, key long"
+#: Sorted keys are stored as differences, sorted keywords by what they share with the one before.
+POSTINGS_FORMAT = {"compression": "zstd", "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false"}
 ARTICLES_DDL = "key long, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in NEWS.fields)
 
 
@@ -39,7 +41,7 @@ def write_search_layout(news: DataFrame, path: str) -> None:
     spark = news.sparkSession
     keyed_articles(news).write.option("compression", "zstd").parquet(f"{path}/articles")
     articles = spark.read.schema(ARTICLES_DDL).parquet(f"{path}/articles")
-    sorted_postings(articles).write.option("compression", "zstd").parquet(f"{path}/postings")
+    sorted_postings(articles).write.options(**POSTINGS_FORMAT).parquet(f"{path}/postings")
 
 
 def hits_by_key(postings: DataFrame, articles: DataFrame, topic: str, min_mentions: int = MIN_MENTIONS,

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from cotopic.operators.topics import EXTREMES, STATES, merge_states, state_rows, topic_hits
 from cotopic.operators.relations import relations
 from cotopic.schema import MIN_COUNT, MIN_MENTIONS
-from cotopic.sources.layout import ARTICLES_DDL, POSTINGS_DDL, hits_by_key, keyed_articles, sorted_postings
+from cotopic.sources.layout import ARTICLES_DDL, POSTINGS_DDL, POSTINGS_FORMAT, hits_by_key, keyed_articles, sorted_postings
 from cotopic.sources.news import read_news
 
 _SUMS = "n long, tone_sum double, tone_n long, articles long, archived long, first_archive string, last_archive string"
@@ -96,7 +96,8 @@ class RecordStore:
             raise Conflict(f"commit {version} was taken by another writer")
 
     def _write(self, df: DataFrame, table: str, batch: str) -> None:
-        df.write.option("compression", "zstd").parquet(f"{self.root}/{table}/batch={batch}")
+        options = POSTINGS_FORMAT if table == "postings" else {"compression": "zstd"}
+        df.write.options(**options).parquet(f"{self.root}/{table}/batch={batch}")
 
     def read(self, table: str, batches: list[str] | None = None) -> DataFrame:
         """The committed rows of a table, with their ``batch``."""

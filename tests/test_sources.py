@@ -54,3 +54,53 @@ def test_search_layout_gives_the_hits_of_a_topic(spark, hand):
     assert "keywords:map" not in few._jdf.queryExecution().executedPlan().toString()
     write_search_layout(hand.limit(0), path + "-empty")
     assert read_hits(spark, path + "-empty", "q").count() == 0
+
+
+def test_every_line_is_an_article_or_a_reject(spark, hand, tmp_path):
+    from cotopic.sources.news import read_news_checked
+    root = str(tmp_path / "news")
+    write_news(hand, root)
+    bad = ['{"timestamp": 201501, "id": 1', "no json", '{"timestamp": "many", "id": 9}', "[1]", "7"]
+    spark.createDataFrame([(x,) for x in [*bad, "", "   ", "{}"]], "value string").coalesce(1).write.mode("append").text(root + "/status=success")
+    spark.createDataFrame([("broken too",)], "value string").coalesce(1).write.mode("append").text(root + "/status=failed")
+    rows, rejects = read_news_checked(spark, root, str(tmp_path / "out"))
+    assert sorted(r.line for r in rejects.collect()) == sorted(bad)
+    assert all("status=success" in r.file for r in rejects.collect())
+    as_text = lambda df: sorted(map(str, df.select(*hand.columns).collect()))
+    assert as_text(rows.where("id is not null")) == as_text(hand) and rows.count() == hand.count() + 1  # {} has no field, but is an object
+    assert read_news_checked(spark, root, str(tmp_path / "all"), status=None)[1].count() == len(bad) + 1
+
+
+def test_summary_reads_no_row(spark, hand, tmp_path):
+    from cotopic.operators import corpus_summary
+    from cotopic.sources.news import summary_from_statistics
+    path = str(tmp_path / "corpus")
+    hand.repartition(3).write.parquet(path)
+    df = summary_from_statistics(spark, path)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PushedAggregation: [COUNT(*), MIN(timestamp), MAX(timestamp)]" in plan
+    assert df.collect() == corpus_summary(hand).collect()
+    assert spark.conf.get("spark.sql.parquet.aggregatePushdown") == "false"  # the caller's session keeps its settings
+
+
+def test_layout_is_within_twice_the_corpus(spark, tmp_path):
+    """On the text corpus, all postings included; a search reads a part of the postings."""
+    import glob
+    import os
+
+    import pyarrow.parquet as pq
+
+    from cotopic.sources.fixtures import text_news
+    news = text_news(spark, "/root/testdata/sf0.01")
+    news.write.option("compression", "zstd").parquet(str(tmp_path / "corpus"))
+    write_search_layout(spark.read.parquet(str(tmp_path / "corpus")), str(tmp_path / "layout"))
+    size = lambda p: sum(os.path.getsize(f) for f in glob.glob(f"{tmp_path}/{p}/**/*.parquet", recursive=True))
+    assert size("layout") <= 2 * size("corpus")
+    read = whole = 0
+    for f in glob.glob(f"{tmp_path}/layout/postings/*.parquet"):
+        meta = pq.ParquetFile(f).metadata
+        for g in range(meta.num_row_groups):
+            stats = meta.row_group(g).column(0).statistics
+            whole += meta.row_group(g).total_byte_size
+            read += meta.row_group(g).total_byte_size if stats is not None and stats.min <= "the" <= stats.max else 0
+    assert 0 < read < whole
