@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cotopic.llm import langid, linedup, mixing, packing, simhash
 from cotopic.llm.common import table, written
+from cotopic.session import scratch_scope
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 MIX_REPEATS = 1.25  # a pass and a quarter of the rarest source for one of the commonest
@@ -57,8 +58,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``. Only the last stage's rows stay in the shared folder."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    with scratch_scope(spark) as stages:
+        for name, stage in STAGES:
+            with scratch_scope(spark) as inside:
+                docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+                inside.keep(f"pipeline-{name}")
+        stages.keep(f"pipeline-{STAGES[-1][0]}")
     return docs
