@@ -23,7 +23,7 @@ from cotopic.operators import (
 from cotopic.functions import outlet_host, topic_key
 from cotopic.session import persisted, scratch_path
 from cotopic.sources.fixtures import star_news, table, text_news
-from cotopic.plans.report import relation_detail, topic_search
+from cotopic.plans.report import relation_detail, stored_detail, topic_search
 from cotopic.sources.layout import read_hits, write_search_layout
 from cotopic.sources.news import (
     read_news, read_news_checked, read_relations_json, summary_from_statistics, write_news, write_relations_json,
@@ -352,6 +352,13 @@ def q_records_articles(c: Corpus) -> DataFrame:
         "keyword", "title", "capture_date", "host", "original_url", "outlet", "archive")
 
 
+def q_records_detail(c: Corpus) -> DataFrame:
+    """The follow-up of one relation from the record store; the same answer as ``search_detail``."""
+    detail = stored_detail(c.records, STAR_TOPIC, f" {TOPIC_LIST[2]} ")
+    articles = detail["articles"].groupBy("keyword").agg(F.countDistinct("archive").alias("articles"))
+    return detail["summary"].join(articles, "keyword").select("keyword", "count", "articles")
+
+
 def q_articles_newest(c: Corpus) -> DataFrame:
     return newest_articles(relation_articles(c.hits()), NEWEST).select("keyword", F.col("position").cast("long").alias("position"), "archive")
 

@@ -460,6 +460,7 @@ ORACLE["records_relations"] = ALL_TOPICS + f"""
 SELECT topic, keyword, count, round(sentiment, {R}) AS sentiment, articles, first_archive, last_archive FROM rel_all
 WHERE topic IN ({", ".join(q(t) for t in TOPIC_LIST)})"""
 
+ORACLE["records_detail"] = ORACLE["search_detail"]
 ORACLE["records_months"] = ORACLE["relation_months"]
 ORACLE["records_sources"] = ORACLE["relation_sources"]
 ORACLE["records_history"] = ORACLE["relation_history"]

@@ -21,6 +21,7 @@ from cotopic.operators import (
 from cotopic.schema import MIN_COUNT, MIN_MENTIONS, TOP_NODES
 from cotopic.session import scratch_path
 from cotopic.sources.news import materialize
+from cotopic.sources.records import RecordStore
 
 
 def topic_search(news: DataFrame, topic, min_mentions: int = MIN_MENTIONS, min_count: int = MIN_COUNT,
@@ -41,6 +42,39 @@ def topic_search(news: DataFrame, topic, min_mentions: int = MIN_MENTIONS, min_c
     }
 
 
+def stored_search(store: RecordStore, topic, min_count: int = MIN_COUNT, n: int = TOP_NODES) -> dict[str, DataFrame]:
+    """The reports of ``topic_search`` for stored topics, from the record store's states: the corpus is not read.
+
+    A topic that is not stored has no rows; ``store.add_topics`` adds it, ``store.refresh`` brings in new files.
+    """
+    states, rel = store.states(topic), store.relations(topic, min_count)
+    return {
+        "summary": topic_summary(states),
+        "sources": topic_sources(states),
+        "history": topic_history(states),
+        "relations": rel,
+        "nodes": relation_nodes(rel, n),
+        "years": relation_years(states, rel, n, min_count),
+        "weights": keyword_weights(rel),
+    }
+
+
+def stored_detail(store: RecordStore, topic: str, keyword: str, min_count: int = MIN_COUNT, suggestions: int = 5) -> dict[str, DataFrame]:
+    """``relation_detail`` from the record store. Counts, history and outlets read the rows of this relation and the topic's own;
+    the article list reads the postings of both keywords and the articles they name, and no keyword map."""
+    keyword = keyword.strip()
+    rel = store.relations(topic, min_count)
+    one = neighbours(rel).where(F.col("keyword") == keyword)
+    states = store.states(topic, [keyword])
+    return {
+        "summary": relation_summary(rel, [keyword]),
+        "history": relation_history(states, one),
+        "sources": relation_sources(states, one),
+        "articles": relation_articles(store.hits(topic, [keyword]), one),
+        "suggestions": recommend(rel, suggestions),
+    }
+
+
 def relation_detail(search: dict[str, DataFrame], keyword: str, suggestions: int = 5) -> dict[str, DataFrame]:
     """Follow-up for one related keyword: exists?, summary, history, outlets, articles,
     and suggestions (meant for when it does not exist)."""

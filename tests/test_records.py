@@ -154,3 +154,16 @@ def test_random_batches_fold_to_the_full_run(spark):
     assert rows(store.relations()) == rows(relations(hits, extremes=True))
     assert rows(relation_sources(store.states())) == rows(relation_sources(hits))
     assert rows(topic_history(store.states())) == rows(topic_history(hits))
+
+
+def test_a_stored_search_equals_a_fresh_one(spark, hand, months):
+    from cotopic.plans.report import relation_detail, stored_detail, stored_search, topic_search
+    root, store = months
+    store.refresh(root, topics=["q"])
+    fresh, stored = topic_search(hand, "q"), stored_search(store, "q")
+    for name in ("summary", "sources", "history", "nodes", "years", "weights"):
+        assert rows(stored[name]) == rows(fresh[name]), name
+    a, b = relation_detail(fresh, "a"), stored_detail(store, "q", " a ")
+    for name in ("summary", "history", "sources", "articles", "suggestions"):
+        assert rows(b[name].drop("pick")) == rows(a[name].drop("pick")), name
+    assert all(df.count() == 0 for df in stored_search(store, "nowhere").values())
