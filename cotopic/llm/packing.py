@@ -70,10 +70,11 @@ class Ids:
 
     def learn(self, words: list[str]) -> None:
         encode = self.tokenizer.encode_batch_fast
-        apart = [w for w in words if not (w[0] == " " and w[1:].isalpha())]
+        apart, joint = [], []
+        for w in words:
+            (joint if w[0] == " " and w[1:].isalpha() else apart).append(w)
         for w, e in zip(apart, encode(apart, add_special_tokens=False)):
             self.known[w] = np.array(e.ids, "<u4").tobytes()
-        joint = [w for w in words if w[0] == " " and w[1:].isalpha()]
         texts = [joint[a:a + 256] for a in range(0, len(joint), 256)]
         for ws, e in zip(texts, encode(["".join(ws) for ws in texts], add_special_tokens=False)):
             ids = np.array(e.ids, "<u4")
@@ -86,14 +87,13 @@ class Ids:
             self.old, self.known = self.known, {}
         # special strings are the tokenizer's to find
         cut = [None if any(s in t for s in self.special) else self.cut(t) for t in texts]
-        ids = [list(map(self.known.get, ws)) if ws else [] for ws in cut]
-        new = {w for ws, found in zip(cut, ids) if None in found for w, x in zip(ws, found) if x is None}
+        new = set().union(*[ws for ws in cut if ws]).difference(self.known)
         again = new & self.old.keys()
         self.known.update(zip(again, map(self.old.get, again)))
         self.learn(list(new - again))
         get = self.known.__getitem__
         return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if ws is None
-                else b"".join(map(get, ws) if None in found else found) for t, ws, found in zip(texts, cut, ids)]
+                else b"".join(map(get, ws)) for t, ws in zip(texts, cut)]
 
 
 _PIECES = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()),
