@@ -30,12 +30,13 @@ from pyspark.sql import functions as F
 
 from cotopic.functions.labels import topic_key
 from cotopic.operators.relations import relations
-from cotopic.operators.topics import topic_hits
+from cotopic.operators.topics import EXTREMES, topic_hits
 from cotopic.schema import MIN_COUNT, MIN_MENTIONS
 from cotopic.session import scratch_path, scratch_scope
 from cotopic.sources.news import materialize
 
 STORED = ["topic", "keyword", "count", "sentiment", "articles", "first_archive", "last_archive"]
+NUMBERED_ROWS = 250_000  # articles of one range when their URLs are put in order
 
 
 def corpus_fingerprint(news: DataFrame, min_mentions: int = MIN_MENTIONS, min_count: int = MIN_COUNT) -> str:
@@ -63,6 +64,29 @@ def files_fingerprint(news: DataFrame, min_mentions: int = MIN_MENTIONS, min_cou
     return hashlib.sha256(json.dumps([str(r["n"]), str(r["h"]), version, min_mentions, min_count]).encode()).hexdigest()[:16]
 
 
+def number_urls(news: DataFrame, path: str, rows: int = NUMBERED_ROWS) -> DataFrame:
+    """``news``, kept below ``path``, with ``_at``: a number per row in order of ``archive`` (null: null).
+
+    Extremes of numbers are summed up by hash, those of strings only after a sort of every exploded mention. Each article is sorted
+    once instead, in ranges of about ``rows`` articles, however many there are; rows without an URL or of one URL are spread by hash.
+    """
+    kept = materialize(news, f"{path}/news")
+    ranges = max(int(news.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-kept.count() // rows))
+    spread = F.xxhash64("id", "timestamp", "source")
+    ordered = kept.repartitionByRange(ranges, F.col("archive"), spread).sortWithinPartitions("archive")
+    number = F.when(F.col("archive").isNotNull(), F.monotonically_increasing_id())
+    return materialize(ordered.withColumn("_at", number), f"{path}/numbered")
+
+
+def urls_of_numbers(rel: DataFrame, numbered: DataFrame) -> DataFrame:
+    """``rel`` with the numbers in its ``EXTREMES`` replaced by the URLs they stand for. ``rel`` is read several times."""
+    wanted = rel.select(F.explode(F.array(*EXTREMES)).alias("_at")).where(F.col("_at").isNotNull()).distinct()
+    urls = numbered.select("_at", "archive").join(wanted, "_at", "left_semi")
+    for c in EXTREMES:
+        rel = rel.withColumnRenamed(c, f"_{c}").join(urls.select(F.col("_at").alias(f"_{c}"), F.col("archive").alias(c)), f"_{c}", "left").drop(f"_{c}")
+    return rel
+
+
 class RelationStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -162,6 +186,11 @@ class RelationStore:
             if not todo.isEmpty():
                 # a caller's list stays a list of literals: one narrow pass over the maps
                 asked = todo if isinstance(topics, DataFrame) else [r["topic"] for r in todo.collect()]
-                rel = relations(topic_hits(news, asked, min_mentions), min_count, extremes=True)
-                self.write(rel, todo, fp)
+                met = news
+                if not isinstance(asked, DataFrame):  # the hits alone are put in order
+                    met = news.where(F.size(F.map_filter("keywords", lambda k, v: (v > min_mentions) & k.isin(asked))) > 0)
+                numbered = number_urls(met, scratch_path(self.spark, "store-news"))
+                hits = topic_hits(numbered.withColumn("archive", F.col("_at")), asked, min_mentions)
+                rel = materialize(relations(hits, min_count, extremes=True), scratch_path(self.spark, "store-relations"))
+                self.write(urls_of_numbers(rel, numbered), todo, fp)
         return self.read(fp, topics)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from cotopic.operators import relations, topic_hits
 from cotopic.session import scratch_path
+from cotopic.sources import store as store_module
 from cotopic.sources.store import RelationStore, corpus_fingerprint
 
 
@@ -87,3 +88,32 @@ def test_listed_topics_are_read_with_partition_pruning(spark, hand):
     assert "PartitionFilters: [" in plan and "key_prefix" in plan and "fp" in plan
     assert "PushedFilters: [" in plan and "topic_key" in plan
     assert rows(df) == rows(relations(topic_hits(hand, "q")))
+
+
+def test_extremes_of_a_batch_need_no_sort_of_mentions(spark, hand, monkeypatch):
+    """URLs are compared as numbers, by hash; null, equal and odd URLs come back as the strings they were."""
+    plans = []
+
+    def seen(*args, **kwargs):
+        out = relations(*args, **kwargs)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+    odd = hand.withColumn("archive", F.when(F.col("id") == 4, F.lit("")).when(F.col("id") == 5, F.lit("\u00e9\U0001f600")).otherwise(F.col("archive")))
+    news = hand.unionByName(odd).unionByName(hand.limit(2)).withColumn("id", F.when(F.col("id") != 2, F.col("id")))
+    want = relations(topic_hits(news, None), extremes=True)
+    monkeypatch.setattr(store_module, "relations", seen)
+    got = RelationStore(spark, scratch_path(spark, "store")).get_or_compute(news, every_topic(hand), fingerprint="1")
+
+    def whole(df):
+        return sorted(((r.topic, r.keyword, r["count"], r.sentiment if r.sentiment is None else round(r.sentiment, 9), r.articles,
+                        r.first_archive, r.last_archive) for r in df.collect()), key=str)
+    assert whole(got) == whole(want)
+    assert plans and all("HashAggregate" in p and "SortAggregate" not in p for p in plans)
+
+
+def test_numbers_follow_the_order_of_urls(spark, hand):
+    path = scratch_path(spark, "numbers")
+    rows = store_module.number_urls(hand.unionByName(hand), path, rows=2).orderBy("_at").collect()
+    known = [r.archive for r in rows if r["_at"] is not None]
+    assert len(rows) == 14 and known == sorted(known) and len(known) == 12
+    assert all(r.archive is None for r in rows if r["_at"] is None)
