@@ -76,6 +76,16 @@ def test_ties_of_title_and_capture(spark):
     assert "SortAggregate" not in plan
 
 
+def test_mentions_of_an_article_list_are_shuffled_twice(spark, hand):
+    """Once by keyword, for de-duplication and count cut together, once as slim winners to their articles."""
+    hits = topic_hits(hand, "q")
+    listed = relation_articles(hits)
+    listed.collect()
+    plan = listed._jdf.queryExecution().executedPlan().toString()
+    dealt = [x for x in plan.split("== Initial Plan ==")[0].splitlines() if "Exchange hashpartitioning(" in x and "Reused" not in x]
+    assert len(dealt) <= 5 and sum("REPARTITION_BY_COL" in x for x in dealt) == 1 and "Reused" in plan  # mentions, counts, cut, winners, articles
+
+
 def test_presentation_order(spark, hand):
     hits = topic_hits(hand, "q")
     listed = [(r.keyword, r.capture_date, r.archive) for r in ordered_articles(relation_articles(hits)).collect()]
