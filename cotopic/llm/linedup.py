@@ -15,12 +15,13 @@ Texts are shuffled once, by id, to lose their lines.
 import uuid
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import ArrowUDFType
 
-from cotopic.llm.common import per_block, table, written
+from cotopic.llm.common import BLOCK_ROWS, giving_back, per_block, table, written
 
 MIN_CHARS = 10
 BATCHES = 4
@@ -141,6 +142,25 @@ def _lost(keys: DataFrame, cuts: list, runs: Runs) -> DataFrame:
     return out
 
 
+def _digests(lost: pa.ListArray):
+    """The lines a row loses as a set of digests, row by row; no object is made of a hash but its 16 bytes."""
+    flat = lost.flatten()
+    data = np.stack([flat.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in (0, 1)], axis=1).tobytes()
+    at = 0
+    for n in pc.fill_null(pc.list_value_length(lost), 0).to_pylist():
+        yield {data[k:k + 16] for k in range(16 * at, 16 * (at + n), 16)}
+        at += n
+
+
+def _stay(text: str | None, gone: set[bytes], min_chars: int):
+    """``kept, n_lines, n_dropped`` of a text."""
+    lines = (text or "").split("\n")
+    if not gone:
+        return {"kept": text, "n_lines": len(lines), "n_dropped": 0}
+    stay = [x for x, k in zip(lines, line_keys(text, min_chars)) if k is None or k not in gone]
+    return {"kept": "\n".join(stay), "n_lines": len(lines), "n_dropped": len(lines) - len(stay)}
+
+
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS,
                         batches: int = BATCHES) -> DataFrame:
     """``docs`` with the text reduced to the lines that stay, and ``n_lines``, ``n_dropped`` beside it.
@@ -157,22 +177,17 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             .agg(F.collect_set(F.struct("h1", "h2")).alias("_lost")))
     joined = docs.join(lost.hint("merge"), F.col(id_col).cast("long") == F.col("_row"), "left")
 
-    def keep(text: pd.Series, lost: pd.Series) -> pd.DataFrame:
-        kept, n_lines, n_dropped = [], [], []
-        for t, gone in zip(text, lost):
-            lines = (t or "").split("\n")
-            n_lines.append(len(lines))
-            if gone is None or not len(gone):
-                kept.append(t)
-                n_dropped.append(0)
-                continue
-            gone = {np.array([g["h1"], g["h2"]], np.int64).tobytes() for g in gone}
-            stay = [x for x, k in zip(lines, line_keys(t, min_chars)) if k is None or k not in gone]
-            kept.append("\n".join(stay))
-            n_dropped.append(len(lines) - len(stay))
-        return pd.DataFrame({"kept": kept, "n_lines": n_lines, "n_dropped": n_dropped})
-
-    udf = F.pandas_udf(keep, "kept string, n_lines long, n_dropped long")
+    kind = pa.struct([("kept", pa.string()), ("n_lines", pa.int64()), ("n_dropped", pa.int64())])
+
+    def keep(batches):
+        for text, lost in batches:
+            done = [pa.array([], kind)]
+            for a in range(0, len(text), BLOCK_ROWS):  # a few texts and their hashes at once become Python values
+                done.append(pa.array([_stay(t, gone, min_chars) for t, gone in zip(text.slice(a, BLOCK_ROWS).to_pylist(),
+                                                                                  _digests(lost.slice(a, BLOCK_ROWS)))], kind))
+            yield pa.concat_arrays(done)
+
+    udf = F.arrow_udf(giving_back(keep), "kept string, n_lines long, n_dropped long", ArrowUDFType.SCALAR_ITER)
     out = joined.withColumn("_k", udf(text, F.col("_lost")))
     return out.select(*[F.col("_k.kept").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns],
                       "_k.n_lines", "_k.n_dropped")
