@@ -89,7 +89,7 @@ def relation_articles(hits: DataFrame, rel: DataFrame | None = None, dedup: bool
     Without ``rel`` the relation set (count cut) comes from the same aggregate; the topic's own articles are left out unless
     ``include_topic``. With ``rel`` only its (topic, keyword) pairs are kept.
 
-    De-duplication compares numbers. The hits are written once in order of title hash (80 bits), latest capture and URL, and numbered in that
+    De-duplication compares numbers. Without ``rel`` the hits are written once in order of title hash (80 bits), latest capture and URL, and numbered in that
     order, so of one title the article of least number wins, ties of a second included. Exploded mentions - keyword, title hash, number - are
     shuffled twice: by keyword, a keyword's mentions dealt over ``KEY_PARTS`` parts, which serves aggregate and count cut alike, and the
     winners, then keyword and number alone, to their articles, whose fields are made once an article.
@@ -103,6 +103,11 @@ def relation_articles(hits: DataFrame, rel: DataFrame | None = None, dedup: bool
             keep = rel.select("topic", "keyword")
         return rows.join(keep, ["topic", "keyword"], "left_semi").select("topic", "keyword", *ARTICLE_FIELDS)
 
+    return _latest_articles(hits, min_count, include_topic) if rel is None else _given_articles(hits, rel)
+
+
+def _latest_articles(hits: DataFrame, min_count: int, include_topic: bool) -> DataFrame:
+    """The de-duplicated list of every relation: the hits are written once, numbered in order."""
     title, order = article_title("archive"), F.coalesce(-capture_order("archive"), F.lit(2**63 - 1))
     # an article without a title is a group of its own
     named = [F.when(title.isNotNull(), F.xxhash64(F.lit(seed), title)).otherwise(F.xxhash64(F.lit(seed + 2), "id", "archive")) for seed in (1, 2)]
@@ -112,24 +117,43 @@ def relation_articles(hits: DataFrame, rel: DataFrame | None = None, dedup: bool
     ordered = slim.repartitionByRange(*place).sortWithinPartitions(*place).withColumn("_a", F.monotonically_increasing_id())
     numbered = written(ordered.select("topic", "keywords", "archive", *group, "_a"), "numbered-articles")
     rows = numbered.select("topic", *group, "_a", F.explode("keywords").alias("keyword", "n")).where(F.col("n").isNotNull())
-    if rel is not None:
-        rows = rows.join(rel.select("topic", "keyword"), ["topic", "keyword"], "left_semi")
-        winners = rows.groupBy("topic", "keyword", *group).agg(F.min("_a").alias("_a"))
-    else:
-        if not include_topic:
-            rows = rows.where(F.col("keyword") != F.col("topic"))
-        part = F.xxhash64("_t1").bitwiseAND(F.lit(KEY_PARTS - 1).cast("long"))  # never null: no filter on it is pushed into one use alone
-        dealt = rows.withColumn("_part", part).repartition("topic", "keyword", "_part")
-        # both uses of this aggregate keep all its columns, so that Spark computes it once
-        latest = dealt.groupBy("topic", "keyword", "_part", *group).agg(F.min("_a").alias("_a"), F.sum("n").alias("_n"))
-        counts = latest.groupBy("topic", "keyword").agg(F.sum("_n").alias("_n"), F.min("_a").alias("_a")).where(F.col("_a").isNotNull())
-        keep = _kept(counts, min_count, include_topic).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(KEY_PARTS - 1)).cast("array<long>")))
-        winners = latest.where(F.col("_n").isNotNull()).join(keep.hint("shuffle_hash"), ["topic", "keyword", "_part"], "left_semi")
+    if not include_topic:
+        rows = rows.where(F.col("keyword") != F.col("topic"))
+    part = F.xxhash64("_t1").bitwiseAND(F.lit(KEY_PARTS - 1).cast("long"))  # never null: no filter on it is pushed into one use alone
+    dealt = rows.withColumn("_part", part).repartition("topic", "keyword", "_part")
+    # both uses of this aggregate keep all its columns, so that Spark computes it once
+    latest = dealt.groupBy("topic", "keyword", "_part", *group).agg(F.min("_a").alias("_a"), F.sum("n").alias("_n"))
+    counts = latest.groupBy("topic", "keyword").agg(F.sum("_n").alias("_n"), F.min("_a").alias("_a")).where(F.col("_a").isNotNull())
+    keep = _kept(counts, min_count, include_topic).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(KEY_PARTS - 1)).cast("array<long>")))
+    winners = latest.where(F.col("_n").isNotNull()).join(keep.hint("shuffle_hash"), ["topic", "keyword", "_part"], "left_semi")
     # shuffled, by the slim side: the planner takes an exploded map for small and would broadcast the winners, as many as the result
     urls = _fields(numbered.select("topic", "archive", "_a")).hint("shuffle_hash")
     return winners.select("keyword", "_a").join(urls, "_a").select("topic", "keyword", *ARTICLE_FIELDS)
 
 
+def _given_articles(hits: DataFrame, rel: DataFrame) -> DataFrame:
+    """The de-duplicated list of given relations, mostly few: nothing is written."""
+    title, order = article_title("archive"), F.coalesce(-capture_order("archive"), F.lit(2**63 - 1))
+    # an article without a title is a group of its own
+    named = [F.when(title.isNotNull(), F.xxhash64(F.lit(seed), title)).otherwise(F.xxhash64(F.lit(seed + 2), "id", "archive")).alias(f"_t{seed}")
+             for seed in (1, 2)]
+    group = ["_t1", "_t2"]
+    slim = hits.select("topic", "keywords", "archive", order.alias("_o"), *named)
+    rows = slim.select("topic", "_o", *group, "archive", F.explode("keywords").alias("keyword", "n")).where(F.col("n").isNotNull())
+    rows = rows.join(rel.select("topic", "keyword"), ["topic", "keyword"], "left_semi")
+    winners = rows.groupBy("topic", "keyword", *group).agg(F.min("_o").alias("_o"))
+    place = ["topic", *group, "_o"]
+    urls = slim.select(*place, "archive").distinct()
+    tied = urls.groupBy(*place).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > 1).select(*place)
+    first = Window.partitionBy("keyword", *place).orderBy("archive")
+    rivals = (rows.join(tied, place, "left_semi").withColumn("_r", F.row_number().over(first)).where(F.col("_r") == 1)
+              .select("keyword", *place, F.col("archive").alias("_url")))
+    won = winners.join(rivals, ["keyword", *place], "left")
+    # shuffled, by the slim side: the planner takes an exploded map for small and would broadcast the winners, as many as the result
+    return (won.join(_fields(urls).hint("shuffle_hash"), place).where(F.col("_url").isNull() | (F.col("_url") == F.col("archive")))
+            .select("topic", "keyword", *ARTICLE_FIELDS))
+
+
 def _kept(counts: DataFrame, min_count: int, include_topic: bool) -> DataFrame:
     """``topic, keyword`` of the relation set from summed mentions ``_n``."""
     keep = counts.where(F.col("_n") >= min_count)
