@@ -12,7 +12,9 @@ Each packer gets about ``PACKER_PIECES`` pieces, in an order fixed by hash, so a
 
 from __future__ import annotations
 
+import struct
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cotopic.llm.common import giving_back, per_block, table
+from cotopic.llm.tokens import byte_letters
 
 VOCABULARY = "byte_bpe_50k.json"
 CAPACITY = 1024
@@ -40,60 +43,68 @@ NOT_PLAIN = r"[\x1c-\x1f\u00b2\u00b3\u00b9\u00bc-\u00be\u0250-\U0010ffff]"
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
+class Words(dict):
+    """Token ids of words as little-endian 32-bit bytes; a word not met before is looked up in ``old``, then encoded."""
+
+    def __init__(self, encode: Callable[[str], bytes], old: dict[str, bytes]):
+        self.encode, self.old = encode, old
+
+    def __missing__(self, word: str) -> bytes:
+        self[word] = data = self.old.get(word) or self.encode(word)
+        return data
+
+
 class Ids:
     """Token ids of texts as little-endian 32-bit bytes; the library encodes each distinct word once.
 
-    New words that are a blank and letters are encoded as one text: it is cut at just those blanks, and only a word's first
-    token starts with the blank's letter, so the ids fall apart into words again. Words are kept in two generations: one met again moves to the
-    younger, and the older goes when that is full.
+    A word goes to the library's model itself where nothing but the byte letters stands before it, else through the whole
+    tokenizer. Words are kept in two generations: one met again moves to the younger, and the older goes when that is full.
     """
 
     def __init__(self, path: str):
         import re
 
         import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words = regex.compile(WORDS).findall
         self.plain_words, self.not_plain = re.compile(PLAIN_WORDS).findall, re.compile(NOT_PLAIN).search
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.opens[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        first = self.tokenizer.pre_tokenizer
+        bare = self.tokenizer.normalizer is None and isinstance(first, pre_tokenizers.ByteLevel) and not first.add_prefix_space
+        self.known = Words(self._by_model() if bare else self._whole, {})
+
+    def _by_model(self) -> Callable[[str], bytes]:
+        from codecs import charmap_decode
+
+        letters, tokens = "".join(byte_letters()), self.tokenizer.model.tokenize
+        blank = letters[32]
+        packs = [struct.Struct(f"<{n}I").pack for n in range(64)]
+
+        def encode(word):
+            if word.isascii() and word.isprintable():  # all but the blank stand for themselves
+                found = tokens(word.replace(" ", blank))
+            else:
+                found = tokens(charmap_decode(word.encode(), "strict", letters)[0])
+            ids = [t.id for t in found]
+            return packs[len(ids)](*ids) if len(ids) < 64 else np.array(ids, "<u4").tobytes()
+        return encode
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def cut(self, text: str) -> list[str]:
         odd = any(c in text for c in SEPARATORS) if text.isascii() else self.not_plain(text)
         return self.words(text) if odd else self.plain_words(text)
 
-    def learn(self, words: list[str]) -> None:
-        encode = self.tokenizer.encode_batch_fast
-        apart, joint = [], []
-        for w in words:
-            (joint if w[0] == " " and w[1:].isalpha() else apart).append(w)
-        for w, e in zip(apart, encode(apart, add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
-        texts = [joint[a:a + 256] for a in range(0, len(joint), 256)]
-        for ws, e in zip(texts, encode(["".join(ws) for ws in texts], add_special_tokens=False)):
-            ids = np.array(e.ids, "<u4")
-            at = (4 * np.flatnonzero(self.opens[ids])).tolist()
-            data = ids.tobytes()
-            self.known.update(zip(ws, map(data.__getitem__, map(slice, at, [*at[1:], len(data)]))))
-
     def of(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
-            self.old, self.known = self.known, {}
-        # special strings are the tokenizer's to find
-        cut = [None if any(s in t for s in self.special) else self.cut(t) for t in texts]
-        new = set().union(*[ws for ws in cut if ws]).difference(self.known)
-        again = new & self.old.keys()
-        self.known.update(zip(again, map(self.old.get, again)))
-        self.learn(list(new - again))
+            self.known.old = {}
+            self.known = Words(self.known.encode, self.known)
         get = self.known.__getitem__
-        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if ws is None
-                else b"".join(map(get, ws)) for t, ws in zip(texts, cut)]
+        # special strings are the tokenizer's to find
+        return [self._whole(t) if any(s in t for s in self.special) else b"".join(map(get, self.cut(t))) for t in texts]
 
 
 _PIECES = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()),
