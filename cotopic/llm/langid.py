@@ -14,15 +14,13 @@ labelled rows; scoring is one scan without a shuffle. The model, at most ``4 * B
 as much for the events, goes with the tasks.
 """
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import ArrowUDFType
 
-from cotopic.llm.common import crc32_mod, give_back, per_block, table, text_blocks, written
+from cotopic.llm.common import BLOCK_ROWS, crc32_mod, giving_back, per_block, table, text_blocks, written
 
 BUCKETS = 1 << 17
 SAMPLE_PER_LANG = 2000  # labelled texts a language is learned from, at most
@@ -210,6 +208,36 @@ def learn(docs: DataFrame, learn_from=None, text_col: str = "text", lang_col: st
     return Mixture(langs, table_)
 
 
+def _guesses(model: Mixture | None, penalty: float):
+    """Iterator function from arrays of texts to arrays of ``lang_pred, score, languages``: a few texts at once become Python values."""
+    kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("languages", pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())])))])
+
+    def rows(texts):
+        if model is None:
+            return [{"lang_pred": UNKNOWN, "score": 0.0, "languages": []} for _ in texts]
+        event, n, first, total = model.histogram(texts)
+        lang, share, pi = model.predict(event, n, first, penalty)
+        out = []
+        for i in range(len(texts)):
+            if not total[i]:
+                out.append({"lang_pred": UNKNOWN, "score": 0.0, "languages": []})
+                continue
+            order = [j for j in np.argsort(-pi[i], kind="stable") if pi[i, j] > 0.005]
+            out.append({"lang_pred": model.langs[lang[i]], "score": float(min(1.0, share[i])),
+                        "languages": [{"lang": model.langs[j], "share": float(pi[i, j])} for j in order]})
+        return out
+
+    def guess(columns):
+        for column in columns:
+            done = [pa.array([], kind)]
+            for a in range(0, len(column), BLOCK_ROWS):
+                few = column.slice(a, BLOCK_ROWS).to_pylist()
+                for _, texts in text_blocks([None] * len(few), few):
+                    done.append(pa.array(rows(texts), kind))
+            yield pa.concat_arrays(done)
+    return guess
+
+
 def identify(docs: DataFrame, model: Mixture | None, text_col: str = "text", penalty: float = PENALTY) -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` (the proportion of that language) and ``languages``
     (the chosen set with its proportions, largest first).
@@ -220,28 +248,8 @@ def identify(docs: DataFrame, model: Mixture | None, text_col: str = "text", pen
     if docs.schema[text_col].dataType.typeName() != "string":
         docs = docs.withColumn(text_col, F.col(text_col).cast("string"))
     docs = docs.drop("lang_pred", "score", "languages")
-    kind = "struct<lang_pred:string,score:double,languages:array<struct<lang:string,share:double>>>"
-
-    def guess(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for text in batches:
-            out = []
-            for _, texts in text_blocks([None] * len(text), text.tolist()):
-                if model is None:
-                    out += [(UNKNOWN, 0.0, [])] * len(texts)
-                    continue
-                event, n, first, total = model.histogram(texts)
-                lang, share, pi = model.predict(event, n, first, penalty)
-                for i in range(len(texts)):
-                    if not total[i]:
-                        out.append((UNKNOWN, 0.0, []))
-                        continue
-                    order = [j for j in np.argsort(-pi[i], kind="stable") if pi[i, j] > 0.005]
-                    out.append((model.langs[lang[i]], float(min(1.0, share[i])),
-                                [{"lang": model.langs[j], "share": float(pi[i, j])} for j in order]))
-            yield pd.DataFrame(out, columns=["lang_pred", "score", "languages"])
-        give_back()
-
-    guess = F.pandas_udf(guess, kind)
+    kind = "lang_pred string, score double, languages array<struct<lang:string,share:double>>"
+    guess = F.arrow_udf(giving_back(_guesses(model, penalty)), kind, ArrowUDFType.SCALAR_ITER)
     return docs.withColumn("_g", guess(F.col(text_col))).select(*[F.col(f"`{c}`") for c in docs.columns], "_g.*")
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cotopic.llm.common import giving_back, per_block, table
+from cotopic.llm.common import give_back, giving_back, per_block, table
 from cotopic.llm.tokens import byte_letters
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -120,13 +120,14 @@ def pieces(docs: DataFrame, path: str | None, capacity: int, end_id: int) -> Dat
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        gc.disable()  # millions of short-lived strings and no cycles; ``giving_back`` collects at the end
         place = path
         if place is None:
             import public_tokenizers
 
             place = public_tokenizers.path(VOCABULARY)
         ids_of = Ids(place)
+        give_back()  # reading a vocabulary takes several times what it is
+        gc.disable()  # millions of short-lived strings and no cycles; ``giving_back`` collects at the end
 
         def block(keys, texts):
             out = {n: [] for n in _PIECES.names}
