@@ -15,6 +15,8 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Callable
+from functools import cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +35,80 @@ REMEMBERED = 150_000  # words whose ids a task keeps, in each of two generations
 # Fixed value: how byte-level vocabularies of this kind cut a text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-
-# The same cut by the standard library, for texts without the characters in which the two differ: number signs that are no
-# digits, the separators \x1c-\x1f, and whatever is beyond the Latin letters. Classes are spelt out: a listed character is found at once.
-LETTERS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
-BLANKS = "\t-\r \u0085\u00a0"
-PLAIN_WORDS = f"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[0-9]+| ?[^{BLANKS}{LETTERS}0-9]+|[{BLANKS}]+(?![^{BLANKS}])|[{BLANKS}]+"
-NOT_PLAIN = r"[\x1c-\x1f\u00b2\u00b3\u00b9\u00bc-\u00be\u0250-\U0010ffff]"
-SEPARATORS = "\x1c\x1d\x1e\x1f"
+MARK = "\ud800"  # stands between texts: half a character, which no text holds
+OTHER, LETTER, NUMBER, BLANK, SPACE, BETWEEN = range(6)  # kinds of characters; BLANK is the space, SPACE any other white space
+
+
+@cache
+def kinds(size: int) -> np.ndarray:
+    """The kind of each of the first ``size`` characters."""
+    import regex
+
+    out = np.full(size, OTHER, np.uint8)
+    every = "".join(map(chr, range(size)))
+    for kind, runs in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
+        for m in regex.finditer(runs, every):
+            out[m.start():m.end()] = kind
+    out[ord(" ")], out[ord(MARK)] = BLANK, BETWEEN
+    return out
+
+
+def _begins() -> np.ndarray:
+    """Whether a word begins at a character, by ``8 * kind before + kind``; white space after white space: not by these alone."""
+    out = np.zeros(64, bool)
+    for before in range(6):
+        for kind in range(6):
+            out[8 * before + kind] = BETWEEN in (before, kind) or kind != before and before != BLANK
+    for before in (BLANK, SPACE):
+        out[[8 * before + BLANK, 8 * before + SPACE]] = False
+    return out
+
+
+BEGINS = _begins()
+
+
+def word_starts(codes: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Where the words of ``WORDS`` begin in texts that lie one after the other, a ``MARK`` before and after each."""
+    starts = np.ones(len(codes), bool)
+    pair = kind[:-1] << 3
+    pair |= kind[1:]
+    np.take(BEGINS, pair, out=starts[1:])
+    # the last of several white-space characters goes with, or stands alone before, what is not white space
+    space = (kind == BLANK) | (kind == SPACE)
+    at = np.flatnonzero(space[1:] & space[:-1]) + 1
+    starts[at[kind[at + 1] <= NUMBER]] = True
+    # contractions: an apostrophe that begins a word takes one or two letters
+    at = np.flatnonzero(codes == ord("'"))
+    at = at[starts[at]]
+    first, second = codes[at + 1], codes[np.minimum(at + 2, len(codes) - 1)]
+    one = np.isin(first, [ord(c) for c in "stmd"])
+    two = np.zeros(len(at), bool)
+    for a, b in ("re", "ve", "ll"):
+        two |= (first == ord(a)) & (second == ord(b))
+    starts[at[one | two] + 1] = False
+    starts[at[one] + 2] = True
+    starts[at[two] + 3] = True
+    return np.flatnonzero(starts)
+
+
+def distinct_words(texts: list[str]) -> tuple[list[str], np.ndarray]:
+    """The distinct words of texts, and the number of every word in that list, from 1; 0 is the mark before and after each text."""
+    joined = MARK + "".join([t + MARK for t in texts])
+    data = joined.encode("utf-16-le", "surrogatepass")
+    if len(data) == 2 * len(joined):
+        codes = np.frombuffer(data, "<u2")
+        kind = kinds(1 << 16)[codes]
+    else:
+        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
+        kind = kinds(0x110000)[codes]
+    starts = word_starts(codes, kind)
+    data = joined.encode("utf-8", "surrogatepass")
+    wide = np.flatnonzero(codes >= 0x80)  # characters of more than one byte
+    more = np.cumsum(1 + (codes[wide] >= 0x800) + (codes[wide] >= 0x10000))
+    ends = np.append(starts, len(codes))
+    ends += np.append(0, more)[np.searchsorted(wide, ends)]
+    found = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(ends), pa.py_buffer(data)).dictionary_encode()
+    return found.dictionary[1:].to_numpy(zero_copy_only=False).tolist(), found.indices.to_numpy()
 
 
 class Words(dict):
@@ -55,22 +123,17 @@ class Words(dict):
 
 
 class Ids:
-    """Token ids of texts as little-endian 32-bit bytes; the library encodes each distinct word once.
+    """Token ids of texts as little-endian 32-bit bytes; the library encodes each distinct word once, and texts look it up once a block.
 
     A word goes to the library's model itself where nothing but the byte letters stands before it, else through the whole
     tokenizer. Words are kept in two generations: one met again moves to the younger, and the older goes when that is full.
     """
 
     def __init__(self, path: str):
-        import re
-
-        import regex
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words = regex.compile(WORDS).findall
-        self.plain_words, self.not_plain = re.compile(PLAIN_WORDS).findall, re.compile(NOT_PLAIN).search
         first = self.tokenizer.pre_tokenizer
         bare = self.tokenizer.normalizer is None and isinstance(first, pre_tokenizers.ByteLevel) and not first.add_prefix_space
         self.known = Words(self._by_model() if bare else self._whole, {})
@@ -94,17 +157,22 @@ class Ids:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def cut(self, text: str) -> list[str]:
-        odd = any(c in text for c in SEPARATORS) if text.isascii() else self.not_plain(text)
-        return self.words(text) if odd else self.plain_words(text)
-
     def of(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
             self.known.old = {}
             self.known = Words(self.known.encode, self.known)
-        get = self.known.__getitem__
-        # special strings are the tokenizer's to find
-        return [self._whole(t) if any(s in t for s in self.special) else b"".join(map(get, self.cut(t))) for t in texts]
+        special = [any(s in t for s in self.special) for t in texts]  # those strings are the tokenizer's to find
+        words, number = distinct_words(["" if odd else t for t, odd in zip(texts, special)])
+        data = [b"", *map(self.known.__getitem__, words)]
+        size = np.fromiter(map(len, data), np.int64, len(data)) // 4
+        first = np.cumsum(size) - size
+        length = size[number]
+        stop = np.cumsum(length)
+        place = np.repeat(first[number] - stop + length, length)
+        place += np.arange(len(place))
+        ids = np.frombuffer(b"".join(data), "<u4")[place].tobytes()
+        ends = (4 * stop[number == 0]).tolist()
+        return [self._whole(t) if odd else ids[a:b] for t, odd, (a, b) in zip(texts, special, pairwise(ends))]
 
 
 _PIECES = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()),
